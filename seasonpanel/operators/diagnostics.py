@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from .calendar import season_days
+from .ranks import first_per_key
 
 
 def season_window_sensitivity(daily: DataFrame, calendars: DataFrame, rain: str = "rain_mm") -> DataFrame:
@@ -13,3 +17,17 @@ def season_window_sensitivity(daily: DataFrame, calendars: DataFrame, rain: str
     days = season_days(daily, calendars)
     totals = days.groupBy("spatial_unit", "year", "season", "shift_days").agg(F.sum(F.coalesce(rain, F.lit(0.0))).alias("total"))
     return totals.groupBy("shift_days").agg(F.count(F.lit(1)).alias("windows"), F.avg("total").alias("mean_rain_total_mm"))
+
+
+def environment_rows(panel: DataFrame, order: str = "crop") -> DataFrame:
+    """One row per unit, year and season, so that each environment weighs the same."""
+    return first_per_key(panel, K.ENVIRONMENT_KEY, [F.col(order)])
+
+
+def uncertainty_retention(df: DataFrame, cv: str = "cv_production_pct", maximum: float = 30.0, groups: Sequence[str] = ()) -> DataFrame:
+    """Rows kept and dropped by the uncertainty filter."""
+    kept = F.count_if(F.col(cv) <= maximum)
+    n = F.count(F.lit(1))
+    return df.groupBy(*groups).agg(
+        n.alias("total_rows"), kept.alias("kept"), (n - kept).alias("dropped"), (1 - kept / n).alias("dropped_fraction")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["season"]
+MODULES = ["season", "survey"]
 
 
 def load():

@@ -30,7 +30,7 @@ SEASON_DAYS = {
 }
 OLDER_DAYS = {
     "older_days": """select * from (select *, cast(year(date) as integer) as year,
-  case when month(date) in (3, 4, 5, 6) then 'first' when month(date) in (8, 9, 10, 11) then 'second' end as season from daily) where season is not null"""
+  case when month(date) in (3, 4, 5, 8) then 'first' when month(date) in (8, 9, 10, 11) then 'second' end as season from daily) where season is not null"""
 }
 
 
@@ -54,7 +54,7 @@ def rain_feature_sql(source: str, keys: str, extra: dict[str, str], *tables: str
         **extra,
         **run_ctes(source, keys, "coalesce(rain_mm, 0)"),
         "candidates": f"""select {', '.join('f.' + k.strip() for k in keys.split(','))}, f.date,
-  coalesce(max(least(r.last_rn, f.rn + 17) - greatest(r.first_rn, f.rn + 3) + 1), 0) as worst
+  coalesce(max(case when r.len is not null then least(r.last_rn, f.rn + 17) - greatest(r.first_rn, f.rn + 3) + 1 end), 0) as worst
   from flagged f left join dry_runs r on {on} and r.first_rn <= f.rn + 17 and r.last_rn >= f.rn + 3
   where f.three_sum >= 20 and f.rn - 1 < f.n - 18 group by all""",
         "onsets": f"select {keys}, min(date) as onset from candidates where worst <= 7 group by all",
@@ -67,9 +67,9 @@ def rain_feature_sql(source: str, keys: str, extra: dict[str, str], *tables: str
   case when count(*) filter (rain >= 1) >= 2 then stddev_samp(case when rain >= 1 then rain end) / avg(case when rain >= 1 then rain end) end as wet_day_rainfall_cv,
   max(date) filter (rain >= 1) as last_wet from flagged group by all""",
     }
-    q = f"""select {keys}, round(rain_total_mm, 6) as rain_total_mm, round(rain_mean_daily_mm, 6) as rain_mean_daily_mm, rainy_days_1mm, rainy_days_10mm,
-  heavy_rain_days_20mm, round(maximum_1day_rainfall_mm, 6) as maximum_1day_rainfall_mm, round(maximum_5day_rainfall_mm, 6) as maximum_5day_rainfall_mm,
-  cast(coalesce(longest, 0) as integer) as longest_dry_spell_days, round(wet_day_rainfall_cv, 6) as wet_day_rainfall_cv, onset as rainfall_onset_date,
+    q = f"""select {keys}, round(rain_total_mm, 8) as rain_total_mm, round(rain_mean_daily_mm, 8) as rain_mean_daily_mm, rainy_days_1mm, rainy_days_10mm,
+  heavy_rain_days_20mm, round(maximum_1day_rainfall_mm, 8) as maximum_1day_rainfall_mm, round(maximum_5day_rainfall_mm, 8) as maximum_5day_rainfall_mm,
+  cast(coalesce(longest, 0) as integer) as longest_dry_spell_days, round(wet_day_rainfall_cv, 8) as wet_day_rainfall_cv, onset as rainfall_onset_date,
   coalesce(ending, last_wet) as rainfall_cessation_date, cast(dayofyear(onset) as integer) as onset_day_of_year,
   cast(dayofyear(coalesce(ending, last_wet)) as integer) as cessation_day_of_year,
   cast(coalesce(ending, last_wet) - onset + 1 as integer) as season_length_days
@@ -102,15 +102,15 @@ def empty_windows(spark, d):
 
 
 @query("d01_unit_day_mean", "C3 D1", sql(
-    """select sub_region as spatial_unit, date, round(avg(rain_mm), 6) as rain_mm, round(avg(tmax_c), 6) as tmax_c, round(avg(tmin_c), 6) as tmin_c
+    """select sub_region as spatial_unit, date, round(avg(rain_mm), 8) as rain_mm, round(avg(tmax_c), 8) as tmax_c, round(avg(tmin_c), 8) as tmin_c
     from daily join members using (district) group by 1, 2""", "daily", "members"))
 def unit_day_mean(spark, d):
     return rounded(agg.unit_day_mean(I.daily(spark, d), I.members(spark, d), ["rain_mm", "tmax_c", "tmin_c"]))
 
 
-TEMP_SQL = """select spatial_unit, year, season, round(avg((tmax_c + tmin_c) / 2), 6) as temperature_mean_c, round(max(tmax_c), 6) as temperature_maximum_c,
-  round(min(tmin_c), 6) as temperature_minimum_c, round(avg(tmax_c) - avg(tmin_c), 6) as temperature_range_c,
-  round(sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)), 6) as growing_degree_days, count(*) filter (tmax_c >= 32) as heat_days_32c,
+TEMP_SQL = """select spatial_unit, year, season, round(avg((tmax_c + tmin_c) / 2), 8) as temperature_mean_c, round(max(tmax_c), 8) as temperature_maximum_c,
+  round(min(tmin_c), 8) as temperature_minimum_c, round(avg(tmax_c) - avg(tmin_c), 8) as temperature_range_c,
+  round(sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)), 8) as growing_degree_days, count(*) filter (tmax_c >= 32) as heat_days_32c,
   count(*) filter (tmax_c >= 35) as extreme_heat_days_35c, count(*) filter (tmin_c <= 10) as cold_days_10c
   from season_days where tmax_c is not null and tmin_c is not null group by all"""
 
@@ -129,10 +129,10 @@ HOT_RUNS = {
 
 
 @query("d07_older_temperature_features", "D7 D8 C22 E12", sql(
-    f"""select {DK}, round(coalesce(sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)) filter (tmax_c is not null and tmin_c is not null), 0), 6) as season_gdd,
+    f"""select {DK}, round(coalesce(sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)) filter (tmax_c is not null and tmin_c is not null), 0), 8) as season_gdd,
     count(*) filter (tmax_c >= 30) as heat_days, count(*) filter (tmax_c >= 35) as extreme_heat_days, count(*) filter (tmin_c >= 20) as warm_night_days,
-    round(avg(tmax_c) filter (rain_mm >= 1), 6) as wet_day_tmax_mean,
-    round(case when count(*) filter (tmax_c is not null and rain_mm is not null) > 0 then coalesce(sum(greatest(tmax_c - 10, 0)) filter (rain_mm >= 1), 0) end, 6) as wet_day_gdd,
+    round(avg(tmax_c) filter (rain_mm >= 1), 8) as wet_day_tmax_mean,
+    round(case when count(*) filter (tmax_c is not null and rain_mm is not null) > 0 then coalesce(sum(greatest(tmax_c - 10, 0)) filter (rain_mm >= 1), 0) end, 8) as wet_day_gdd,
     coalesce(any_value(heatwave_count), 0) as heatwave_count
     from older_days left join waves using ({DK}) group by all""", "daily", extra=HOT_RUNS))
 def older_temperature(spark, d):
@@ -146,7 +146,7 @@ OLDER_CTES = {
     **OLDER_RUNS,
     "windowed": "select *, case when season = 'first' then dayofyear(date) between 60 and 182 else dayofyear(date) between 213 and 334 end as inside from flagged",
     "judged": """select f.district, f.year, f.season, f.date, f.rn,
-  coalesce(max(least(r.last_rn, f.rn + 17) - greatest(r.first_rn, f.rn + 3) + 1), 0) >= 7 as rejected
+  coalesce(max(case when r.len is not null then least(r.last_rn, f.rn + 17) - greatest(r.first_rn, f.rn + 3) + 1 end), 0) >= 7 as rejected
   from windowed f left join dry_runs r on f.district = r.district and f.year = r.year and f.season = r.season and r.first_rn <= f.rn + 17 and r.last_rn >= f.rn + 3
   where f.inside and f.three_count = 3 and f.three_sum >= 20 group by all""",
     "onsets": f"select {DK}, min(date) filter (not rejected) as onset, arg_min(rejected, rn) as first_rejected from judged group by all",
@@ -158,9 +158,9 @@ OLDER_CTES = {
     "run_counts": f"select {DK}, max(len) as longest, count(*) filter (len >= 7) as c7, count(*) filter (len >= 10) as c10 from dry_runs group by all",
     "sums": f"""select {DK}, coalesce(sum(rain), 0) as total, count(*) filter (rain >= 1) as d1, count(*) filter (rain >= 10) as d10, count(*) filter (rain >= 20) as d20,
   coalesce(avg(rain) filter (rain >= 1), 0) as wet_mean, max(five) as max5, max(date) filter (inside and rain >= 1) as last_wet from windowed group by all""",
-    "older_features": f"""select {DK}, round(total, 6) as season_total_mm, cast(coalesce(longest, 0) as integer) as longest_dry_spell_days,
+    "older_features": f"""select {DK}, round(total, 8) as season_total_mm, cast(coalesce(longest, 0) as integer) as longest_dry_spell_days,
   coalesce(c7, 0) as dry_spell_count_7d, coalesce(c10, 0) as dry_spell_count_10d, d1 as rain_days_1mm, d10 as rain_days_10mm, d20 as rain_days_20mm,
-  round(wet_mean, 6) as mean_wet_day_rainfall, round(max5, 6) as maximum_5day_rainfall, cast(dayofyear(onset) as integer) as season_onset_day,
+  round(wet_mean, 8) as mean_wet_day_rainfall, round(max5, 8) as maximum_5day_rainfall, cast(dayofyear(onset) as integer) as season_onset_day,
   cast(dayofyear(coalesce(ending, last_wet)) as integer) as season_cessation_day,
   cast(coalesce(first_rejected, false) as integer) as false_onset_flag,
   cast(case when dayofyear(coalesce(ending, last_wet)) >= dayofyear(onset) then dayofyear(coalesce(ending, last_wet)) - dayofyear(onset) + 1 end as integer) as season_length_days
@@ -185,7 +185,7 @@ def older_rainfall(spark, d):
     case when a.season_cessation_day is null then null when b.season_cessation_day > a.season_cessation_day then b.season_cessation_day else a.season_cessation_day end as season_cessation_day,
     case when a.season_cessation_day is not null and b.season_cessation_day > a.season_cessation_day then b.season_cessation_day else a.season_cessation_day end
       - case when a.season_onset_day is not null and b.season_onset_day < a.season_onset_day then b.season_onset_day else a.season_onset_day end + 1 as season_length_days,
-    round((a.mean_wet_day_rainfall * a.rain_days_1mm + b.mean_wet_day_rainfall * b.rain_days_1mm) / nullif(a.rain_days_1mm + b.rain_days_1mm, 0), 6) as mean_wet_day_rainfall
+    round((a.mean_wet_day_rainfall * a.rain_days_1mm + b.mean_wet_day_rainfall * b.rain_days_1mm) / nullif(a.rain_days_1mm + b.rain_days_1mm, 0), 8) as mean_wet_day_rainfall
     from (select * from older_features where season = 'first') a left join (select * from older_features where season = 'second') b using (district, year)""",
     "daily", extra=OLDER_CTES))
 def first_second_total(spark, d):
@@ -230,7 +230,7 @@ def long_runs(spark, d):
 
 
 @query("e05_rolling_maximum", "E5", sql(
-    f"select {DK}, round(max(five), 6) as maximum_rolling_sum from flagged group by all", "daily", extra={**OLDER_DAYS, **OLDER_RUNS}))
+    f"select {DK}, round(max(five), 8) as maximum_rolling_sum from flagged group by all", "daily", extra={**OLDER_DAYS, **OLDER_RUNS}))
 def rolling_maximum(spark, d):
     return rounded(series.maximum_rolling_sum(older_days(spark, d), "rain_mm", DKEY))
 
@@ -243,15 +243,15 @@ def heatwaves(spark, d):
 
 
 @query("e13_centred_and_anomaly", "E13 B30", sql(
-    """select district, year, month, round(rainfall_mm - avg(rainfall_mm) over (partition by district), 6) as rainfall_mm_anomaly,
-    round(rainfall_mm - avg(rainfall_mm) over (partition by district, year), 6) as centred from monthly""", "monthly"))
+    """select district, year, month, round(rainfall_mm - avg(rainfall_mm) over (partition by district), 8) as rainfall_mm_anomaly,
+    round(rainfall_mm - avg(rainfall_mm) over (partition by district, year), 8) as centred from monthly""", "monthly"))
 def centred(spark, d):
     m = series.anomalies(I.monthly(spark, d), ["rainfall_mm"], ["district"])
     return rounded(m.select("district", "year", "month", "rainfall_mm_anomaly", series.centred("rainfall_mm", ["district", "year"]).alias("centred")))
 
 
 @query("e14_cumulative_share", "E14", sql(
-    """select p_size, round(v / sum(v) over (), 6) as share, round(sum(v) over (order by p_size) / sum(v) over (), 6) as cumulative_share
+    """select p_size, round(v / sum(v) over (), 8) as share, round(sum(v) over (order by p_size) / sum(v) over (), 8) as cumulative_share
     from (select p_size, sum(l_quantity) as v from lineitem join part on l_partkey = p_partkey group by 1)"""))
 def cumulative_share(spark, d):
     li, part = I.scan(spark, d, "lineitem"), I.scan(spark, d, "part")
@@ -273,7 +273,7 @@ def shifted(spark, d):
 
 
 @query("m21_season_window_sensitivity", "M21", sql(
-    """select shift_days, count(*) as windows, round(avg(total), 6) as mean_rain_total_mm from (
+    """select shift_days, count(*) as windows, round(avg(total), 8) as mean_rain_total_mm from (
       select c.district, c.year, c.season, s.shift_days, sum(coalesce(rain_mm, 0)) as total from district_calendar c, (values (-14), (0), (14)) s(shift_days), daily d
       where d.district = c.district and d.date between c.start_date + cast(s.shift_days as integer) and c.end_date + cast(s.shift_days as integer) group by all) group by all""",
     "daily", "district_calendar"))
@@ -301,26 +301,26 @@ SEASON_SUMS = ", ".join(
 MF = MONTHLY_FEATURES.format(seasons=SEASON_SUMS, op=">=")
 
 
-@query("d10_monthly_rain_features", "D10", sql(f"select * replace (round(rain_cv, 6) as rain_cv) from ({MF})", "monthly"))
+@query("d10_monthly_rain_features", "D10", sql(f"select * replace (round(rain_cv, 8) as rain_cv) from ({MF})", "monthly"))
 def monthly_features(spark, d):
     return rounded(agg.monthly_rain_features(I.monthly(spark, d)))
 
 
 @query("d11_pivoted_rain_features", "D11 I1", sql(
-    f"select * replace (round(rain_cv, 6) as rain_cv) from ({MONTHLY_FEATURES.format(seasons=SEASON_SUMS, op='>')})", "monthly"))
+    f"select * replace (round(rain_cv, 8) as rain_cv) from ({MONTHLY_FEATURES.format(seasons=SEASON_SUMS, op='>')})", "monthly"))
 def pivoted_features(spark, d):
     return rounded(agg.pivoted_rain_features(I.monthly(spark, d)))
 
 
 @query("d12_climatology", "D12", sql("select district, " + ", ".join(
-    f"round(clim_{s}_{k}, 6) as clim_{s}_{k}" for s in ("annual", "MAM", "SON", "DJF", "JJA") for k in ("mean", "std")) + " from clim", "monthly", extra={"clim": CLIM}))
+    f"round(clim_{s}_{k}, 8) as clim_{s}_{k}" for s in ("annual", "MAM", "SON", "DJF", "JJA") for k in ("mean", "std")) + " from clim", "monthly", extra={"clim": CLIM}))
 def climatology(spark, d):
     return rounded(agg.climatology(I.monthly(spark, d), (1995, 1998)))
 
 
 @query("d13_climate_anomalies", "D13 C9", sql(
-    "select district, year, round(annual_rainfall - clim_annual_mean, 6) as rainfall_anomaly, round((annual_rainfall - clim_annual_mean) / nullif(clim_annual_std, 0), 6) as rainfall_zscore, "
-    + ", ".join(f"round({s} - clim_{s}_mean, 6) as {s}_anomaly, round(({s} - clim_{s}_mean) / nullif(clim_{s}_std, 0), 6) as {s}_zscore" for s in ("MAM", "SON", "DJF", "JJA"))
+    "select district, year, round(annual_rainfall - clim_annual_mean, 8) as rainfall_anomaly, round((annual_rainfall - clim_annual_mean) / nullif(clim_annual_std, 0), 8) as rainfall_zscore, "
+    + ", ".join(f"round({s} - clim_{s}_mean, 8) as {s}_anomaly, round(({s} - clim_{s}_mean) / nullif(clim_{s}_std, 0), 8) as {s}_zscore" for s in ("MAM", "SON", "DJF", "JJA"))
     + " from mf left join clim using (district) where year >= 1999", "monthly", extra={"clim": CLIM, "mf": MF}))
 def climate_anomalies(spark, d):
     m = I.monthly(spark, d)
@@ -330,7 +330,7 @@ def climate_anomalies(spark, d):
 
 
 @query("d29_month_sums", "D29", sql(
-    "select district, cast(date_trunc('month', date) as date) as month_start, round(sum(rain_mm), 6) as rainfall_mm from daily group by all", "daily"))
+    "select district, cast(date_trunc('month', date) as date) as month_start, round(sum(rain_mm), 8) as rainfall_mm from daily group by all", "daily"))
 def month_sums(spark, d):
     return rounded(agg.month_sums(I.daily(spark, d), ["district"]))
 
@@ -341,7 +341,7 @@ SEASONS = ("MAM", "SON", "DJF", "JJA")
 
 def season_columns(measures: dict[str, str]) -> str:
     """measure -> aggregate over a {f} filter."""
-    return ", ".join(f"round({sql_text.format(f=f's = {chr(39)}{s}{chr(39)}')}, 6) as {s}_{name}" for s in SEASONS for name, sql_text in measures.items())
+    return ", ".join(f"round({sql_text.format(f=f's = {chr(39)}{s}{chr(39)}')}, 8) as {s}_{name}" for s in SEASONS for name, sql_text in measures.items())
 
 
 @query("d16_daily_temperature_by_season", "D16 I3", sql(
@@ -351,7 +351,7 @@ def season_columns(measures: dict[str, str]) -> str:
     }) + ", " + ", ".join(
         f"case when count(*) filter (s = '{s}') > 0 then count(*) filter (s = '{s}' and tmax_c > 35) end as {s}_heat_stress_days, case when count(*) filter (s = '{s}') > 0 then count(*) filter (s = '{s}' and tmin_c < 5) end as {s}_cold_stress_days"
         for s in SEASONS) + """,
-    round(avg(tmax_c), 6) as annual_tmax_mean, round(avg(tmin_c), 6) as annual_tmin_mean, round(avg(mean), 6) as annual_tmean_mean, round(coalesce(sum(gdd), 0), 6) as annual_gdd,
+    round(avg(tmax_c), 8) as annual_tmax_mean, round(avg(tmin_c), 8) as annual_tmin_mean, round(avg(mean), 8) as annual_tmean_mean, round(coalesce(sum(gdd), 0), 8) as annual_gdd,
     count(*) filter (tmax_c > 35) as annual_heat_stress, count(*) filter (tmin_c < 5) as annual_cold_stress, count(*) filter (gdd > 0) as growing_season_length
     from (select *, cast(year(date) as integer) as year, """ + GROUP_CASE + """ as s, (tmax_c + tmin_c) / 2 as mean,
       case when tmax_c is not null and tmin_c is not null then greatest((tmax_c + tmin_c) / 2 - 10, 0) end as gdd from daily) group by district, year""", "daily"))
@@ -363,7 +363,7 @@ def daily_temperature(spark, d):
     "select district, year, " + season_columns({"tmean_mean": "avg(c) filter ({f})", "gdd_total": "sum(gdd) filter ({f})"}) + ", " + ", ".join(
         f"case when count(*) filter (s = '{s}') > 0 then count(*) filter (s = '{s}' and c > 35) end as {s}_heat_stress_months, case when count(*) filter (s = '{s}') > 0 then count(*) filter (s = '{s}' and c < 5) end as {s}_cold_stress_months"
         for s in SEASONS) + """,
-    round(avg(c), 6) as annual_tmean, round(sum(gdd), 6) as annual_gdd, count(*) filter (c > 35) as annual_heat_stress, count(*) filter (c < 5) as annual_cold_stress,
+    round(avg(c), 8) as annual_tmean, round(sum(gdd), 8) as annual_gdd, count(*) filter (c > 35) as annual_heat_stress, count(*) filter (c < 5) as annual_cold_stress,
     count(*) filter (gdd > 0) as growing_months
     from (select *, greatest(c - 10, 0) * day(last_day(date)) as gdd from (select district, cast(year(date) as integer) as year, date_trunc('month', date)::date as date, """ + GROUP_CASE + """ as s, k - 273.15 as c
       from (select district, date_trunc('month', date)::date as date, round(avg(tmax_c) + 273.15 - 20, 4) as k from daily group by all))) group by district, year""", "daily"))
@@ -375,9 +375,9 @@ def monthly_temperature(spark, d):
 
 @query("d18_soil_moisture_features", "D18 J7", sql(
     "select district, year, " + season_columns({v: f"avg({v}) filter ({{f}})" for v in agg.SOIL_MOISTURE_LAYERS}) + ", "
-    + ", ".join(f"round(avg({v}), 6) as annual_{v}" for v in [*agg.SOIL_MOISTURE_LAYERS, "surface_nobs", "rzsm_1m_nobs"]) + ", "
-    + ", ".join(f"round(case when avg({v}) <> 0 then stddev_samp({v}) / avg({v}) when avg({v}) = 0 then 0 end, 6) as {v}_cv, min({v}) as min_{v}, max({v}) as max_{v}" for v in ("surface_sm", "rzsm_1m"))
-    + """, round(avg(rzsm_1m), 6) as soil_moisture_index from sm group by district, year""", "monthly", extra={"sm": """select 'S' || l_suppkey as district, cast(year(l_shipdate) as integer) as year, cast(month(l_shipdate) as integer) as month,
+    + ", ".join(f"round(avg({v}), 8) as annual_{v}" for v in [*agg.SOIL_MOISTURE_LAYERS, "surface_nobs", "rzsm_1m_nobs"]) + ", "
+    + ", ".join(f"round(case when avg({v}) <> 0 then stddev_samp({v}) / avg({v}) when avg({v}) = 0 then 0 end, 8) as {v}_cv, min({v}) as min_{v}, max({v}) as max_{v}" for v in ("surface_sm", "rzsm_1m"))
+    + """, round(avg(rzsm_1m), 8) as soil_moisture_index from sm group by district, year""", "monthly", extra={"sm": """select 'S' || l_suppkey as district, cast(year(l_shipdate) as integer) as year, cast(month(l_shipdate) as integer) as month,
       case when month(l_shipdate) in (3,4,5) then 'MAM' when month(l_shipdate) in (9,10,11) then 'SON' when month(l_shipdate) in (12,1,2) then 'DJF' else 'JJA' end as s,
       max(l_quantity) / 100 as surface_sm, min(l_quantity) / 100 as rzsm_1m, max(l_discount) as rzsm_1, min(l_discount) as rzsm_2, max(l_tax) as rzsm_3,
       cast(count(*) as double) as surface_nobs, cast(max(l_linenumber) as double) as rzsm_1m_nobs from lineitem group by all"""}))

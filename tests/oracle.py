@@ -31,7 +31,7 @@ def cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return round(v, 6) + 0.0
+        return v + 0.0
     if isinstance(v, int):
         return v
     if isinstance(v, dt.datetime):
