@@ -1,15 +1,22 @@
-"""Sensitivity tables and principal-component diagnostics."""
+"""Sensitivity tables, collinearity, outliers, permutation and partial dependence."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .agg import missingness
 from .calendar import season_days
-from .ranks import first_per_key
+from .components import feature_gram
+from .linear import scales, unpack
+from .prep import unpivot_values
+from .ranks import first_per_key, hash_rank, order_statistics
 
 
 def season_window_sensitivity(daily: DataFrame, calendars: DataFrame, rain: str = "rain_mm") -> DataFrame:
@@ -31,3 +38,167 @@ def uncertainty_retention(df: DataFrame, cv: str = "cv_production_pct", maximum:
     return df.groupBy(*groups).agg(
         n.alias("total_rows"), kept.alias("kept"), (n - kept).alias("dropped"), (1 - kept / n).alias("dropped_fraction")
     )
+
+
+# --- collinearity, outliers, permutation, partial dependence -------------------
+
+
+def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, vif) from one Gram matrix over complete rows. Fewer than two columns
+    give no rows; too few rows give NULLs; exact collinearity is capped."""
+    cols = list(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for m in pdf["m"]:
+                n, _, _, xx, _, _ = unpack(m)
+                if len(cols) < 2:
+                    continue
+                rows = []
+                for i, name in enumerate(cols):
+                    rest = [j for j in range(len(cols)) if j != i]
+                    explained = xx[rest, i] @ np.linalg.pinv(xx[np.ix_(rest, rest)], rcond=1e-12) @ xx[rest, i]
+                    unexplained = 1.0 - explained / xx[i, i] if xx[i, i] > 0 else 1.0
+                    vif = 1.0 / max(unexplained, np.finfo(float).eps) if n > len(cols) else None
+                    rows.append((name, vif))
+                yield pd.DataFrame(rows, columns=["feature", "vif"])
+
+    return feature_gram(df, cols).select("m").mapInPandas(run, "feature string, vif double")
+
+
+def gamma_cdf(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function by its power series."""
+    if x <= 0:
+        return 0.0
+    term = total = 1.0 / a
+    k = 0
+    while term > total * 1e-16 and k < 10_000:
+        k += 1
+        term *= x / (a + k)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
+
+
+def chi_square_quantile(q: float, df: int) -> float:
+    low, high = 0.0, max(10.0, 4.0 * df + 100.0)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if gamma_cdf(df / 2, mid / 2) < q else (low, mid)
+    return (low + high) / 2
+
+
+def mahalanobis_column(columns: Sequence[str], location: np.ndarray, covariance: np.ndarray) -> Column:
+    """Squared distance as a column expression with literal location and precision."""
+    precision = np.linalg.pinv(covariance)
+    diff = [F.col(c) - float(v) for c, v in zip(columns, location)]
+    terms = [
+        F.lit(float(precision[i, j] * (1 if i == j else 2))) * diff[i] * diff[j] for i in range(len(diff)) for j in range(i, len(diff))
+    ]
+    return F.greatest(sum(terms, F.lit(0.0)), F.lit(0.0))
+
+
+def location_scatter(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    n, mean, _, xx, _, _ = unpack(feature_gram(rows, columns).first()["m"])
+    return mean, xx / n
+
+
+def robust_outliers(df: DataFrame, columns: Sequence[str], significance: float = 0.01, steps: int = 30) -> DataFrame:
+    """Complete rows with robust squared Mahalanobis distance, threshold and flag.
+
+    Minimum covariance determinant by concentration steps: each keeps the h rows
+    closest to the current estimate (exact order statistic, one job) and refits
+    location and scatter on them (one job) until the determinant stops falling. It
+    starts from medians and median absolute deviations. The raw scatter is scaled
+    to be consistent, then refitted on rows inside the 97.5 % bound. The driver
+    holds p x p numbers only.
+    """
+    cols, p = list(columns), len(columns)
+    rows = df.dropna(subset=cols)
+    n, mean, _, xx, _, _ = unpack(feature_gram(rows, cols).first()["m"])
+    if n <= p:
+        raise ValueError("too few observations for multivariate outlier analysis")
+    s = scales(xx, n)
+    names = [f"_z{i}" for i in range(p)]
+    scaled = rows.withColumns({z: (F.col(c) - float(mu)) / float(sd) for z, c, mu, sd in zip(names, cols, mean, s)})
+    h = int((n + p + 1) // 2)
+
+    long = unpivot_values(scaled, names, [])
+    medians = order_statistics(long, "value", ["feature"]).quantiles({"median": 0.5})
+    centre = {r["feature"]: r["median"] for r in medians.collect()}
+    location = np.array([centre[z] for z in names])
+    spread = scaled.withColumns({z: F.abs(F.col(z) - float(centre[z])) for z in names})
+    mad = order_statistics(unpivot_values(spread, names, []), "value", ["feature"]).quantiles({"median": 0.5})
+    width = {r["feature"]: max(r["median"], 1e-6) for r in mad.collect()}
+    covariance = np.diag([width[z] ** 2 for z in names])
+
+    determinant = np.inf
+    for _ in range(steps):
+        distance = scaled.withColumn("_d2", mahalanobis_column(names, location, covariance))
+        cut = order_statistics(distance, "_d2").at({"cut": F.lit(h)}).first()["cut"]
+        location, covariance = location_scatter(distance.filter(F.col("_d2") <= cut), names)
+        now = float(np.linalg.det(covariance))
+        if not now < determinant * (1 - 1e-9):
+            break
+        determinant = now
+
+    distance = scaled.withColumn("_d2", mahalanobis_column(names, location, covariance))
+    middle = order_statistics(distance, "_d2").quantiles({"m": 0.5}).first()["m"]
+    consistent = covariance * (middle / chi_square_quantile(0.5, p))
+    bound = chi_square_quantile(0.975, p)
+    inner = scaled.withColumn("_d2", mahalanobis_column(names, location, consistent)).filter(F.col("_d2") < bound)
+    location, covariance = location_scatter(inner, names)
+    threshold = chi_square_quantile(1 - significance, p)
+    d2 = mahalanobis_column(names, location, covariance)
+    return scaled.withColumns(
+        {"mahalanobis_distance_squared": d2, "mahalanobis_threshold": F.lit(threshold), "is_multivariate_outlier": d2 > threshold}
+    ).drop(*names)
+
+
+def permutation_importance(
+    rows: DataFrame,
+    features: Sequence[str],
+    predict: Callable[[DataFrame], DataFrame],
+    key: Sequence[str],
+    target: str = "yield_tons_ha",
+    groups: Sequence[str] = ("fold",),
+    repeats: int = 5,
+    seed: int = 42,
+    prediction: str = "prediction",
+) -> DataFrame:
+    """(groups, feature, importance_mean, importance_std): rise of the RMSE of held-out
+    rows when one feature is shuffled.
+
+    A shuffle pairs two seeded hash ranks of the rows of a group, so it is an
+    equi-join on rank. Each row then appears once per feature with that feature
+    exchanged, and the fitted model scores all of them in one pass.
+    """
+    keys, cols = list(groups), list(features)
+    base = rows.select(*dict.fromkeys([*keys, *key, *cols, target]))
+    copies = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    to = hash_rank(copies, key, [*keys, "repeat"], F.col("repeat") + seed, "_to")
+    source = hash_rank(copies, key, [*keys, "repeat"], F.col("repeat") + seed + 7919, "_to")
+    source = source.select(*keys, "repeat", "_to", *[F.col(c).alias(f"_p_{c}") for c in cols])
+    paired = to.join(source, [*keys, "repeat", "_to"], "inner")
+    variants = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols])))
+    swapped = variants.withColumns({c: F.when(F.col("feature") == c, F.col(f"_p_{c}")).otherwise(F.col(c)) for c in cols})
+    rmse = F.sqrt(F.avg(F.pow(F.col(target) - F.col(prediction), 2)))
+    shuffled = predict(swapped.drop(*[f"_p_{c}" for c in cols], "_to")).groupBy(*keys, "feature", "repeat").agg(rmse.alias("_after"))
+    before = predict(base).groupBy(*keys).agg(rmse.alias("_before"))
+    joined = shuffled.join(F.broadcast(before), keys, "inner") if keys else shuffled.join(F.broadcast(before), F.lit(True), "inner")
+    rise = F.col("_after") - F.col("_before")
+    return joined.groupBy(*keys, "feature").agg(F.avg(rise).alias("importance_mean"), F.stddev_pop(rise).alias("importance_std"))
+
+
+def partial_dependence(
+    rows: DataFrame, feature: str, predict: Callable[[DataFrame], DataFrame], points: int = 20, prediction: str = "prediction"
+) -> DataFrame:
+    """(feature, grid, mean_prediction): even grid between the 5 % and 95 % quantiles."""
+    ends = order_statistics(rows, feature).quantiles({"lo": 0.05, "hi": 0.95}).first()
+    grid = np.linspace(ends["lo"], ends["hi"], points)
+    spread = rows.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    return predict(spread).groupBy(F.col(feature).alias("grid")).agg(F.avg(prediction).alias("mean_prediction")).withColumn("feature", F.lit(feature))
+
+
+def complete_case_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each candidate column with its missing count and whether it is complete."""
+    return missingness(df, columns).select("column", "missing_count", (F.col("missing_count") == 0).alias("complete"))

@@ -39,18 +39,18 @@ def hash_rank(
     hashed = df.withColumn("_h", seeded_hash(seed, *key)).withColumn(
         "_b", F.pmod(F.shiftrightunsigned(F.col("_h"), 20), F.lit(buckets)).cast("int")
     )
-    sizes = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_size"))
     upto = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *groups,
         "_b",
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        *([F.sum("_n").over(Window.partitionBy(*groups)).alias(total)] if total else []),
+        F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"),
+        *([F.sum("_size").over(Window.partitionBy(*groups)).alias(total)] if total else []),
     )
     inside = Window.partitionBy(*groups, "_b").orderBy("_h", *key)
     numbered = hashed.withColumn("_rn", F.row_number().over(inside))
     joined = null_safe_join(numbered, offsets, [*groups, "_b"], "inner")
-    return joined.withColumn(rank, F.col("_rn") + F.col("_before")).drop("_h", "_b", "_rn", "_before", "_n")
+    return joined.withColumn(rank, F.col("_rn") + F.col("_before")).drop("_h", "_b", "_rn", "_before")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["season", "survey"]
+MODULES = ["season", "survey", "shapes", "models"]
 
 
 def load():

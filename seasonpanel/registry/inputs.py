@@ -117,7 +117,7 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     s = survey(spark, d).filter("area_harvested_ha > 0")
     return s.select(
         F.col("sub_region").alias("spatial_unit"), "year", "season", "crop",
-        F.round(F.col("production_mt") / F.col("area_harvested_ha"), 8).alias("yield_tons_ha"),
+        (F.col("production_mt") / F.col("area_harvested_ha")).alias("yield_tons_ha"),
         "area_planted_ha", "area_harvested_ha", "production_mt", "cv_production_pct",
     )
 
@@ -132,7 +132,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         "spatial_unit", "year", "season", "crop", "fold", "model",
         F.lit("raw").alias("feature_space"), F.lit("raw").alias("target_scale"),
         F.col("yield_tons_ha").alias("observed_yield"),
-        F.round(F.coalesce(guess, F.lit(2.0)), 8).alias("predicted_yield"),
+        F.coalesce(guess, F.lit(2.0)).alias("predicted_yield"),
     )
 
 
@@ -181,13 +181,13 @@ TABLES: dict[str, str] = {
          round(case when n > 2 then cv * 1.5 end, 4) as cv_area_harvested_pct, round(cv * 0.5, 4) as cv_area_planted_pct
   from survey_cv""",
     "targets": """
-  select sub_region as spatial_unit, year, season, crop, round(production_mt / area_harvested_ha, 8) as yield_tons_ha,
+  select sub_region as spatial_unit, year, season, crop, production_mt / area_harvested_ha as yield_tons_ha,
          area_planted_ha, area_harvested_ha, production_mt, cv_production_pct
   from survey where area_harvested_ha > 0""",
     "predictions": """
   select spatial_unit, year, season, crop, cast(regexp_extract(spatial_unit, '([0-9]+)$', 1) as integer) % 5 + 1 as fold, model,
          'raw' as feature_space, 'raw' as target_scale, yield_tons_ha as observed_yield,
-         round(coalesce(case when model = 'ridge' then 1.9 + area_planted_ha / 4000 else 2.2 - cv_production_pct / 100 end, 2.0), 8) as predicted_yield
+         coalesce(case when model = 'ridge' then 1.9 + area_planted_ha / 4000 else 2.2 - cv_production_pct / 100 end, 2.0::double) as predicted_yield
   from targets, (values ('ridge'), ('ols')) m(model)""",
     "vectors": """
   select vec_id, label, cast(embedding[1] as double) as x1, cast(embedding[2] as double) as x2, cast(embedding[3] as double) as x3, cast(embedding[4] as double) as x4

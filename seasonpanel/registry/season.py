@@ -30,7 +30,7 @@ SEASON_DAYS = {
 }
 OLDER_DAYS = {
     "older_days": """select * from (select *, cast(year(date) as integer) as year,
-  case when month(date) in (3, 4, 5, 8) then 'first' when month(date) in (8, 9, 10, 11) then 'second' end as season from daily) where season is not null"""
+  case when month(date) in (3, 4, 5, 6) then 'first' when month(date) in (8, 9, 10, 11) then 'second' end as season from daily) where season is not null"""
 }
 
 
@@ -185,11 +185,11 @@ def older_rainfall(spark, d):
     case when a.season_cessation_day is null then null when b.season_cessation_day > a.season_cessation_day then b.season_cessation_day else a.season_cessation_day end as season_cessation_day,
     case when a.season_cessation_day is not null and b.season_cessation_day > a.season_cessation_day then b.season_cessation_day else a.season_cessation_day end
       - case when a.season_onset_day is not null and b.season_onset_day < a.season_onset_day then b.season_onset_day else a.season_onset_day end + 1 as season_length_days,
-    round((a.mean_wet_day_rainfall * a.rain_days_1mm + b.mean_wet_day_rainfall * b.rain_days_1mm) / nullif(a.rain_days_1mm + b.rain_days_1mm, 0), 8) as mean_wet_day_rainfall
+    round((a.mean_wet_day_rainfall * a.rain_days_1mm + b.mean_wet_day_rainfall * b.rain_days_1mm) / nullif(a.rain_days_1mm + b.rain_days_1mm, 0), 6) as mean_wet_day_rainfall
     from (select * from older_features where season = 'first') a left join (select * from older_features where season = 'second') b using (district, year)""",
     "daily", extra=OLDER_CTES))
 def first_second_total(spark, d):
-    return rounded(agg.first_and_second_total(rounded(series.older_rainfall_features(I.daily(spark, d)))))
+    return rounded(agg.first_and_second_total(rounded(series.older_rainfall_features(I.daily(spark, d)))), 6)
 
 
 @query("c10_seasons_side_by_side", "B3 C10", sql(

@@ -310,14 +310,14 @@ HOUSE = """select l_orderkey as household_id, l_suppkey as district, cast(year(l
 
 
 @query("d09_household_summary", "A8 B12 D9", sql(
-    """select district, year, round(avg(y), 8) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
-    round(sum(production_kg) / (sum(area_harvested_ha) * 1000), 8) as weighted_yield from (select *, production_kg / (area_harvested_ha * 1000) as y from h) where y > 10 and y < 19 and crop_code = 1 group by all""", extra={"h": HOUSE}))
+    """select district, year, round(avg(y), 10) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
+    round(sum(production_kg) / (sum(area_harvested_ha) * 1000), 10) as weighted_yield from (select *, production_kg / (area_harvested_ha * 1000) as y from h) where y > 10 and y < 19 and crop_code = 1 group by all""", extra={"h": HOUSE}))
 def household(spark, d):
     li = I.scan(spark, d, "lineitem").filter("l_partkey % 3 = 1").select(
         F.col("l_orderkey").alias("household_id"), F.col("l_suppkey").alias("district"), F.year("l_shipdate").alias("year"),
         F.col("l_extendedprice").alias("production_kg"), (F.col("l_quantity") / 10).alias("area_harvested_ha"))
     out = agg.household_summary(li, ["district", "year"], 10.0, 19.0)
-    return out.withColumns({"mean_yield": r("mean_yield"), "weighted_yield": r("weighted_yield"), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
+    return out.withColumns({"mean_yield": r("mean_yield", 10), "weighted_yield": r("weighted_yield", 10), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
 
 
 @query("d22_panel_summary", "D22", sql(
@@ -372,7 +372,7 @@ def correlations(spark, d):
 
 
 @query("d31_group_benchmark", "D31", sql(
-    """select crop, model, r2, rmse, units, round(mean_yield, 8) as mean_yield, round(std_yield, 8) as std_yield, min_yield, max_yield from (select crop, model, round(r2, 8) as r2, round(rmse, 8) as rmse from
+    """select crop, model, r2, rmse, units, round(mean_yield, 8) as mean_yield, round(std_yield, 8) as std_yield, round(min_yield, 8) as min_yield, round(max_yield, 8) as max_yield from (select crop, model, round(r2, 8) as r2, round(rmse, 8) as rmse from
       (select *, row_number() over (partition by crop order by r2 desc, rmse) as k from (select crop, model, 1 - sum((observed_yield - predicted_yield)^2) / (count(*) * var_pop(observed_yield)) as r2, sqrt(avg((observed_yield - predicted_yield)^2)) as rmse from predictions group by all)) where k = 1)
     join (select crop, count(distinct spatial_unit) as units, avg(yield_tons_ha) as mean_yield, stddev_samp(yield_tons_ha) as std_yield, min(yield_tons_ha) as min_yield, max(yield_tons_ha) as max_yield from targets group by 1) using (crop)""", "predictions"))
 def group_benchmark(spark, d):
