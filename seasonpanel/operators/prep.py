@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ranks import null_safe_join, order_statistics
 
 MAX_LEVELS = 1000
@@ -37,7 +38,9 @@ def exact_medians(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Statistics have one row per fold, which bounds the broadcast."""
+    """Statistics have one row per fold, which bounds the broadcast. They are computed
+    once here, so later steps do not repeat the work behind them."""
+    stats = settled(stats)
     if not keys:
         return rows.join(F.broadcast(stats), F.lit(True), "left")
     return null_safe_join(rows, F.broadcast(stats), list(keys), "left")
@@ -127,7 +130,7 @@ def training_offsets(rows: DataFrame, target: str = "yield_tons_ha", by: str = "
     train = training_rows(rows)
     means = train.groupBy(*keys, by).agg(F.avg(target).alias("_crop_mean"))
     overall = train.groupBy(*keys).agg(F.avg(target).alias("_all_mean"))
-    out = attach(null_safe_join(rows, means, [*keys, by], "left"), overall, keys)
+    out = attach(null_safe_join(rows, settled(means), [*keys, by], "left"), overall, keys)
     return out.withColumn("offset", F.coalesce("_crop_mean", "_all_mean")).drop("_crop_mean", "_all_mean")
 
 

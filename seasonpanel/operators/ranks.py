@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, settled
+
 BUCKETS = 1024
 
 
@@ -65,7 +67,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def dense_fold(df: DataFrame, unit: str, folds: int, groups: Sequence[str] = (), seed: int | Column = 42) -> DataFrame:
     """Distinct units dealt evenly into ``folds`` folds numbered from 1."""
-    units = df.select(*groups, unit).distinct()
+    units = settled(df.select(*groups, unit).distinct())
     ranked = hash_rank(units, [unit], groups, seed, "_rank", total="_units")
     k = F.least(F.lit(folds), F.col("_units"))
     return ranked.select(*groups, unit, (F.pmod(F.col("_rank") - 1, k) + 1).cast("int").alias("fold"), F.col("_units").alias("units"))
@@ -91,7 +93,8 @@ class OrderStatistics:
     def __init__(self, df: DataFrame, value: str, groups: list[str], splits: int):
         self.groups = groups
         rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-        counts = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        # the table of distinct values is read five times below; it is written once
+        counts = cut_lineage(rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
         probs = [i / splits for i in range(1, splits)]
         edges = counts.groupBy(*groups).agg(
             F.percentile_approx("_v", probs, 10000).alias("_edges"), F.sum("_c").alias("_n")

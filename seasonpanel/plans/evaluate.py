@@ -26,6 +26,7 @@ from ..operators.folds import calibration_split, inner_spatial, spatial_folds
 from ..operators.linear import components_for_share, eigen, gram, linear_prediction, scales, solve, squared_error, unpack
 from ..operators.metrics import add_intervals, conformal_radius
 from ..operators.ranks import null_safe_join
+from ..session import settled
 
 SPECS = [
     ("dummy_mean", [0.0]), ("ols", [0.0]), ("ridge", [0.01, 0.1, 1.0, 10.0, 100.0]), ("pls", [2.0, 4.0]),
@@ -40,9 +41,9 @@ def fold_rows(data: DataFrame, folds: int = 5, inner: int = 4, seed: int = 42, u
     The roles of a unit travel as one small array, so the join on unit carries one
     row per unit and the copies are made after it.
     """
-    outer = spatial_folds(data, folds, unit, seed)
-    roles = calibration_split(outer, unit, 0.2, seed)
-    inners = inner_spatial(roles, inner, unit, seed)
+    outer = settled(spatial_folds(data, folds, unit, seed))
+    roles = settled(calibration_split(outer, unit, 0.2, seed))
+    inners = settled(inner_spatial(roles, inner, unit, seed))
     per_unit = roles.join(inners, ["fold", unit], "left").groupBy(unit).agg(
         F.collect_list(F.struct("fold", "role", "inner")).alias("_roles")
     )
@@ -142,7 +143,7 @@ def nested_evaluation(
     names = list(safe.values())
 
     grams = gram(rows.filter("role = 'proper'"), names, "_y", ["fold", "inner"])
-    fits = nested_fits(grams, len(climate), len(numeric), spaces, specs)
+    fits = settled(nested_fits(grams, len(climate), len(numeric), spaces, specs))
 
     used = rows.filter("role <> 'proper'").select(*KEY, "fold", "role", "offset", F.col(target).alias("observed_yield"), *names)
     # one coefficient row per fold, model and space bounds this broadcast
@@ -154,13 +155,14 @@ def nested_evaluation(
     calibration = scored.filter("role = 'calibration'").withColumn(
         "absolute_residual", F.abs(F.col("observed_yield") - F.col("predicted_yield"))
     )
-    radius = conformal_radius(calibration, cells, alpha=alpha)
+    radius = settled(conformal_radius(calibration, cells, alpha=alpha))
     groups = calibration.groupBy(*cells).agg(F.countDistinct("spatial_unit").alias("calibration_group_count"))
-    test = add_intervals(scored.filter("role = 'test'").drop("role"), radius.join(groups, cells), cells, alpha)
+    test = add_intervals(scored.filter("role = 'test'").drop("role"), radius.join(settled(groups), cells), cells, alpha)
 
-    observed = data.dropna(subset=[target]).join(spatial_folds(data.dropna(subset=[target]), folds, "spatial_unit", seed), "spatial_unit")
-    overall = complement_means(observed, [], target, "training_global_mean")
-    crop = complement_means(observed, ["crop"], target, "training_crop_mean")
+    # the outer training means come from the rows of the other folds, each row once
+    observed = rows.filter("role = 'test'").select("fold", "crop", target)
+    overall = settled(complement_means(observed, [], target, "training_global_mean"))
+    crop = settled(complement_means(observed, ["crop"], target, "training_crop_mean"))
     out = null_safe_join(test, F.broadcast(overall), ["fold"], "left")
     out = null_safe_join(out, crop, ["fold", "crop"], "left")
     return out.withColumns(
@@ -201,5 +203,5 @@ def tree_evaluation(
     calibration = scored.filter("role = 'calibration'").withColumn(
         "absolute_residual", F.abs(F.col("observed_yield") - F.col("predicted_yield"))
     )
-    radius = conformal_radius(calibration, cells, alpha=alpha)
+    radius = settled(conformal_radius(calibration, cells, alpha=alpha))
     return add_intervals(scored.filter("role = 'test'").drop("role"), radius, cells, alpha)

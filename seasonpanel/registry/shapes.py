@@ -21,11 +21,10 @@ from .inputs import rounded, sql
 def soil_payload(spark, d):
     """Payload text is built from the suppliers, then parsed like a landed file."""
     s = I.scan(spark, d, "supplier")
-    depth = lambda label, v: F.struct(F.lit(label).alias("label"), F.struct(v.alias("mean")).alias("values")).cast("struct<label: string, values: struct<mean: double>>")
-    second = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey") + 0.5)
-    layer = F.struct(F.lit("clay").alias("name"), F.struct(F.lit(10).alias("d_factor")).alias("unit_measure"),
-                     F.array(depth("0-5cm", F.col("s_acctbal")), depth("5-15cm", second)).alias("depths"))
-    text = F.to_json(F.struct(F.array(layer).alias("layers")), {"ignoreNullFields": "false"})
+    second = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey") + 0.5).cast("string")
+    text = F.concat(
+        F.lit('{"layers": [{"name": "clay", "unit_measure": {"d_factor": 10}, "depths": [{"label": "0-5cm", "values": {"mean": '),
+        F.col("s_acctbal").cast("string"), F.lit('}}, {"label": "5-15cm", "values": {"mean": '), F.coalesce(second, F.lit("null")), F.lit("}}]}]}"))
     files = s.select(F.col("s_suppkey").cast("string").alias("district"), F.lit("clay").alias("property"),
                      F.explode(F.array(F.lit("0-5cm"), F.lit("5-15cm"))).alias("depth"), text.alias("text"))
     return payloads.soil_points(files.withColumn("payload", F.from_json("text", payloads.SOIL_PAYLOAD)))

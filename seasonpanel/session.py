@@ -51,3 +51,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SETTLED_ROWS = 10_000
+
+
+def settled(df: DataFrame, limit: int = SETTLED_ROWS) -> DataFrame:
+    """A table that is used several times, computed once.
+
+    Up to ``limit`` rows become a local table; a larger one is checkpointed in the
+    shared folder. Meant for fold, unit and statistics tables, not for data rows.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else cut_lineage(df)

@@ -22,8 +22,12 @@ def main() -> None:
     con, qs, sqls = duck(d), queries(), oracle_sql()
     names = [n for n in qs if not wanted or any(n == w or n.startswith(w) for w in wanted)]
     good = bad = loose = 0
+    began = time.time()
     for name in names:
         start = time.time()
+        if start - began > 780:
+            print("out of time before", name)
+            break
         try:
             df = qs[name](spark, d)
             if name in sqls:
