@@ -43,12 +43,20 @@ def parse_year(col: Column | str, year_range: tuple[int, int] = K.YEAR_RANGE) ->
     return F.when(year.between(*year_range), year)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_number(col: Column | str, na_markers: Sequence[str] = K.NUMBER_NA_MARKERS) -> Column:
     """Number in a cell: no thousands commas, footnote letters or NA markers."""
-    text = F.regexp_replace(strip(col), "[, ]", "")
-    number = F.regexp_replace(text, r"[a-zA-Z*]+$", "").try_cast("double")
-    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.when(~F.lower(text).isin(*na_markers), finite)
+
+    def number(text: Column) -> Column:
+        stripped = F.regexp_replace(text, r"[a-zA-Z*]+$", "").try_cast("double")
+        finite = let(stripped, lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
+        return F.when(~F.lower(text).isin(*na_markers), finite)
+
+    return let(F.regexp_replace(strip(col), "[,\u00a0]", ""), number)
 
 
 def to_number(col: Column | str) -> Column:
@@ -70,17 +78,20 @@ def canonical_label(
 ) -> Column:
     """struct(canonical, is_group): group rows are flagged; then exact alias, alias
     without the bracketed part, and prefix match in dictionary order."""
-    text = cell_text(col)
-    bare = strip(F.regexp_replace(text, r"\s*\(.*?\)\s*", " "))
-    is_group = text.isin(*group_labels) | bare.isin(*group_labels)
-    prefix = F.coalesce(
-        *[F.when(text.startswith(a) & (F.length(text) <= len(a) + slack), F.lit(c)) for a, c in aliases.items()]
-    )
-    canonical = F.coalesce(recode(text, aliases), recode(bare, aliases), prefix)
-    return F.struct(
-        F.when(~is_group & (text != ""), canonical).alias("canonical"),
-        (is_group & (text != "")).alias("is_group"),
-    )
+    groups = list(group_labels)
+
+    def match(text: Column, bare: Column) -> Column:
+        is_group = text.isin(*groups) | bare.isin(*groups)
+        prefix = F.coalesce(
+            *[F.when(text.startswith(a) & (F.length(text) <= len(a) + slack), F.lit(c)) for a, c in aliases.items()]
+        )
+        canonical = F.coalesce(recode(text, aliases), recode(bare, aliases), prefix)
+        return F.struct(
+            F.when(~is_group & (text != ""), canonical).alias("canonical"), (is_group & (text != "")).alias("is_group")
+        )
+
+    without_brackets = lambda text: strip(F.regexp_replace(text, r"\s*\(.*?\)\s*", " "))
+    return let(cell_text(col), lambda text: let(without_brackets(text), lambda bare: match(text, bare)))
 
 
 def month_group(month: Column | str, groups: Mapping[str, Sequence[int]] = K.MONTH_GROUPS) -> Column:

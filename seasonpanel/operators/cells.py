@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..checks import assert_empty
-from ..functions.scalars import canonical_label, cell_text, parse_number, parse_year
+from ..functions.scalars import canonical_label, cell_text, parse_number, parse_year, recode
+from ..session import settled
 
 SHEET = ["workbook", "sheet"]
 HEADER_ROWS = 30
@@ -35,7 +36,7 @@ def wide_headers(cells: DataFrame) -> DataFrame:
 
 def unpivot_years(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES, groups: Sequence[str] = tuple(K.GROUP_LABELS)) -> DataFrame:
     """Sheets with years across the header: (workbook, sheet, crop, year, value, raw_label)."""
-    headers = wide_headers(cells)
+    headers = settled(wide_headers(cells))
     placed = cells.join(headers, SHEET, "inner")
     year_cols = (
         placed.filter(F.col("row") == F.col("header_row"))
@@ -94,7 +95,8 @@ def parse_sheets(cells: DataFrame, strict: bool = True, **vocabulary) -> DataFra
     """Wide layout first; sheets it does not fit are read as transposed. A
     workbook without any table raises."""
     wide = unpivot_years(cells, **vocabulary)
-    rest = cells.join(wide.select(*SHEET).distinct(), SHEET, "left_anti")
+    done = settled(wide.select(*SHEET).distinct())
+    rest = cells.join(done, SHEET, "left_anti")
     out = wide.unionByName(unpivot_labels(rest, **vocabulary))
     if strict:
         books = cells.select("workbook").distinct()
@@ -137,8 +139,6 @@ def detect_grain(
     """Geographic grain of each workbook from its text cells."""
     text = cell_text("value")
     national = [country, "national", f"all {country}"]
-    from ..functions.scalars import recode
-
     words = cells.withColumns({"t": text, "numeric": parse_number("value").isNotNull()}).filter("t <> '' and not numeric")
     words = words.withColumn("hint", recode("t", hints))
     facts = words.groupBy("workbook").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators import agg, cells, quality, spatial
+from ..session import cut_lineage
 from ..sources import payloads, tables
 from . import inputs as I
 from .base import query
@@ -170,7 +171,8 @@ def sheet_cells(spark, d):
     wide = F.array(cell(F.lit(0), F.lit(0), F.lit("Area by crop")), cell(F.lit(2), y + 2, F.col("year")), cell(c + 3, F.lit(1), label), cell(c + 3, y + 2, text))
     tall = F.array(cell(F.lit(0), F.lit(0), F.lit("Area by crop")), cell(F.lit(1), c, label), cell(y + 2, F.lit(0), F.col("year")), cell(y + 2, c, text))
     cells_df = m.select(F.lit("book").alias("workbook"), "sheet", F.explode(F.when(F.col("sheet") == "P", tall).otherwise(wide)).alias("c"))
-    return cells_df.select("workbook", "sheet", "c.row", "c.col", "c.value").distinct()
+    # the parser reads its cell table several times, so it is landed first
+    return cut_lineage(cells_df.select("workbook", "sheet", "c.row", "c.col", "c.value").distinct())
 
 
 CASE_NAMES = "case p " + " ".join(f"when '{k}' then '{v}'" for k, v in NAMES.items()) + " end"

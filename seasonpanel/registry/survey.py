@@ -156,12 +156,11 @@ def coverage(spark, d):
 
 
 @query("b26_complete_columns", "B26", sql(
-    """select c as "column" from (select unnest(['crop', 'year', 'cv_production_pct', 'cv_area_harvested_pct']) as c, unnest([count(*) - count(crop), count(*) - count(year), count(*) - count(cv_production_pct), count(*) - count(cv_area_harvested_pct)]) as m
-    from (select crop, year, case when n > 5 then cv end as cv_production_pct, case when n > 9 then cv end as cv_area_harvested_pct from survey_cv)) where m = 0""", "survey_cv"))
+    """select c as "column" from (select unnest(['crop', 'year', 'area_planted_ha', 'masked']) as c, unnest([count(*) - count(crop), count(*) - count(year), count(*) - count(area_planted_ha),
+    count(*) - count(case when crop <> 'promo' then area_planted_ha end)]) as m from survey) where m = 0""", "survey"))
 def complete_columns(spark, d):
-    s = I.survey(spark, d)
-    masked = s.withColumns({"cv_production_pct": F.lit(None).cast("double"), "cv_area_harvested_pct": F.lit(None).cast("double")})
-    return clean.complete_case_columns(masked, ["crop", "year", "cv_production_pct", "cv_area_harvested_pct"])
+    s = I.survey(spark, d).withColumn("masked", F.when(F.col("crop") != "promo", F.col("area_planted_ha")))
+    return clean.complete_case_columns(s, ["crop", "year", "area_planted_ha", "masked", "not_there"])
 
 
 @query("b32_complete_rows", "B32", sql(
@@ -283,10 +282,10 @@ def file_families(spark, d):
     return joins.match_file_families(a, b, "#(.*)$")
 
 
-@query("c21_outside_reference", "C21 H8 C18", sql("select distinct c_nationkey as k from customer where c_nationkey not in (select s_nationkey from supplier where s_suppkey % 2 = 0)"))
+@query("c21_outside_reference", "C21 H8 C18", sql("select distinct c_nationkey as k from customer where c_nationkey not in (select s_nationkey from supplier where s_suppkey < 20)"))
 def outside(spark, d):
     c = I.scan(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
-    s = I.scan(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k"))
+    s = I.scan(spark, d, "supplier").filter("s_suppkey < 20").select(F.col("s_nationkey").alias("k"))
     return joins.outside_reference(c, s, "k")
 
 
@@ -310,14 +309,14 @@ HOUSE = """select l_orderkey as household_id, l_suppkey as district, cast(year(l
 
 
 @query("d09_household_summary", "A8 B12 D9", sql(
-    """select district, year, round(avg(y), 10) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
-    round(sum(production_kg) / (sum(area_harvested_ha) * 1000), 10) as weighted_yield from (select *, production_kg / (area_harvested_ha * 1000) as y from h) where y > 10 and y < 19 and crop_code = 1 group by all""", extra={"h": HOUSE}))
+    """select district, year, round(avg(y), 12) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
+    round(sum(production_kg) / (sum(area_harvested_ha) * 1000), 12) as weighted_yield from (select *, production_kg / (area_harvested_ha * 1000) as y from h) where y > 10 and y < 19 and crop_code = 1 group by all""", extra={"h": HOUSE}))
 def household(spark, d):
     li = I.scan(spark, d, "lineitem").filter("l_partkey % 3 = 1").select(
         F.col("l_orderkey").alias("household_id"), F.col("l_suppkey").alias("district"), F.year("l_shipdate").alias("year"),
         F.col("l_extendedprice").alias("production_kg"), (F.col("l_quantity") / 10).alias("area_harvested_ha"))
     out = agg.household_summary(li, ["district", "year"], 10.0, 19.0)
-    return out.withColumns({"mean_yield": r("mean_yield", 10), "weighted_yield": r("weighted_yield", 10), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
+    return out.withColumns({"mean_yield": r("mean_yield", 12), "weighted_yield": r("weighted_yield", 12), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
 
 
 @query("d22_panel_summary", "D22", sql(
@@ -327,7 +326,7 @@ def panel_summary(spark, d):
 
 
 @query("d23_national_reconstruction", "D23", sql(
-    """select crop, area_sum, round(production_sum, 4) as production_sum, area_printed, round(production_printed, 4) as production_printed, abs(area_sum - area_printed) <= abs(area_printed) * 0.005 and abs(production_sum - production_printed) <= abs(production_printed) * 0.005 as reconstructed from
+    """select crop, area_sum, round(production_sum, 5) as production_sum, area_printed, round(production_printed, 5) as production_printed, abs(area_sum - area_printed) <= abs(area_printed) * 0.005 and abs(production_sum - production_printed) <= abs(production_printed) * 0.005 as reconstructed from
     (select crop, sum(area_harvested_ha) as area_sum, sum(production_mt) as production_sum from survey group by 1) left join
     (select lower(p_type) as crop, sum(l_quantity) as area_printed, sum(l_extendedprice) / 1000 as production_printed from lineitem join part on l_partkey = p_partkey group by 1) using (crop)""", "survey"))
 def reconstruction(spark, d):
@@ -335,7 +334,7 @@ def reconstruction(spark, d):
     pre = li.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"), exact_sum("l_extendedprice").alias("p"))
     printed = pre.join(part, pre.l_partkey == part.p_partkey).groupBy(F.lower("p_type").alias("crop")).agg(
         F.sum("q").alias("area_printed"), (F.sum("p") / 1000).alias("production_printed"))
-    return rounded(agg.national_reconstruction(I.survey(spark, d), printed), 4)
+    return rounded(agg.national_reconstruction(I.survey(spark, d), printed), 5)
 
 
 @query("d24_plausibility", "D24", sql("select crop, round(min(yield_tons_ha), 8) as minimum, round(max(yield_tons_ha), 8) as maximum, count(*) as rows from targets group by 1", "targets"))
