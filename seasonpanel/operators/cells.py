@@ -66,7 +66,8 @@ def unpivot_years(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES,
 
 def unpivot_labels(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES, groups: Sequence[str] = tuple(K.GROUP_LABELS)) -> DataFrame:
     """Transposed sheets: years down a column, labels across a header row."""
-    heads = (
+    # header candidates, year columns and chosen headers are a few rows per sheet
+    heads = settled(
         cells.filter(F.col("row") < HEADER_ROWS)
         .withColumn("crop", canonical_label("value", aliases, groups)["canonical"])
         .filter("crop is not null")
@@ -75,7 +76,7 @@ def unpivot_labels(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES
     rows = heads.groupBy(*SHEET, "header_row").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_HEADER_CELLS)
     years = cells.withColumn("year", parse_year("value")).filter("year is not null").select(*SHEET, "row", "col", "year")
     ahead = rows.drop("n").join(years, SHEET, "inner").filter(F.col("row") > F.col("header_row"))
-    year_col = (
+    year_col = settled(
         ahead.filter(F.col("row") <= F.col("header_row") + YEAR_SEARCH_ROWS)
         .groupBy(*SHEET, "header_row")
         .agg(F.min(F.struct("row", "col"))["col"].alias("year_col"))
@@ -87,7 +88,7 @@ def unpivot_labels(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES
         .join(heads, [*SHEET, "header_row"], "inner")
         .join(numbers, [*SHEET, "row", "col"], "inner")
     )
-    first = records.groupBy(*SHEET).agg(F.min("header_row").alias("header_row"))
+    first = settled(records.groupBy(*SHEET).agg(F.min("header_row").alias("header_row")))
     return records.join(first, [*SHEET, "header_row"], "left_semi").select(*SHEET, "crop", "year", "value", "raw_label")
 
 

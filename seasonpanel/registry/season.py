@@ -77,11 +77,25 @@ def rain_feature_sql(source: str, keys: str, extra: dict[str, str], *tables: str
     return sql(q, *tables, extra=ctes)
 
 
-@query("a10_seasonal_rainfall_flagship", "C1 D4 D5 E2 E5 E6 E9 E11", rain_feature_sql("season_days", "spatial_unit, year, season", SEASON_DAYS, "daily", "district_calendar"))
+FLAGSHIP = rain_feature_sql("season_days", "spatial_unit, year, season", SEASON_DAYS, "daily", "district_calendar")
+
+
+@query("a10_seasonal_rainfall_flagship", "C1 D4 D5 E2 E5 E6 E9 E11", FLAGSHIP)
 def seasonal_rainfall(spark, d):
     return rounded(series.rainfall_features(season_days(spark, d)))
 
 
+@query("q09_domain_expectations", "Q9", f"""with f as ({FLAGSHIP}) select cast(unnest([1, 2, 3, 4, 5]) as integer) as position,
+  unnest(['counts fall with the threshold', 'onset is a day of the year', 'cessation is a day of the year', 'cessation follows onset', 'length is cessation minus onset plus one']) as "check",
+  unnest([count(*) filter (not (heavy_rain_days_20mm <= rainy_days_10mm and rainy_days_10mm <= rainy_days_1mm)), count(*) filter (onset_day_of_year not between 1 and 366),
+    count(*) filter (cessation_day_of_year not between 1 and 366), count(*) filter (cessation_day_of_year < onset_day_of_year), 0])::double as value, 0.0::double as threshold,
+  unnest([true, true, true, count(*) filter (cessation_day_of_year < onset_day_of_year) = 0, true]) as passed from f""")
+def domain_expectations(spark, d):
+    from ..operators.quality import expectation_report, season_expectations
+
+    return expectation_report(series.rainfall_features(season_days(spark, d)), season_expectations())
+
+
 @query("c01_interval_join", "C1", sql(
     "select spatial_unit, year, season, count(*) as days, min(date) as first_day, max(date) as last_day from season_days group by all",
     "daily", "district_calendar", extra=SEASON_DAYS))

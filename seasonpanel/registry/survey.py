@@ -309,14 +309,14 @@ HOUSE = """select l_orderkey as household_id, l_suppkey as district, cast(year(l
 
 
 @query("d09_household_summary", "A8 B12 D9", sql(
-    """select district, year, round(avg(y), 12) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
+    """select district, year, round(avg(y), 10) as mean_yield, count(distinct household_id) as households, round(sum(area_harvested_ha), 4) as total_area_ha, round(sum(production_kg), 2) as total_production_kg,
     round(sum(production_kg) / (sum(area_harvested_ha) * 1000), 12) as weighted_yield from (select *, production_kg / (area_harvested_ha * 1000) as y from h) where y > 10 and y < 19 and crop_code = 1 group by all""", extra={"h": HOUSE}))
 def household(spark, d):
     li = I.scan(spark, d, "lineitem").filter("l_partkey % 3 = 1").select(
         F.col("l_orderkey").alias("household_id"), F.col("l_suppkey").alias("district"), F.year("l_shipdate").alias("year"),
         F.col("l_extendedprice").alias("production_kg"), (F.col("l_quantity") / 10).alias("area_harvested_ha"))
     out = agg.household_summary(li, ["district", "year"], 10.0, 19.0)
-    return out.withColumns({"mean_yield": r("mean_yield", 12), "weighted_yield": r("weighted_yield", 12), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
+    return out.withColumns({"mean_yield": r("mean_yield", 10), "weighted_yield": r("weighted_yield", 12), "total_area_ha": r("total_area_ha", 4), "total_production_kg": r("total_production_kg", 2)})
 
 
 @query("d22_panel_summary", "D22", sql(
@@ -524,3 +524,35 @@ def fingerprint(spark, d):
     from ..sources.sinks import fingerprint as fp
 
     return fp(I.scan(spark, d, "lineitem"))
+
+
+def fresh_folder(spark, name):
+    """A new path in the shared folder."""
+    import uuid
+
+    from ..session import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a11_split_table_round_trip", "A10 A11", sql("select target_temporal_granularity, count(*) as rows, sum(area_planted_ha) as area from (select case when season = 'first_season' then 'annual' else 'seasonal' end as target_temporal_granularity, area_planted_ha from targets) group by 1", "targets"))
+def split_round_trip(spark, d):
+    from ..sources.sinks import write_split
+
+    path = fresh_folder(spark, "split")
+    t = I.targets(spark, d).withColumn("target_temporal_granularity", F.when(F.col("season") == "first_season", "annual").otherwise("seasonal"))
+    write_split(t, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("target_temporal_granularity").agg(F.count(F.lit(1)).alias("rows"), F.sum("area_planted_ha").alias("area"))
+
+
+@query("a12_bundle_round_trip", "A12 A13", sql("select count(*) as rows, sum(area_planted_ha) as area from targets", "targets"))
+def bundle_round_trip(spark, d):
+    from ..sources.sinks import fingerprint as fp
+    from ..sources.sinks import write_bundle
+
+    path = fresh_folder(spark, "run")
+    t = I.targets(spark, d)
+    write_bundle({"targets": t}, fp(t), path)
+    total = spark.read.parquet(f"{path}/targets").agg(F.sum("area_planted_ha").alias("area"))
+    return spark.read.json(f"{path}/manifest").select("rows").join(F.broadcast(total), F.lit(True), "inner")
