@@ -28,14 +28,18 @@ def nearest_axis_value(points: DataFrame, cells: DataFrame, axis: str, coordinat
     """Nearest grid coordinate per point on one axis, the smaller on ties.
 
     Axis values and points meet on a shared band of width ``step``: a point looks
-    in its own band and the two beside it. ``step`` is at least the spacing of
-    the grid, so the nearest value is always there for points on the grid.
+    in its own band and the two beside it; a point outside the grid looks from the
+    nearest edge. ``step`` is at least the spacing of the grid lines, so the nearest
+    line is always among those.
     """
     band = lambda c: F.floor(c / step).cast("long")
-    values = cells.select(F.col(axis).alias("_axis")).distinct().withColumn("_band", band(F.col("_axis")))
-    asked = points.select(key, F.col(coordinate).alias("_at")).withColumn(
-        "_band", F.explode(F.array(*[band(F.col("_at")) + d for d in (-1, 0, 1)]))
-    )
+    lines = cells.select(F.col(axis).alias("_axis")).distinct()
+    edge = lines.agg(F.min("_axis").alias("_min"), F.max("_axis").alias("_max"))
+    values = lines.withColumn("_band", band(F.col("_axis")))
+    # the edges are one row
+    asked = points.select(key, F.col(coordinate).alias("_at")).join(F.broadcast(edge), F.lit(True), "inner")
+    within = F.greatest(F.least(F.col("_at"), F.col("_max")), F.col("_min"))
+    asked = asked.withColumn("_band", F.explode(F.array(*[band(within) + d for d in (-1, 0, 1)])))
     near = asked.join(values, "_band", "inner")
     return near.groupBy(key).agg(F.min_by("_axis", F.struct(F.abs(F.col("_axis") - F.col("_at")), F.col("_axis"))).alias(axis))
 

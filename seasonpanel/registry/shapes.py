@@ -319,33 +319,28 @@ def grid_clip(spark, d):
 
 def points(spark, d):
     s = I.scan(spark, d, "supplier")
-    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("district"), (F.pmod("s_suppkey", F.lit(40)) * 0.11).alias("lat"), (F.pmod("s_nationkey", F.lit(50)) * 0.21).alias("lon"))
+    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("district"), (F.pmod("s_suppkey", F.lit(40)) * 0.11).alias("lat"), (F.col("s_nationkey") * 0.31 - 1).alias("lon"))
 
 
-POINTS = {**GRID, "points": "select 'S' || s_suppkey as district, s_suppkey % 40 * 0.11::double as lat, s_nationkey % 50 * 0.21::double as lon from supplier",
+POINTS = {**GRID, "points": "select 'S' || s_suppkey as district, s_suppkey % 40 * 0.11::double as lat, s_nationkey * 0.31::double - 1 as lon from supplier",
           "near": """select district, any_value(lat) as lat, any_value(lon) as lon, arg_min(la, (abs(la - lat), la)) as latitude from points, (select distinct latitude as la from grid) group by 1""",
           "cellof": """select district, any_value(n.lat) as lat, any_value(n.lon) as lon, any_value(n.latitude) as latitude, arg_min(lo, (abs(lo - n.lon), lo)) as longitude from near n, (select distinct longitude as lo from grid) group by 1"""}
 
 
-def reachable(spark, d):
-    """Points within the grid, where the nearest line is at most one step away."""
-    return points(spark, d).filter("lon < 5.5")
-
-
-@query("c15_nearest_cell_series", "C15", sql("select district, time, latitude, longitude, precip from cellof join grid using (latitude, longitude) where lon < 5.5", extra=POINTS))
+@query("c15_nearest_cell_series", "C15", sql("select district, time, latitude, longitude, precip from cellof join grid using (latitude, longitude)", extra=POINTS))
 def nearest(spark, d):
-    return spatial.nearest_cell_series(reachable(spark, d), grid(spark, d), 0.5).select("district", "time", "latitude", "longitude", "precip")
+    return spatial.nearest_cell_series(points(spark, d), grid(spark, d), 0.5).select("district", "time", "latitude", "longitude", "precip")
 
 
 @query("c16_nearest_valid_value", "C16", sql(
     """select p.district, p.lat, p.lon, arg_min(g.value, (not (g.latitude = p.latitude and g.longitude = p.longitude), (g.latitude - p.lat)^2 + (g.longitude - p.lon)^2, g.latitude, g.longitude)) as value
-    from cellof p left join (select latitude, longitude, precip as value from grid where time = '1997-01-01' and precip is not null and (latitude + longitude) % 1.5 < 0.4) g on abs(g.latitude - p.latitude) <= 1 and abs(g.longitude - p.longitude) <= 1 where p.lon < 5.5 group by all""", extra=POINTS))
+    from cellof p left join (select latitude, longitude, precip as value from grid where time = '1997-01-01' and precip is not null and (latitude + longitude) % 1.5 < 0.4) g on abs(g.latitude - p.latitude) <= 1 and abs(g.longitude - p.longitude) <= 1 group by all""", extra=POINTS))
 def nearest_valid(spark, d):
     g = grid(spark, d).filter("time = '1997-01-01'")
     values = g.select("latitude", "longitude", F.when((F.col("latitude") + F.col("longitude")) % 1.5 < 0.4, F.col("precip")).alias("value"))
     axes = grid(spark, d).select("latitude", "longitude").distinct()
     full = axes.join(values, ["latitude", "longitude"], "left")
-    return spatial.nearest_valid_value(reachable(spark, d), full, 0.5).select("district", "lat", "lon", "value")
+    return spatial.nearest_valid_value(points(spark, d), full, 0.5).select("district", "lat", "lon", "value")
 
 
 def boundaries(spark, d):
@@ -376,9 +371,9 @@ def polygon_mean(spark, d):
 
 
 @query("d32_point_set_mean", "D32", sql(
-    "select substr(district, 1, 2) as district, time, round(avg(precip), 6) as precip from cellof join grid using (latitude, longitude) where lon < 5.5 group by 1, 2 having avg(precip) is not null", extra=POINTS))
+    "select substr(district, 1, 2) as district, time, round(avg(precip), 6) as precip from cellof join grid using (latitude, longitude) group by 1, 2 having avg(precip) is not null", extra=POINTS))
 def point_set(spark, d):
-    p = reachable(spark, d)
+    p = points(spark, d)
     near = spatial.nearest_cell_series(p, grid(spark, d), 0.5)
     named = near.withColumn("district", F.substring("district", 1, 2))
     return rounded(named.groupBy("district", "time").agg(F.avg("precip").alias("precip")).dropna(subset=["precip"]), 6)

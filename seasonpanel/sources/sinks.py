@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """One table. Rows are clustered by the partition columns plus a slice of the row
-    hash first, so a big partition is written by several tasks and a small one
-    does not become many files."""
+    """One table. Rows are rebalanced by the partition columns first: a partition far
+    above the advisory size is split over tasks by AQE, small ones share a task."""
     if partition_by:
-        slices = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(8))
-        df = df.repartition(*[F.col(c) for c in partition_by], slices)
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode(mode).partitionBy(*partition_by)
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.parquet(path)
 
