@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, settled
 
-BUCKETS = 1024
+BUCKETS = 16_384
+VALUES_PER_SPLIT = 1_000_000
+SPLITS = (16, 2_048)
 
 
 def seeded_hash(seed: int | Column, *cols: str | Column) -> Column:
@@ -73,28 +75,25 @@ def dense_fold(df: DataFrame, unit: str, folds: int, groups: Sequence[str] = (),
     return ranked.select(*groups, unit, (F.pmod(F.col("_rank") - 1, k) + 1).cast("int").alias("fold"), F.col("_units").alias("units"))
 
 
-def order_statistics(
-    df: DataFrame,
-    value: str,
-    groups: Sequence[str] = (),
-    splits: int = 64,
-) -> "OrderStatistics":
-    return OrderStatistics(df, value, list(groups), splits)
+def order_statistics(df: DataFrame, value: str, groups: Sequence[str] = ()) -> "OrderStatistics":
+    return OrderStatistics(df, value, list(groups))
 
 
 class OrderStatistics:
     """Exact values at given ranks, per group.
 
-    Equal values are first collapsed to (value, count). Approximate quantiles
-    cut the distinct values of each group into ``splits`` buckets; only the
-    buckets that hold a wanted rank are then sorted.
+    Equal values are first collapsed to (value, count). Approximate quantiles cut
+    the distinct values of each group into buckets of about a million values for
+    the largest group; only the buckets that hold a wanted rank are then sorted.
     """
 
-    def __init__(self, df: DataFrame, value: str, groups: list[str], splits: int):
+    def __init__(self, df: DataFrame, value: str, groups: list[str]):
         self.groups = groups
         rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-        # the table of distinct values is read five times below; it is written once
+        # the table of distinct values is read several times below; it is written once
         counts = cut_lineage(rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
+        largest = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+        splits = min(max(largest // VALUES_PER_SPLIT, SPLITS[0]), SPLITS[1])
         probs = [i / splits for i in range(1, splits)]
         edges = counts.groupBy(*groups).agg(
             F.percentile_approx("_v", probs, 10000).alias("_edges"), F.sum("_c").alias("_n")

@@ -405,10 +405,43 @@ def soil_moisture(spark, d):
     return rounded(agg.soil_moisture_features(m))
 
 
-@query("c04_panel_climate", "C4 D1 C1 D4 D6", None)
-def panel_climate(spark, d):
+REGION_DAYS = {
+    "region_day": """select sub_region as spatial_unit, date, avg(rain_mm) as rain_mm, avg(tmax_c) as tmax_c, avg(tmin_c) as tmin_c
+  from daily join members using (district) group by 1, 2""",
+    "season_days": """select c.spatial_unit, c.year, c.season, d.date, d.rain_mm, d.tmax_c, d.tmin_c
+  from region_day d join region_calendar c on d.spatial_unit = c.spatial_unit and d.date between c.start_date and c.end_date""",
+}
+REGION_RAIN = rain_feature_sql("season_days", "spatial_unit, year, season", REGION_DAYS, "daily", "members", "region_calendar")
+REGION_TEMP = sql(TEMP_SQL, "daily", "members", "region_calendar", extra=REGION_DAYS)
+CLIMATE_SQL = f"""select *, 'daily_rainfall' as rainfall_source, 'daily_temperature' as temperature_source from ({REGION_RAIN}) full join ({REGION_TEMP}) using (spatial_unit, year, season)"""
+
+
+def region_climate(spark, d):
     daily = I.daily(spark, d)
-    return rounded(seasonal_climate(daily.select("district", "date", "rain_mm"), daily.drop("rain_mm"), I.members(spark, d), I.region_calendar(spark, d)))
+    return seasonal_climate(daily.select("district", "date", "rain_mm"), daily.drop("rain_mm"), I.members(spark, d), I.region_calendar(spark, d))
+
+
+@query("c04_panel_climate", "C3 C4 D1 C1 D4 D6", CLIMATE_SQL)
+def panel_climate(spark, d):
+    return rounded(region_climate(spark, d))
+
+
+@query("c05_final_panel", "B13 B14 C5 C6 C9 D20", sql(
+    """select t.spatial_unit, t.year, t.season, t.crop, 'seasonal' as target_temporal_granularity, round(t.yield_tons_ha, 8) as yield_tons_ha, c.rain_total_mm, c.longest_dry_spell_days,
+    c.onset_day_of_year, c.temperature_mean_c, c.heat_days_32c, s.soil_ph, s.soil_district_count, cast(null as double) as elevation_m, 'not_available' as elevation_source, '1' as data_version
+    from targets t left join climate c on t.spatial_unit = c.spatial_unit and t.year = c.year and t.season = c.season
+    left join (select sub_region as spatial_unit, round(avg(s_acctbal), 8) as soil_ph, count(*) as soil_district_count from members join supplier on district = 'S' || s_suppkey group by 1) s on s.spatial_unit = t.spatial_unit""",
+    "targets", "members", extra={"climate": CLIMATE_SQL}))
+def final_panel(spark, d):
+    from ..plans.panel import final_panel as build
+
+    m = I.members(spark, d)
+    soil = I.scan(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("district"), F.col("s_acctbal").alias("phh2o"))
+    static = agg.region_soil(soil, m, renames={"phh2o": "soil_ph"}).drop("soil_ph_sd")
+    panel = build(I.targets(spark, d), region_climate(spark, d), static)
+    keep = ["spatial_unit", "year", "season", "crop", "target_temporal_granularity", "yield_tons_ha", "rain_total_mm", "longest_dry_spell_days", "onset_day_of_year",
+            "temperature_mean_c", "heat_days_32c", "soil_ph", "soil_district_count", "elevation_m", "elevation_source", "data_version"]
+    return rounded(panel.select(*keep))
 
 
 @query("j07_month_groups", "J7 J8", sql(
