@@ -8,6 +8,7 @@ data: each task turns its Arrow batches into one weighted matrix per iteration
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from .linear import components_for_share, eigen, gram, scales, unpack
 from .series import cumulative_share
 
 BLOCK_ROWS = 4096
+EXACT_MATCHES = 6
 
 
 def feature_gram(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -170,11 +172,13 @@ def _iteration_spectra(grams: DataFrame) -> DataFrame:
     return grams.select("iter", "m").mapInPandas(run, "iter int, component int, eigenvalue double")
 
 
-def best_matches(reference: np.ndarray, other: np.ndarray) -> list[int]:
-    """Column of ``other`` for each column of ``reference``: pairs are taken in order
-    of their absolute inner product, each column once."""
-    k = reference.shape[1]
-    strength = np.abs(reference.T @ other)
+def best_matches(target: np.ndarray, other: np.ndarray) -> list[int]:
+    """Column of ``other`` for each column of ``target`` with the largest total absolute
+    inner product; above ``EXACT_MATCHES`` columns, strongest pairs first."""
+    k = target.shape[1]
+    strength = np.abs(target.T @ other)
+    if k <= EXACT_MATCHES:
+        return list(max(permutations(range(other.shape[1]), k), key=lambda order: strength[range(k), order].sum()))
     match = [-1] * k
     for flat in np.argsort(-strength, axis=None):
         i, j = divmod(int(flat), other.shape[1])
@@ -183,10 +187,10 @@ def best_matches(reference: np.ndarray, other: np.ndarray) -> list[int]:
     return match
 
 
-def align_components(reference: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Columns of ``other`` reordered and sign-flipped to agree with ``reference``."""
-    picked = other[:, best_matches(reference, other)]
-    signs = np.sign((reference * picked).sum(axis=0))
+def align_components(target: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Columns of ``other`` reordered and sign-flipped to agree with ``target``."""
+    picked = other[:, best_matches(target, other)]
+    signs = np.sign((target * picked).sum(axis=0))
     return picked * np.where(signs == 0, 1.0, signs)
 
 
@@ -197,7 +201,7 @@ def bootstrap_components(
     loading_lower, loading_upper, eigenvalue_lower, eigenvalue_upper)."""
     cols = list(columns)
     values, vectors = eigen(component_matrix(feature_gram(df, cols).first()["m"])[1])
-    reference = vectors[:, :k] * np.sqrt(values[:k])
+    estimate = vectors[:, :k] * np.sqrt(values[:k])
     grams = bootstrap_grams(df.withColumn("_zero", F.lit(0.0)), [*cols, "_zero"], key, iterations, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,8 +209,8 @@ def bootstrap_components(
             rows = []
             for it, m in zip(pdf["iter"], pdf["m"]):
                 lam, vec = eigen(component_matrix(m)[1])
-                load = vec[:, : min(len(lam), 2 * k)] * np.sqrt(lam[: 2 * k])
-                load = align_components(reference, load) if align else load[:, :k]
+                load = vec[:, :k] * np.sqrt(lam[:k])
+                load = align_components(estimate, load) if align else load
                 rows += [(int(it), c + 1, f, float(load[j, c]), float(lam[c])) for c in range(k) for j, f in enumerate(cols)]
             yield pd.DataFrame(rows, columns=["iter", "component", "feature", "loading", "eigenvalue"])
 

@@ -6,8 +6,6 @@ distinct cell centres only; values follow by an equi-join on the centre.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
