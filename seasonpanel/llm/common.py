@@ -46,17 +46,6 @@ def below_rate(id_col: str, rate: float, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 30)) < int(rate * (1 << 30))
 
 
-def arrow_rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: pa.Schema) -> Callable:
-    """For ``mapInArrow``: applies ``fn`` to each batch with rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out.cast(schema) if out.schema != schema else out
-
-    return run
-
-
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the smallest node it can reach.
 
@@ -88,3 +77,35 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = after
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def appended(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: dict[str, str]) -> DataFrame:
+    """``docs`` with new columns that ``fn`` computes from each Arrow batch.
+
+    A column of ``docs`` with the name of a new one is replaced; the batch that ``fn`` sees has
+    all columns of ``docs``.
+    """
+    kept = [f for f in docs.schema if f.name not in fields]
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in fields.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = fn(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + new, [f.name for f in kept] + list(fields))
+
+    return docs.mapInArrow(run, shape)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
+    """Labelled rows of ``docs`` with at most about ``per_class`` ids of either class, and the class counts.
+
+    The ids are chosen by hash, the same at each run, from all labelled ids (several labels of an
+    id: the largest counts; null labels and ids are ignored). Only the chosen ids, bounded by
+    ``per_class``, are broadcast to the scan of the texts.
+    """
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    counts = {int(r["_label"] > 0): r["n"] for r in marks.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = F.when(F.col("_label") > 0, below_rate("_id", min(1.0, per_class / max(1, counts.get(1, 0))), salt)).otherwise(below_rate("_id", min(1.0, per_class / max(1, counts.get(0, 0))), salt))
+    chosen = marks.where(rate)
+    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).drop("_id"), counts

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import crc_mod, documents
 from .exact import exact_dedup
+from .langid import fit_languages, identify
+from .quality import fit_quality, score_quality
 from .simhash import simhash_groups
+from .toxicity import LIMIT, fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +23,41 @@ def query(fn):
     return fn
 
 
+def _decision(held_out) -> list:
+    return [held_out.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted")]
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels only from ids whose crc32 leaves a remainder by 5."""
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return score_quality(docs.select("doc_id", "text"), model).select("doc_id", *_decision(crc_mod("doc_id", 5) == 0))
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt from those whose id's crc32 by 4 does not leave 2.
+
+    ``lang_pred`` is the nearest centroid's language; ``inside`` says whether the distance-based
+    rejection accepts it.
+    """
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs.where(crc_mod("doc_id", 4) != 2))
+    found = identify(docs.select("doc_id", "text"), model)
+    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, F.col("nearest_lang").alias("lang_pred"), F.col("lang_score").alias("score"), F.col("lang_inside").alias("inside"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels only from ids whose crc32 by 4 does not leave 2."""
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(crc_mod("doc_id", 4) != 2))
+    scored = score_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", *_decision(crc_mod("doc_id", 4) == 2), "toxic")
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, components, stored
+from .common import appended, components, stored
 
 #: Widths of the fingerprint's segments, from the lowest bit.
 SEGMENTS = (16, 16, 16, 16)
@@ -45,20 +45,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp) for every row; fp is the fingerprint as a signed long."""
-    kind = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col), F.col(text_col))
-    out = F.col(id_col).cast(kind)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+    def prints(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(text_col)), np.uint64, batch.num_rows)
+        return [pa.array(found.view(np.int64))]
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
-
-    return src.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, fp long").select(out.alias(id_col), "fp")
+    return appended(docs.select(id_col, text_col), prints, {"fp": "long"}).select(id_col, "fp")
 
 
 def ball_masks(segments: tuple[int, ...] = SEGMENTS, radius: int = 1) -> list[int]:
