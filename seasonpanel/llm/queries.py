@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .chat import format_chats, loss_text, read_inst
+from .common import appended, crc_mod, documents
 from .exact import exact_dedup
 from .langid import fit_languages, identify
+from .mixing import mix_plan, taken, word_count
 from .quality import fit_quality, score_quality
 from .simhash import simhash_groups
 from .toxicity import LIMIT, fit_toxicity, score_toxicity
@@ -35,6 +39,42 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), model).select("doc_id", *_decision(crc_mod("doc_id", 5) == 0))
 
 
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the turns and of the loss text, read back from every formatted conversation."""
+    chats = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], chats.schema)
+
+    def digest(batch: pa.RecordBatch) -> list[pa.Array]:
+        turns, chars, loss = [], [], []
+        for text, spans in zip(batch.column("formatted"), batch.column("spans")):
+            text = text.as_py()
+            turns.append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in read_inst(text)).encode()).hexdigest())
+            masked = loss_text(text, spans.as_py())
+            chars.append(len(masked))
+            loss.append(hashlib.sha256(masked.encode()).hexdigest())
+        return [pa.array(turns), pa.array(chars, pa.int64()), pa.array(loss)]
+
+    found = appended(format_chats(chats.unionByName(extra)), digest, {"turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string"})
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op2_chat_format"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(9 + length(role) + case when role = 'user' then 15 else 0 end
+                + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learnt from those whose id's crc32 by 4 does not leave 2.
@@ -65,6 +105,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))
+    return mix_plan(docs).select("doc_id", "size", "source_size", "target", taken().alias("taken"))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One half of the documents is the frozen snapshot, the other half the incoming batch."""
