@@ -26,7 +26,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def word_count(text_col: str = "text"):
     """Words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^" + SPACE[1:])), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^" + SPACE[1:] + "+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_text, read_inst
 from .common import appended, crc_mod, documents
+from .contamination import contamination
 from .exact import exact_dedup
 from .langid import fit_languages, identify
 from .mixing import mix_plan, taken, word_count
 from .quality import fit_quality, score_quality
 from .simhash import simhash_groups
+from .token_output import token_output, verified
 from .toxicity import LIMIT, fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +91,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, F.col("nearest_lang").alias("lang_pred"), F.col("lang_score").alias("score"), F.col("lang_inside").alias("inside"))
 
 
+@query
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence in training order, and whether its shard holds it intact."""
+    index, folder = token_output(documents(spark, sf_dir))
+    return verified(spark, index, folder)
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels only from ids whose crc32 by 4 does not leave 2."""
@@ -105,6 +114,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document contains."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = contamination(docs, documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "coverage", "item_ids")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -132,3 +149,14 @@ r as (
   from d)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r
 """
+
+
+def _pipeline() -> None:
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_pipeline()

@@ -43,14 +43,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, fp_col: str = "fp") -> DataFrame:
+    """``docs`` with each text's fingerprint as a signed long."""
 
     def prints(batch: pa.RecordBatch) -> list[pa.Array]:
         found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(text_col)), np.uint64, batch.num_rows)
         return [pa.array(found.view(np.int64))]
 
-    return appended(docs.select(id_col, text_col), prints, {"fp": "long"}).select(id_col, "fp")
+    return appended(docs, prints, {fp_col: "long"})
 
 
 def ball_masks(segments: tuple[int, ...] = SEGMENTS, radius: int = 1) -> list[int]:
@@ -88,6 +88,15 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return met.where(near).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def group_labels(rows: DataFrame, id_col: str, fp_col: str = "fp", bits: int = 2) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``rows``."""
+    nodes = rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least_id"))
+    roots = components(links(nodes.select("fp"), bits), "simhash-links")
+    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return member.join(least, "root").select("fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
     """(id, fp, component_id) per row of ``docs``; component_id is the smallest id reachable over links.
 
@@ -96,10 +105,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id take part; component_id is null only if no row of the group has an id. Repeated
     rows stay. Other columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    roots = components(links(nodes.select("fp"), bits), "simhash-links")
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = member.join(least, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select(id_col, "fp", "component_id")
+    rows = stored(with_fingerprint(docs.select(id_col, text_col), text_col, words).select(id_col, "fp"), "simhash")
+    return rows.join(group_labels(rows, id_col, bits=bits).drop("root"), "fp").select(id_col, "fp", "component_id")
+
+
+def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
+    """One row of each group of :func:`simhash_groups`, with all its columns: the one with the smallest id.
+
+    Of rows that share that id, and of groups without any id, one row stays, the one whose text has
+    the smallest hash.
+    """
+    rows = stored(with_fingerprint(docs, text_col, words, "_fp"), "simhash")
+    labels = group_labels(rows, id_col, "_fp", bits)
+    least = F.col(id_col).eqNullSafe(F.col("component_id"))
+    kept = rows.join(labels, rows["_fp"] == labels["fp"]).where(least)
+    tied = kept.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not tied.isEmpty():
+        order = Window.partitionBy("root").orderBy(F.xxhash64(text_col))
+        kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.select(*docs.columns)
