@@ -17,6 +17,7 @@ from .langid import fit_languages, identify
 from .mixing import mix_plan, taken, word_count
 from .quality import fit_quality, score_quality
 from .simhash import simhash_groups
+from .substrings import dedup_substrings
 from .token_output import token_output, verified
 from .toxicity import LIMIT, fit_toxicity, score_toxicity
 
@@ -114,6 +115,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a document with a smaller id repeats, and a digest of the others."""
+    found = dedup_substrings(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that each document contains."""
