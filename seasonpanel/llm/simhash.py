@@ -116,11 +116,10 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the smallest hash.
     """
     rows = stored(with_fingerprint(docs, text_col, words, "_fp"), "simhash")
-    labels = group_labels(rows, id_col, "_fp", bits)
-    least = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = rows.join(labels, rows["_fp"] == labels["fp"]).where(least)
-    tied = kept.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    labels = group_labels(rows, id_col, "_fp", bits).select(F.col("fp").alias("_f"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
+    kept = rows.join(labels, rows["_fp"] == labels["_f"]).where(F.col(id_col).eqNullSafe(F.col("_component")))
+    tied = kept.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if not tied.isEmpty():
-        order = Window.partitionBy("root").orderBy(F.xxhash64(text_col))
+        order = Window.partitionBy("_root").orderBy(F.xxhash64(text_col))
         kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return kept.select(*docs.columns)
