@@ -105,7 +105,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(crc_mod("doc_id", 4) != 2))
     scored = score_toxicity(docs.select("doc_id", "text", "lang"), model)
-    return scored.select("doc_id", *_decision(crc_mod("doc_id", 4) == 2), "toxic")
+    return scored.select("doc_id", *_decision(crc_mod("doc_id", 4) == 2), F.col("toxic").alias("flagged"))
 
 
 @query

@@ -112,7 +112,8 @@ def test_calibration_sets_a_limit_by_language(spark):
     model = fit_toxicity(docs, labels.where("doc_id % 3 > 0"))
     assert set(model.limits) == {None, "en", "de"} and model.limits[None] == LIMIT
     held = score_toxicity(docs.join(labels, "doc_id").where("doc_id % 3 = 0"), model).toPandas()
-    assert ((held.toxic.astype(int) == held["toxic"]).all()) and auc(held.score.to_numpy(), (held.doc_id % 5 < 2).to_numpy()) > 0.95
+    bad_ids = (held.doc_id % 5 < 2).to_numpy()
+    assert auc(held.score.to_numpy(), bad_ids) > 0.95 and (held.toxic.to_numpy() == bad_ids).mean() > 0.9
 
 
 ODD = [(None, None, None), (1, "", "en"), (1, "", "en"), (2, "!!! 12", None), (3, "long " * 200_000, "xx"), (4, "你好世界", "en")]
