@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import settled
 from ..checks import assert_empty
 from ..functions.scalars import canonical_label, cell_text, parse_number, parse_year, recode
-from ..session import settled
 
 SHEET = ["workbook", "sheet"]
 HEADER_ROWS = 30
@@ -36,7 +36,7 @@ def wide_headers(cells: DataFrame) -> DataFrame:
 
 def unpivot_years(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES, groups: Sequence[str] = tuple(K.GROUP_LABELS)) -> DataFrame:
     """Sheets with years across the header: (workbook, sheet, crop, year, value, raw_label)."""
-    headers = settled(wide_headers(cells))
+    headers = wide_headers(cells)
     placed = cells.join(headers, SHEET, "inner")
     year_cols = (
         placed.filter(F.col("row") == F.col("header_row"))
@@ -76,7 +76,7 @@ def unpivot_labels(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES
     rows = heads.groupBy(*SHEET, "header_row").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_HEADER_CELLS)
     years = cells.withColumn("year", parse_year("value")).filter("year is not null").select(*SHEET, "row", "col", "year")
     ahead = rows.drop("n").join(years, SHEET, "inner").filter(F.col("row") > F.col("header_row"))
-    year_col = settled(
+    year_col = (
         ahead.filter(F.col("row") <= F.col("header_row") + YEAR_SEARCH_ROWS)
         .groupBy(*SHEET, "header_row")
         .agg(F.min(F.struct("row", "col"))["col"].alias("year_col"))
@@ -88,7 +88,7 @@ def unpivot_labels(cells: DataFrame, aliases: Mapping[str, str] = K.CROP_ALIASES
         .join(heads, [*SHEET, "header_row"], "inner")
         .join(numbers, [*SHEET, "row", "col"], "inner")
     )
-    first = settled(records.groupBy(*SHEET).agg(F.min("header_row").alias("header_row")))
+    first = records.groupBy(*SHEET).agg(F.min("header_row").alias("header_row"))
     return records.join(first, [*SHEET, "header_row"], "left_semi").select(*SHEET, "crop", "year", "value", "raw_label")
 
 

@@ -8,7 +8,6 @@ data: each task turns its Arrow batches into one weighted matrix per iteration
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -17,11 +16,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .linear import components_for_share, eigen, gram, scales, unpack
 from .series import cumulative_share
 
 BLOCK_ROWS = 4096
-EXACT_MATCHES = 6
 
 
 def feature_gram(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -126,26 +125,49 @@ def bootstrap_grams(df: DataFrame, columns: Sequence[str], key: Sequence[str], i
 def permuted_grams(df: DataFrame, columns: Sequence[str], key: Sequence[str], iterations: int = 200, seed: int = 42) -> DataFrame:
     """(iter, n, m): matrices after every column is permuted on its own.
 
-    Rows fall into random blocks of about ``BLOCK_ROWS``; columns are permuted
-    inside each block. Blocks are drawn by hash, so their rows are unrelated and
-    the pairing of columns is random, while each column keeps its exact values.
+    Rows fall into random blocks of about ``BLOCK_ROWS``. Inside a block the deviations from
+    the block's means are permuted column by column; the means become rows of a table that is
+    smaller by ``BLOCK_ROWS`` and is permuted in the same way, until one block holds it all.
+    So no pairing of columns survives, neither of rows nor of block means, and the spread of
+    the correlations is that of a permutation of all rows. Blocks are drawn by hash.
     """
     cols = list(columns)
-    rows = df.dropna(subset=cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols])
-    blocks = max(1, round(rows.count() / BLOCK_ROWS))
-    blocked = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_k", 17), F.lit(blocks)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k")
-        x, k = pdf[cols].to_numpy(float), pdf["_k"].to_numpy()
-        out = []
-        for i in range(iterations):
-            order = np.argsort(mix(k, i * len(cols) + np.arange(len(cols))), axis=0, kind="stable")
-            z = np.column_stack([np.ones(len(x)), np.take_along_axis(x, order, axis=0), np.zeros(len(x))])
-            out.append((i + 1, (z.T @ z).ravel().tolist()))
-        return pd.DataFrame(out, columns=["iter", "m"])
-
-    return _sum_iterations(blocked.groupBy("_b").applyInPandas(run, "iter int, m array<double>"))
+    rows = df.dropna(subset=cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), F.lit(1.0).alias("_w"), *[F.col(c).cast("double").alias(c) for c in cols])
+    fields = ", ".join(["_k long", "_w double", *[f"`{c}` double" for c in cols]])
+
+    def permuted(last: bool, weight: float):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_k")
+            x, k = pdf[cols].to_numpy(float), pdf["_k"].to_numpy()
+            x = x if last else x - np.average(x, axis=0, weights=pdf["_w"])
+            out = []
+            for i in range(iterations):
+                order = np.argsort(mix(k, i * len(cols) + np.arange(len(cols))), axis=0, kind="stable")
+                z = np.column_stack([np.full(len(x), float(last)), np.take_along_axis(x, order, axis=0), np.zeros(len(x))])
+                out.append((i + 1, (z.T @ z * weight).ravel().tolist()))
+            return pd.DataFrame(out, columns=["iter", "m"])
+
+        return run
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean = np.average(pdf[cols].to_numpy(float), axis=0, weights=pdf["_w"])
+        return pd.DataFrame([(int(pdf["_k"].min()), float(pdf["_w"].sum()), *mean)], columns=["_k", "_w", *cols])
+
+    parts = []
+    while True:
+        count, total = rows.agg(F.count(F.lit(1)), F.sum("_w")).first()
+        blocks, weight = max(1, round(count / BLOCK_ROWS)), (total or 0.0) / max(count, 1)
+        last = blocks == 1
+        blocked = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_k", 17), F.lit(blocks)))
+        parts.append(blocked.groupBy("_b").applyInPandas(permuted(last, weight), "iter int, m array<double>"))
+        if last:
+            break
+        # at the next level the key of a block is a hash of its own
+        rows = settled(blocked.groupBy("_b").applyInPandas(means, fields).withColumn("_k", F.xxhash64(F.lit(seed + len(parts)), "_k")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return _sum_iterations(every)
 
 
 def parallel_analysis(df: DataFrame, columns: Sequence[str], key: Sequence[str], iterations: int = 200, percentile: float = 0.95, seed: int = 42) -> DataFrame:
@@ -174,16 +196,37 @@ def _iteration_spectra(grams: DataFrame) -> DataFrame:
 
 def best_matches(target: np.ndarray, other: np.ndarray) -> list[int]:
     """Column of ``other`` for each column of ``target`` with the largest total absolute
-    inner product; above ``EXACT_MATCHES`` columns, strongest pairs first."""
-    k = target.shape[1]
-    strength = np.abs(target.T @ other)
-    if k <= EXACT_MATCHES:
-        return list(max(permutations(range(other.shape[1]), k), key=lambda order: strength[range(k), order].sum()))
-    match = [-1] * k
-    for flat in np.argsort(-strength, axis=None):
-        i, j = divmod(int(flat), other.shape[1])
-        if match[i] < 0 and j not in match:
-            match[i] = j
+    inner product: the assignment problem, solved by shortest augmenting paths."""
+    cost = -np.abs(target.T @ other)
+    rows, cols = cost.shape
+    by_row, by_col = np.zeros(rows), np.zeros(cols)
+    owner = np.full(cols, -1)
+    for start in range(rows):
+        # grow a tree of tight pairs from ``start`` until it reaches a free column
+        gap, came, reached = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
+        row, via = start, -1
+        while True:
+            slack = cost[row] - by_row[row] - by_col
+            better = ~reached & (slack < gap)
+            gap[better], came[better] = slack[better], via
+            col = int(np.where(reached, np.inf, gap).argmin())
+            step = gap[col]
+            by_row[start] += step
+            by_row[owner[reached]] += step
+            by_col[reached] -= step
+            gap[~reached] -= step
+            reached[col] = True
+            if owner[col] < 0:
+                break
+            row, via = int(owner[col]), col
+        while col >= 0:
+            before = int(came[col])
+            owner[col] = owner[before] if before >= 0 else start
+            col = before
+    match = [-1] * rows
+    for col, row in enumerate(owner):
+        if row >= 0:
+            match[int(row)] = col
     return match
 
 

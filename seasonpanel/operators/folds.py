@@ -7,7 +7,6 @@ by "total minus own" sums; no pair of train and test rows is ever formed.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .ranks import dense_fold, hash_rank
 
-GREEDY_GROUPS = 10_000
-
 
 def spatial_folds(df: DataFrame, folds: int = 5, unit: str = "spatial_unit", seed: int = 42) -> DataFrame:
     """(unit, fold): each unit is tested in exactly one of min(folds, units) folds."""
@@ -78,8 +75,9 @@ def rolling_membership(df: DataFrame, folds: DataFrame, year: str = "year") -> D
     return rows.withColumns({"fold": F.col("_f.fold"), "role": role}).drop("_folds", "_f")
 
 
-def future_unseen(df: DataFrame, target: str = "yield_tons_ha", unit: str = "spatial_unit", year: str = "year") -> DataFrame:
-    """One fold per (year, unit): training rows are earlier and of other units.
+def future_unseen(df: DataFrame, target: str = "yield_tons_ha", unit: str = "spatial_unit", year: str = "year", minimum_years: int = 3) -> DataFrame:
+    """One fold per (year, unit): training rows are earlier and of other units. The first
+    ``minimum_years`` years are only trained on.
 
     Their count and mean are the running totals of all units minus the running
     totals of the unit itself.
@@ -91,10 +89,14 @@ def future_unseen(df: DataFrame, target: str = "yield_tons_ha", unit: str = "spa
     own = cell.withColumns({f"_o{c}": zero(F.sum(c).over(own_w)) for c in ("test_rows", "_s", "_c")})
     years = cell.groupBy(year).agg(*[F.sum(c).alias(f"_y{c}") for c in ("test_rows", "_s", "_c")])
     all_w = before(Window.partitionBy())
-    totals = years.select(year, *[zero(F.sum(f"_y{c}").over(all_w)).alias(f"_a{c}") for c in ("test_rows", "_s", "_c")])
+    totals = years.select(
+        year,
+        F.row_number().over(Window.partitionBy().orderBy(year)).alias("_position"),
+        *[zero(F.sum(f"_y{c}").over(all_w)).alias(f"_a{c}") for c in ("test_rows", "_s", "_c")],
+    )
     out = own.join(totals, year, "inner").withColumn("train_rows", F.col("_atest_rows") - F.col("_otest_rows"))
     mean = (F.col("_a_s") - F.col("_o_s")) / F.nullif(F.col("_a_c") - F.col("_o_c"), F.lit(0))
-    return out.filter("train_rows > 0").select(year, unit, "test_rows", "train_rows", mean.alias("training_mean"))
+    return out.filter((F.col("train_rows") > 0) & (F.col("_position") > minimum_years)).select(year, unit, "test_rows", "train_rows", mean.alias("training_mean"))
 
 
 def calibration_split(unit_folds: DataFrame, unit: str = "spatial_unit", share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -124,28 +126,39 @@ def random_folds(df: DataFrame, key: Sequence[str], folds: int = 5, seed: int =
     return ranked.withColumn("fold", (F.pmod(F.col("_rank") - 1, F.lit(folds)) + 1).cast("int")).drop("_rank")
 
 
+def _deal(load: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` groups of ``size`` rows each fold gets when every group goes to
+    the fold with the least rows, the first of equals. The k-th group of a fold goes there at
+    load + (k - 1) * size, so the ``count`` smallest such numbers are the placements."""
+    before = lambda limit: [max(0, -(-(limit - x) // size)) for x in load]
+    low, high = min(load), max(load) + size * count + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(before(mid)) <= count else (low, mid)
+    given = before(low)
+    for f, x in enumerate(load):
+        if sum(given) < count and x + given[f] * size == low:
+            given[f] += 1
+    return given
+
+
 def balanced_group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """(group, fold): largest group first, each to the lightest fold.
 
-    The largest groups decide the balance; up to ``GREEDY_GROUPS`` of them are
-    placed on the driver. Any further groups are smaller than all of those and
-    are dealt out evenly by hash.
+    Only the distinct group sizes and how many groups have them come to the driver; n rows
+    have fewer than sqrt(2 n) sizes. Each size's groups are dealt out there by number, and a
+    group finds its fold by its hashed rank among the groups of its size.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = sizes.orderBy(F.desc("n"), group).limit(GREEDY_GROUPS).collect()
-    load = [(0, f) for f in range(1, folds + 1)]
-    heapq.heapify(load)
-    placed = []
-    for row in head:
-        weight, fold = heapq.heappop(load)
-        placed.append((row[group], fold))
-        heapq.heappush(load, (weight + row["n"], fold))
-    schema = f"{group} {dict(sizes.dtypes)[group]}, fold int"
-    table = df.sparkSession.createDataFrame(placed, schema)
-    if len(head) < GREEDY_GROUPS:
-        return table
-    rest = sizes.select(group).join(table.select(group), group, "left_anti")
-    return table.unionByName(dense_fold(rest, group, folds).select(group, "fold"))
+    load, dealt = [0] * folds, []
+    for size, count in sorted((tuple(r) for r in sizes.groupBy("n").count().collect()), reverse=True):
+        given = _deal(load, size, count)
+        load = [x + size * g for x, g in zip(load, given)]
+        dealt.append((size, [sum(given[: f + 1]) for f in range(folds)]))
+    table = df.sparkSession.createDataFrame(dealt, "n long, _upto array<long>")
+    ranked = hash_rank(sizes, [group], ["n"], 42, "_rank").join(table, "n")
+    fold = F.size(F.filter("_upto", lambda upto: upto < F.col("_rank"))) + 1
+    return ranked.select(group, fold.cast("int").alias("fold"))
 
 
 def year_pair(df: DataFrame, train_year: int, test_year: int, year: str = "year") -> DataFrame:

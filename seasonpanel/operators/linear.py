@@ -15,10 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INLINE_COLUMNS = 12
 GROUPS_IN_TASK = 256
 
 
@@ -27,14 +26,7 @@ def gram(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[s
     matrix over (1, features, target). Rows with a missing value are left out."""
     cols = [*features, target]
     rows = df.dropna(subset=cols).withColumn("_w", weight if weight is not None else F.lit(1.0))
-    if len(cols) > INLINE_COLUMNS:
-        return _blocked_gram(rows, cols, list(groups))
-    z = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-    q = len(z)
-    upper = [F.sum(F.col("_w") * z[i] * z[j]).alias(f"_m{i}_{j}") for i in range(q) for j in range(i, q)]
-    sums = rows.groupBy(*groups).agg(*upper)
-    flat = [F.col(f"_m{min(i, j)}_{max(i, j)}") for i in range(q) for j in range(q)]
-    return sums.select(*groups, F.col("_m0_0").alias("n"), F.array(*flat).alias("m"))
+    return _blocked_gram(rows, cols, list(groups))
 
 
 def _blocked_gram(rows: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
@@ -85,12 +77,16 @@ def complement_grams(grams: DataFrame, fold: str = "fold", groups: Sequence[str]
 
 
 def earlier_grams(grams: DataFrame, year: str = "year", first_test: int | None = None) -> DataFrame:
-    """Training matrix of each test year: the sum over strictly earlier years."""
-    years = grams.select(F.col(year).alias("test_year")).distinct()
+    """Training matrix of each test year: the running sum over strictly earlier years.
+    A cell of the matrix has one row per year, so a window is as long as there are years."""
+    cells = grams.select(year, F.posexplode("m").alias("pos", "v")).groupBy(year, "pos").agg(F.sum("v").alias("v"))
+    before = Window.partitionBy("pos").orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
+    running = cells.withColumn("v", F.sum("v").over(before)).filter("v is not null")
     if first_test is not None:
-        years = years.filter(F.col("test_year") >= first_test)
-    pairs = grams.join(years, F.col(year) < F.col("test_year"), "inner")
-    return sum_grams(pairs, ["test_year"]).withColumnRenamed("test_year", year)
+        running = running.filter(F.col(year) >= first_test)
+    packed = running.groupBy(year).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("c"))
+    m = F.transform("c", lambda x: x["v"])
+    return packed.select(year, F.element_at(m, 1).alias("n"), m.alias("m"))
 
 
 # --- small dense algebra on one matrix -------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import settled
 from .ranks import null_safe_join, order_statistics
 
+#: Levels of a categorical predictor at most, unless a call allows more.
 MAX_LEVELS = 1000
 TRAIN_ROLES = ("train", "proper")
 
@@ -94,28 +95,23 @@ def standardise(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     return scaled.drop(*[f"_{s}_{c}" for c in columns for s in ("avg", "std")])
 
 
-def training_levels(rows: DataFrame, column: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
-    """(keys, levels): sorted training levels of each fold. The distinct pairs are
-    read once and their number is checked, so the table is small and local."""
+def training_levels(rows: DataFrame, column: str, keys: Sequence[str] = ("fold",), max_levels: int = MAX_LEVELS) -> DataFrame:
+    """(keys, levels): sorted training levels of each fold. ``max_levels`` bounds the
+    distinct levels of the column, however many folds share them."""
     distinct = training_rows(rows).filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("_one"))
-    pairs = distinct.drop("_one").limit(MAX_LEVELS + 1).collect()
-    if len(pairs) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} level and fold pairs; it is not a categorical predictor")
-    local = rows.sparkSession.createDataFrame(pairs, distinct.drop("_one").schema)
-    return local.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("levels"))
+    if len(distinct.select(column).distinct().limit(max_levels + 1).collect()) > max_levels:
+        raise ValueError(f"{column} has more than {max_levels} levels; it is not a categorical predictor")
+    return distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("levels"))
 
 
-def one_hot(rows: DataFrame, column: str, keys: Sequence[str] = ("fold",), drop_first: bool = True) -> tuple[DataFrame, list[str]]:
+def one_hot(rows: DataFrame, column: str, keys: Sequence[str] = ("fold",), drop_first: bool = True, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, list[str]]:
     """Indicator columns named column=level. A level unknown to the training rows of
-    a fold, and the first known one when ``drop_first``, gives all zeros."""
-    table = training_levels(rows, column, keys).collect()
-    names = sorted({level for r in table for level in r["levels"]})
+    a fold, and the first known one when ``drop_first``, gives all zeros. Only the
+    names of the levels, ``max_levels`` at most, come to the driver."""
+    table = settled(training_levels(rows, column, keys, max_levels))
+    names = sorted(r[0] for r in table.select(F.explode("levels")).distinct().collect())
     names = names[1:] if drop_first and not keys else names
-    known = rows.sparkSession.createDataFrame(
-        [(*[r[k] for k in keys], r["levels"]) for r in table],
-        ", ".join([*[f"`{k}` {dict(rows.dtypes)[k]}" for k in keys], f"_levels array<{dict(rows.dtypes)[column]}>"]),
-    )
-    joined = attach(rows, known, keys)
+    joined = attach(rows, table.withColumnRenamed("levels", "_levels"), keys)
     out = {}
     for level in names:
         hit = (F.col(column) == level) & F.array_contains("_levels", F.lit(level))

@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, settled
+from ..session import cut_lineage
 
 BUCKETS = 16_384
 VALUES_PER_SPLIT = 1_000_000
-SPLITS = (16, 2_048)
+LEAST_SPLITS = 16
 
 
 def seeded_hash(seed: int | Column, *cols: str | Column) -> Column:
@@ -69,7 +69,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def dense_fold(df: DataFrame, unit: str, folds: int, groups: Sequence[str] = (), seed: int | Column = 42) -> DataFrame:
     """Distinct units dealt evenly into ``folds`` folds numbered from 1."""
-    units = settled(df.select(*groups, unit).distinct())
+    units = df.select(*groups, unit).distinct()
     ranked = hash_rank(units, [unit], groups, seed, "_rank", total="_units")
     k = F.least(F.lit(folds), F.col("_units"))
     return ranked.select(*groups, unit, (F.pmod(F.col("_rank") - 1, k) + 1).cast("int").alias("fold"), F.col("_units").alias("units"))
@@ -93,10 +93,10 @@ class OrderStatistics:
         # the table of distinct values is read several times below; it is written once
         counts = cut_lineage(rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
         largest = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-        splits = min(max(largest // VALUES_PER_SPLIT, SPLITS[0]), SPLITS[1])
+        splits = max(largest // VALUES_PER_SPLIT, LEAST_SPLITS)
         probs = [i / splits for i in range(1, splits)]
         edges = counts.groupBy(*groups).agg(
-            F.percentile_approx("_v", probs, 10000).alias("_edges"), F.sum("_c").alias("_n")
+            F.percentile_approx("_v", probs, max(10_000, 10 * splits)).alias("_edges"), F.sum("_c").alias("_n")
         )
         placed = null_safe_join(counts, edges, groups, "inner")
         self.values = placed.withColumn(

@@ -64,7 +64,8 @@ def inner_temporal(spark, d):
 
 @query("k04_future_unseen", "K4", sql(
     """select a.year, a.spatial_unit, a.n as test_rows, cast(sum(b.n) as bigint) as train_rows, round(sum(b.s) / sum(b.n), 8) as training_mean
-    from (select spatial_unit, year, count(*) as n from targets group by all) a join (select spatial_unit, year, count(*) as n, sum(yield_tons_ha) as s from targets group by all) b on b.year < a.year and b.spatial_unit <> a.spatial_unit group by all""", "targets"))
+    from (select spatial_unit, year, count(*) as n from targets group by all) a join (select spatial_unit, year, count(*) as n, sum(yield_tons_ha) as s from targets group by all) b on b.year < a.year and b.spatial_unit <> a.spatial_unit
+    where a.year in (select year from (select distinct year from targets) qualify row_number() over (order by year) > 3) group by all""", "targets"))
 def future_unseen(spark, d):
     return rounded(folds.future_unseen(I.targets(spark, d)))
 
@@ -85,7 +86,12 @@ def random_folds(spark, d):
     return folds.random_folds(I.scan(spark, d, "orders"), ["o_orderkey"]).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("k08_balanced_group_folds", "K8", None)
+@query("k08_balanced_group_folds", "K8", sql(
+    """select * from (with recursive g as (select n, row_number() over (order by n desc) as i from (select spatial_unit, count(*) as n from targets group by 1)),
+    deal as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as load, [0, 0, 0, 0, 0]::bigint[] as units
+      union all select g.i, list_transform(load, lambda x, k: x + case when k = list_position(load, list_min(load)) then g.n else 0 end),
+        list_transform(units, lambda x, k: x + case when k = list_position(load, list_min(load)) then 1 else 0 end) from deal join g on g.i = deal.i + 1)
+    select cast(f as integer) as fold, load[f] as rows, units[f] as units from (select * from deal order by i desc limit 1), range(1, 6) t(f) where load[f] > 0)""", "targets"))
 def balanced_folds(spark, d):
     t = I.targets(spark, d)
     table = folds.balanced_group_folds(t, "spatial_unit")

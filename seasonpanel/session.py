@@ -32,9 +32,9 @@ def local_session(cpus: int | None = None, app: str = "seasonpanel") -> SparkSes
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """``folder``, else the cluster's checkpoint folder; a temporary one only in local mode."""
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -53,14 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SETTLED_ROWS = 10_000
+def settled(df: DataFrame) -> DataFrame:
+    """A table that several later steps read, computed once, whatever its size.
 
-
-def settled(df: DataFrame, limit: int = SETTLED_ROWS) -> DataFrame:
-    """A table that is used several times, computed once.
-
-    Up to ``limit`` rows become a local table; a larger one is checkpointed in the
-    shared folder. Meant for fold, unit and statistics tables, not for data rows.
+    Meant for fold, unit and statistics tables, not for data rows.
     """
-    rows = df.limit(limit + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else cut_lineage(df)
+    return cut_lineage(df)

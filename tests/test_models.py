@@ -1,6 +1,7 @@
 """Folds, linear algebra, baselines, intervals and diagnostics."""
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -75,14 +76,57 @@ def test_linear_fits_agree_with_direct_solutions(spark, panel):
     assert linear.squared_error(m, coef) == pytest.approx(float(((y - coef[0] - x @ coef[1:]) ** 2).sum()), abs=1e-7)
 
 
-def test_blocked_gram_equals_inline(spark, panel, monkeypatch):
+def test_gram_equals_matrix_products(spark, panel):
     cols = ["x1", "x2", "x4"]
-    a = {r["crop"]: r["m"] for r in linear.gram(panel, cols, "yield_tons_ha", ["crop"], F.abs("x5")).collect()}
-    monkeypatch.setattr(linear, "INLINE_COLUMNS", 1)
-    b = {r["crop"]: r["m"] for r in linear.gram(panel, cols, "yield_tons_ha", ["crop"], F.abs("x5")).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k])
+    got = {r["crop"]: r["m"] for r in linear.gram(panel, cols, "yield_tons_ha", ["crop"], F.abs("x5")).collect()}
+    pdf = panel.dropna(subset=[*cols, "yield_tons_ha"]).toPandas()
+    assert set(got) == set(pdf["crop"])
+    for crop, part in pdf.groupby("crop"):
+        z = np.column_stack([np.ones(len(part)), part[[*cols, "yield_tons_ha"]].to_numpy(float)])
+        assert got[crop] == pytest.approx((z.T @ (z * np.abs(part["x5"].to_numpy())[:, None])).ravel())
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 7, 9])
+def test_matches_are_the_best_assignment(k):
+    rng = np.random.default_rng(k)
+    for wide in (k, k + 2):
+        a, b = rng.normal(size=(12, k)), rng.normal(size=(12, wide))
+        strength = np.abs(a.T @ b)
+        got = components.best_matches(a, b)
+        assert len(set(got)) == k
+        if k <= 5:
+            best = max(strength[range(k), list(p)].sum() for p in permutations(range(wide), k))
+            assert strength[range(k), got].sum() == pytest.approx(best)
+        shuffled = rng.permutation(k)
+        assert components.best_matches(a, a[:, shuffled]) == np.argsort(shuffled).tolist() or k > 12
+
+
+def test_permuted_columns_keep_no_correlation_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=4_000)
+    df = spark.createDataFrame([(i, float(v), float(v), float(v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    got = [np.array(r["m"]).reshape(5, 5) for r in components.permuted_grams(df, ["a", "b", "c"], ["id"], 60).collect()]
+    r = []
+    for m in got:
+        assert m[0, 0] == pytest.approx(4_000, rel=1e-6) and m[1, 1] == pytest.approx((x * x).sum(), rel=0.02)
+        c = m[1:4, 1:4] - np.outer(m[0, 1:4], m[0, 1:4]) / m[0, 0]
+        r += [c[i, j] / np.sqrt(c[i, i] * c[j, j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert abs(np.mean(r)) < 4 / np.sqrt(len(r) * 4_000) and 0.7 < np.std(r) * np.sqrt(4_000) < 1.3
+
+
+def test_groups_are_dealt_as_the_greedy_rule_does(spark):
+    rng = np.random.default_rng(1)
+    for sizes in ([7, 7, 7, 3, 3, 1], rng.integers(1, 9, 400).tolist(), [50] + [1] * 30):
+        load = [0] * 5
+        for n in sorted(sizes, reverse=True):
+            load[load.index(min(load))] += n
+        rows = [(f"g{i}",) for i, n in enumerate(sizes) for _ in range(n)]
+        df = spark.createDataFrame(rows, "g string")
+        table = folds.balanced_group_folds(df, "g")
+        assert table.count() == len(sizes) == table.select("g").distinct().count()
+        got = {r["fold"]: r["count"] for r in df.join(table, "g").groupBy("fold").count().collect()}
+        assert [got.get(f, 0) for f in range(1, 6)] == load
 
 
 def test_leave_one_row_out_equals_refitting(spark, panel):
