@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..checks import assert_unique_key
 from ..checks import numeric_columns, try_divide
 from ..functions.scalars import days_in_month, degree_days, kelvin_to_celsius, month_group
 from .ranks import group_quantiles, null_safe_join
@@ -198,7 +199,9 @@ def climatology(
 def climate_anomalies(
     features: DataFrame, clim: DataFrame, unit: str = "district", seasons: Sequence[str] = tuple(K.MONTH_GROUPS)
 ) -> DataFrame:
-    """Difference from the baseline and its z-score; a zero spread gives NULL."""
+    """Difference from the baseline and its z-score; a zero spread gives NULL. A unit with
+    two baselines raises."""
+    assert_unique_key(clim, [unit], "baseline")
     out = features.join(clim, unit, "left")
     pairs = [("annual_rainfall", "clim_annual", "rainfall"), *[(s, f"clim_{s}", s) for s in seasons]]
     for column, base, name in pairs:

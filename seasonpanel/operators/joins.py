@@ -38,7 +38,8 @@ def merge_climate(rain: DataFrame, temperature: DataFrame, keys: Sequence[str] =
 
 
 def attach_static(panel: DataFrame, static: DataFrame, key: str = "spatial_unit") -> DataFrame:
-    return panel.join(static, key, "left")
+    """Static columns of a key that the dimension promises to hold once; a repeated key raises."""
+    return validated_join(panel, static, [key], "left", "many_to_one")
 
 
 def attach_elevation(panel: DataFrame, elevation: DataFrame | None, source: str = "elevation", key: str = "spatial_unit") -> DataFrame:

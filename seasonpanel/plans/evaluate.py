@@ -124,7 +124,7 @@ def nested_evaluation(
     scale: str = "raw",
     spaces: Sequence[str] = ("raw", "pca", "hybrid"),
     specs: Sequence[tuple[str, Sequence[float]]] = tuple(SPECS),
-    alpha: float = 0.05,
+    alpha: float = 0.10,
     folds: int = 5,
     seed: int = 42,
 ) -> DataFrame:
@@ -179,7 +179,7 @@ def nested_evaluation(
 
 def tree_evaluation(
     data: DataFrame, features: Sequence[str], kind: str, params: dict, target: str = "yield_tons_ha", folds: int = 5, seed: int = 42,
-    alpha: float = 0.05,
+    alpha: float = 0.10,
 ) -> DataFrame:
     """Out-of-fold predictions of a tree ensemble with conformal intervals; one fit
     per outer fold on its proper-training rows."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators import agg, cells, quality, spatial
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sources import payloads, tables
 from . import inputs as I
 from .base import query
@@ -20,15 +22,22 @@ from .inputs import rounded, sql
     """select cast(s_suppkey as varchar) as district, 'clay' as property, depth, case depth when '0-5cm' then s_acctbal else s_nationkey + 0.5 end as value, 10 as d_factor
     from supplier, (values ('0-5cm'), ('5-15cm')) t(depth) where depth = '0-5cm' or s_nationkey % 2 = 0"""))
 def soil_payload(spark, d):
-    """Payload text is built from the suppliers, then parsed like a landed file."""
+    """One text per supplier and depth in the landed shape, written to the shared folder and read again."""
     s = I.scan(spark, d, "supplier")
     second = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey") + 0.5).cast("string")
     text = F.concat(
-        F.lit('{"layers": [{"name": "clay", "unit_measure": {"d_factor": 10}, "depths": [{"label": "0-5cm", "values": {"mean": '),
-        F.col("s_acctbal").cast("string"), F.lit('}}, {"label": "5-15cm", "values": {"mean": '), F.coalesce(second, F.lit("null")), F.lit("}}]}]}"))
+        F.lit('{"type": "Feature", "properties": {"layers": [{"name": "clay", "unit_measure": {"d_factor": 10}, "depths": [{"label": "0-5cm", "values": {"mean": '),
+        F.col("s_acctbal").cast("string"), F.lit('}}, {"label": "5-15cm", "values": {"mean": '), F.coalesce(second, F.lit("null")), F.lit("}}]}]}}"))
     files = s.select(F.col("s_suppkey").cast("string").alias("district"), F.lit("clay").alias("property"),
-                     F.explode(F.array(F.lit("0-5cm"), F.lit("5-15cm"))).alias("depth"), text.alias("text"))
-    return payloads.soil_points(files.withColumn("payload", F.from_json("text", payloads.SOIL_PAYLOAD)))
+                     F.explode(F.array(F.lit("0-5cm"), F.lit("5-15cm"))).alias("depth"), text.alias("value"))
+    return payloads.soil_points(payloads.parsed(landed(files), payloads.SOIL_PAYLOAD, "properties.layers"))
+
+
+def landed(files):
+    """The payload table as a landing job leaves it."""
+    path = f"{shared_folder(files.sparkSession)}/landed-{uuid.uuid4().hex}"
+    files.write.json(path)
+    return files.sparkSession.read.schema(files.schema).json(path)
 
 
 @query("a03_daily_map_payload", "A3 J13", sql(
@@ -52,9 +61,9 @@ def daily_map_payload(spark, d):
     """select district, date, rain_mm, cast(year(date) as integer) as year, cast(month(date) as integer) as month, cast(day(date) as integer) as day, cast(dayofyear(date) as integer) as doy from daily where rain_mm is not null""", "daily"))
 def record_payload(spark, d):
     day = I.daily(spark, d).filter("rain_mm is not null")
-    record = F.struct(F.date_format("date", "M/d/yyyy").alias("date"), F.col("rain_mm").alias("value"))
-    text = day.select("district", F.to_json(F.array(record)).alias("text"))
-    return payloads.daily_from_records(text.withColumn("payload", F.from_json("text", payloads.RECORD_PAYLOAD)))
+    record = F.struct(F.date_format("date", "M/d/yyyy").alias("date"), F.date_format("date", "yyyy-MM-dd").alias("isodate"), F.col("rain_mm").cast("string").alias("raw_value"))
+    files = day.groupBy("district").agg(F.to_json(F.collect_list(record)).alias("value"))
+    return payloads.daily_from_records(payloads.parsed(landed(files), payloads.RECORD_PAYLOAD, ""))
 
 
 @query("a05_feature_centroids", "A5", sql(
@@ -62,13 +71,16 @@ def record_payload(spark, d):
 def feature_centroids(spark, d):
     n = I.scan(spark, d, "nation")
     x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
-    p = lambda a, b: F.struct(a.alias("lon"), b.alias("lat"))
     zero = F.lit(0.0)
-    big = F.array(p(x, zero), p(x, y), p(x + 2, zero), p(x + 2, y), p(x + 1, zero + 3))
-    small = F.array(p(zero, zero), p(zero, zero + 1), p(zero + 1, zero))
-    text = F.to_json(F.struct(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"), F.array(small, big).alias("rings")))
-    parsed = n.select(F.from_json(text, payloads.GEOMETRY_FEATURE).alias("f")).select("f.*")
-    return spatial.centroids(parsed)
+    big = F.array(F.array(x, zero), F.array(x, y), F.array(x + 2, zero), F.array(x + 2, y), F.array(x + 1, zero + 3))
+    small = F.array(F.array(zero, zero), F.array(zero, zero + 1), F.array(zero + 1, zero))
+    # odd nations are one polygon with a hole, even ones two polygons
+    odd = F.col("n_nationkey") % 2 == 1
+    polygon, several = F.to_json(F.array(big, small)), F.to_json(F.array(F.array(small), F.array(big)))
+    geometry = F.concat(F.lit('{"type": "'), F.when(odd, "Polygon").otherwise("MultiPolygon"), F.lit('", "coordinates": '), F.when(odd, polygon).otherwise(several), F.lit("}"))
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {"shapeName": "N'), F.col("n_nationkey").cast("string"), F.lit('"}, "geometry": '), geometry, F.lit("}"))
+    files = n.groupBy("n_regionkey").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}")).alias("value")).select("value")
+    return spatial.centroids(payloads.centroid_rings(payloads.boundary_features(payloads.parsed(landed(files), payloads.BOUNDARY_PAYLOAD, "features"))))
 
 
 @query("a01_declared_scan", "A1", sql("select l_suppkey, count(*) as lines, sum(l_quantity) as quantity from lineitem group by 1"))

@@ -486,7 +486,7 @@ def gate_panel(spark, d):
 
 
 @query("q01_final_dataset_gate", "Q1", sql(
-    """select cast(unnest([1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18]) as integer) as position, unnest(['Duplicate analytical keys found','Too few rows','Primary modeling data mix annual and seasonal targets','target_temporal_granularity must be seasonal or annual','Insufficient independent environmental units','Insufficient independent spatial units','Insufficient temporal coverage','The target contains missing or non-numeric values','The target contains infinite values','Negative yield values are not permitted','Proxy targets are not permitted in final mode','Synthetic targets are not permitted in final mode','Targets assigned from a higher geography are not permitted','Invalid target source types','Target and predictor geographic levels do not match','Target-derived columns were included as predictors','Requested features do not exist','Features below the required coverage threshold']) as "check",
+    """select cast(unnest([1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18]) as integer) as position, unnest(['panel key occurs more than once','rows below minimum','annual and seasonal targets in one panel','unknown target granularity','environments below minimum','spatial units below minimum','years below minimum','target missing or not a number','target infinite','target below zero','proxy targets present','synthetic targets present','targets carried down from a wider area','target source type outside the allowed set','target and predictor levels differ','predictors derived from the target','predictors absent from the panel','predictor coverage below minimum']) as "check",
     unnest([0, n, 1, 1, e, u, y, 0, 0, 0, 0, syn, 0, prm, lvl, 2, 1, cov]) as value, unnest([0.0, 100, 1, 1, 50, 5, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.8]) as threshold,
     unnest([true, n >= 100, true, true, e >= 50, u >= 5, y >= 4, true, true, true, true, syn = 0, true, prm = 0, lvl = 0, false, false, cov >= 0.8]) as passed
     from (select count(*)::double as n, count(distinct (spatial_unit, year, season))::double as e, count(distinct spatial_unit)::double as u, count(distinct year)::double as y,
@@ -496,7 +496,7 @@ def final_gate(spark, d):
 
 
 @query("q11_acceptance", "Q11", sql(
-    """select false as accepted, 'Synthetic targets are not permitted in final mode' as reason, count(distinct (spatial_unit, year, season)) as environments, count(distinct spatial_unit) as units, count(distinct year) as years, count(*) as rows from targets where year >= 1997""", "targets"))
+    """select false as accepted, 'synthetic targets present' as reason, count(distinct (spatial_unit, year, season)) as environments, count(distinct spatial_unit) as units, count(distinct year) as years, count(*) as rows from targets where year >= 1997""", "targets"))
 def acceptance(spark, d):
     panel = gate_panel(spark, d)
     report = quality.final_dataset_report(panel, ["area_planted_ha"])

@@ -142,7 +142,7 @@ def test_final_gate_names_every_flaw(spark):
         (F.col("id") == 3).alias("is_proxy"), F.lit(False).alias("is_synthetic"), (F.col("id") == 4).alias("is_geographically_assigned"))
     with pytest.raises(ValueError) as e:
         quality.validate_final_dataset(df, ["production_mt", "nowhere"])
-    for text in ("mix annual and seasonal", "Target-derived", "Requested features", "Proxy targets", "assigned from a higher geography"):
+    for text in ("annual and seasonal", "derived from the target", "absent from the panel", "proxy targets", "carried down"):
         assert text in str(e.value)
 
 
@@ -206,8 +206,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "split/target_temporal_granularity=annual")).count() == 1
     manifest = sinks.fingerprint(df)
     sinks.write_bundle({"t": df}, manifest, str(tmp_path / "run"))
-    with pytest.raises(Exception, match="already exists"):
-        sinks.write_bundle({"t": df}, manifest, str(tmp_path / "run"))
+    with pytest.raises(ValueError, match="exists"):
+        sinks.write_bundle({"other": df}, manifest, str(tmp_path / "run"))
+    assert not (tmp_path / "run" / "other").exists()
+    spark.range(2_000).selectExpr("id", "id % 7 as k").repartition(5).transform(lambda t: sinks.write_table(t, str(tmp_path / "sorted"), order_by=[F.desc("k"), "id"]) or t)
+    parts = [spark.read.parquet(str(f)).collect() for f in sorted((tmp_path / "sorted").glob("part-*.parquet"))]
+    assert [(r["k"], r["id"]) for part in parts for r in part] == sorted(((i % 7, i) for i in range(2_000)), key=lambda t: (-t[0], t[1]))
     assert sinks.fingerprint(df.orderBy(F.desc("district"))).first() == manifest.first()
     assert_unique_key(df, ["district"])
     tables.assert_single_valued(tables.with_source_file(df.limit(1)), "district")
@@ -216,11 +220,36 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_landed_payload_files(spark, tmp_path):
     folder = tmp_path / "soil"
     folder.mkdir()
-    (folder / "Abim__clay__0-5cm.json").write_text('{"layers": [{"name": "clay", "unit_measure": {"d_factor": 10}, "depths": [{"label": "0-5cm", "values": {"mean": 250.0}}]}]}')
-    (folder / "Abim__clay__5-15cm.json").write_text('{"layers": [{"name": "clay", "unit_measure": {"d_factor": 10}, "depths": [{"label": "5-15cm", "values": {"mean": 310.0}}]}]}')
-    points = payloads.soil_points(payloads.read_payloads(spark, str(folder), payloads.SOIL_PAYLOAD))
-    assert values(points, "depth", "value") == [("0-5cm", 250.0), ("5-15cm", 310.0)]
-    assert agg.depth_weighted_soil(points, properties=["clay"]).first()["clay"] == pytest.approx((250 * 5 + 310 * 10) / 15 / 10)
+    layer = '{"type": "Feature", "geometry": {"type": "Point", "coordinates": [33.7, 2.6]}, "properties": {"layers": [{"name": "clay", "unit_measure": {"d_factor": 10, "mapped_units": "g/kg"}, "depths": [{"range": {"top_depth": 0}, "label": "%s", "values": {"mean": %s}}]}]}, "query_time_s": 0.2}'
+    (folder / "Abim__clay__0-5cm.json").write_text(layer % ("0-5cm", 250))
+    (folder / "Abim__clay__5-15cm.json").write_text(layer % ("5-15cm", 310))
+    read = lambda: payloads.soil_points(payloads.read_payloads(spark, str(folder), payloads.SOIL_PAYLOAD, "properties.layers"))
+    assert values(read(), "depth", "value") == [("0-5cm", 250.0), ("5-15cm", 310.0)]
+    assert agg.depth_weighted_soil(read(), properties=["clay"]).first()["clay"] == pytest.approx((250 * 5 + 310 * 10) / 15 / 10)
+    (folder / "Abim__clay__15-30cm.json").write_text('{"layers": []}')
+    with pytest.raises(Exception, match="payload without properties.layers"):
+        read().collect()
+
+
+def test_landed_records_and_boundaries(spark):
+    record = '[{"date": "1/5/2001", "epochTime": "978652800", "isodate": "2001-01-05", "raw_value": "4.25", "value": {"avg": 4.25}}, {"isodate": "2001-12-31T00:00:00", "raw_value": 0}]'
+    files = spark.createDataFrame([("Abim", record)], "district string, value string")
+    rows = payloads.daily_from_records(payloads.parsed(files, payloads.RECORD_PAYLOAD, ""))
+    assert [(str(r["date"]), r["rain_mm"], r["doy"]) for r in rows.orderBy("date").collect()] == [("2001-01-05", 4.25, 5), ("2001-12-31", 0.0, 365)]
+    old = spark.createDataFrame([("Abim", '[{"date": "1/5/2001", "value": 4.25}]')], "district string, value string")
+    with pytest.raises(Exception, match="record without isodate"):
+        payloads.daily_from_records(payloads.parsed(old, payloads.RECORD_PAYLOAD, "")).collect()
+    square, hole, far = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [1, 2]], [[10, 0], [12, 0], [12, 2], [11, 3], [10, 2], [10, 0]]
+    feature = lambda name, kind, c: '{"properties": {"shapeName": "%s"}, "geometry": {"type": "%s", "coordinates": %s}}' % (name, kind, c)
+    text = '{"type": "FeatureCollection", "features": [%s, %s]}' % (feature("one", "Polygon", [square, hole]), feature("two", "MultiPolygon", [[square, hole], [far]]))
+    parts = payloads.boundary_features(payloads.parsed(spark.createDataFrame([(text,)], "value string"), payloads.BOUNDARY_PAYLOAD, "features"))
+    got = {r["name"]: r["parts"] for r in parts.collect()}
+    assert [len(p) for p in got["one"]] == [2] and [[len(r) for r in p] for p in got["two"]] == [[5, 3], [6]]
+    middle = {r["name"]: (r["lon"], r["lat"]) for r in spatial.centroids(payloads.centroid_rings(parts)).collect()}
+    assert middle["one"] == pytest.approx((8 / 5, 8 / 5)) and middle["two"] == pytest.approx((65 / 6, 7 / 6))
+    line = spark.createDataFrame([('{"features": [%s]}' % feature("x", "LineString", square),)], "value string")
+    with pytest.raises(Exception, match="no polygon"):
+        payloads.boundary_features(payloads.parsed(line, payloads.BOUNDARY_PAYLOAD, "features")).collect()
 
 
 def test_reliability_of_a_missing_cv_column(spark):
