@@ -240,8 +240,10 @@ def align_components(target: np.ndarray, other: np.ndarray) -> np.ndarray:
 def bootstrap_components(
     df: DataFrame, columns: Sequence[str], key: Sequence[str], k: int = 3, iterations: int = 500, seed: int = 42, align: bool = True
 ) -> DataFrame:
-    """Bootstrap intervals of eigenvalues and loadings: (component, feature,
-    loading_lower, loading_upper, eigenvalue_lower, eigenvalue_upper)."""
+    """Bootstrap intervals and means of eigenvalues and loadings, every draw standardised on
+    its own: (component, feature, loading_lower, loading_upper, loading_mean,
+    eigenvalue_lower, eigenvalue_upper, eigenvalue_mean). Loadings carry the root of their
+    eigenvalue. See :func:`bootstrap_directions` for draws of data that are scaled once."""
     cols = list(columns)
     values, vectors = eigen(component_matrix(feature_gram(df, cols).first()["m"])[1])
     estimate = vectors[:, :k] * np.sqrt(values[:k])
@@ -259,7 +261,34 @@ def bootstrap_components(
 
     draws = grams.select("iter", "m").mapInPandas(run, "iter int, component int, feature string, loading double, eigenvalue double")
     bounds = [F.percentile(c, q).alias(f"{c}_{side}") for c in ("loading", "eigenvalue") for side, q in (("lower", 0.025), ("upper", 0.975))]
-    return draws.groupBy("component", "feature").agg(*bounds)
+    return draws.groupBy("component", "feature").agg(*bounds, F.avg("loading").alias("loading_mean"), F.avg("eigenvalue").alias("eigenvalue_mean"))
+
+
+def bootstrap_directions(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: int = 2, iterations: int = 500, seed: int = 42) -> DataFrame:
+    """(component, feature, reference, mean, lower, upper) of the first ``k`` unit directions.
+
+    Columns are scaled once by the whole table. Each draw's directions are matched with the
+    reference ones and turned to their side, so two that swap places are put back.
+    """
+    cols = list(columns)
+    n, _, _, xx, _, _ = unpack(feature_gram(df, cols).first()["m"])
+    s = scales(xx, n)
+    scale = np.outer(s, s)
+    reference = eigen(xx / scale)[1][:, :k]
+    grams = bootstrap_grams(df.withColumn("_zero", F.lit(0.0)), [*cols, "_zero"], key, iterations, seed)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for m in pdf["m"]:
+                found = align_components(reference, eigen(unpack(m)[3] / scale)[1][:, :k])
+                rows += [(c + 1, f, float(reference[j, c]), float(found[j, c])) for c in range(found.shape[1]) for j, f in enumerate(cols)]
+            yield pd.DataFrame(rows, columns=["component", "feature", "reference", "direction"])
+
+    draws = grams.select("m").mapInPandas(run, "component int, feature string, reference double, direction double")
+    return draws.groupBy("component", "feature").agg(
+        F.max("reference").alias("reference"), F.avg("direction").alias("mean"),
+        F.percentile("direction", 0.025).alias("lower"), F.percentile("direction", 0.975).alias("upper"))
 
 
 def bootstrap_coefficients(
@@ -284,17 +313,22 @@ def bootstrap_coefficients(
     )
 
 
-def component_report(panel: DataFrame, columns: Sequence[str], key: Sequence[str], iterations: int = 500) -> DataFrame:
-    """First-component report over one row per environment: loading, contribution,
-    share, environment count and stability interval, largest loading first."""
+def component_report(panel: DataFrame, columns: Sequence[str], key: Sequence[str], iterations: int = 100) -> DataFrame:
+    """First-component report over one row per environment: loading, contribution, share,
+    environment count, components that a parallel analysis retains (at least one), and the
+    mean and interval of the first of two aligned bootstrap directions; largest loading first."""
     from .diagnostics import environment_rows
 
-    env = environment_rows(panel).dropna(subset=list(columns))
+    env = settled(environment_rows(panel).dropna(subset=list(columns)).select(*key, *columns))
     first = loadings(env, columns).filter("component = 1").select("feature", "loading", "contribution_pct")
-    share = eigenvalues(env, columns).filter("component = 1").select("share")
+    spectrum = eigenvalues(env, columns)
+    share = spectrum.filter("component = 1").select("share")
+    kept = retention(spectrum, parallel_analysis(env, columns, key, iterations)).select(F.col("by_parallel").alias("retained_components_parallel"))
     count = env.agg(F.count(F.lit(1)).alias("environments"))
-    stability = bootstrap_components(env, columns, key, 1, iterations).select("feature", "loading_lower", "loading_upper")
-    one_row = share.join(F.broadcast(count), F.lit(True), "inner")
+    stability = bootstrap_directions(env, columns, key, min(2, len(columns)), iterations).filter("component = 1")
+    stability = stability.select("feature", F.col("mean").alias("direction_mean"), F.col("lower").alias("direction_lower"), F.col("upper").alias("direction_upper"))
+    # three one-row aggregates
+    one_row = share.join(F.broadcast(count), F.lit(True), "inner").join(F.broadcast(kept), F.lit(True), "inner")
     return first.join(stability, "feature").join(F.broadcast(one_row), F.lit(True), "inner").orderBy(F.abs("loading").desc())
 
 

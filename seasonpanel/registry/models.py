@@ -462,12 +462,50 @@ def retention(spark, d):
 
 @query("m24_parallel_analysis", "M24 M27", None)
 def parallel(spark, d):
-    return rounded(components.parallel_analysis(I.vectors(spark, d, 6), [f"x{i}" for i in range(1, 7)], ["vec_id"], iterations=100), 6)
+    return rounded(components.parallel_analysis(I.vectors(spark, d, 6), [f"x{i}" for i in range(1, 7)], ["vec_id"]), 6)
 
 
 @query("m26_bootstrap_components", "M26", None)
 def bootstrap_components(spark, d):
-    return rounded(components.bootstrap_components(I.vectors(spark, d, 6), [f"x{i}" for i in range(1, 7)], ["vec_id"], 3, 200), 6)
+    return rounded(components.bootstrap_components(I.vectors(spark, d, 6), [f"x{i}" for i in range(1, 7)], ["vec_id"], 3), 6)
+
+
+ALL64 = [f"x{i}" for i in range(1, 65)]
+
+
+@query("m24_null_spectrum", "M24", sql(
+    "select cast(i as integer) as iter, 64::bigint as components, round(64.0 * n / (n - 1), 6) as trace from (select count(*) as n from vectors), range(1, 201) t(i)", "vectors"))
+def null_spectrum(spark, d):
+    """Every permuted correlation matrix keeps the trace p n / (n - 1), over all 64 columns."""
+    grams = components.permuted_grams(I.vectors(spark, d, 64), ALL64, ["vec_id"])
+    spectra = components._iteration_spectra(grams)
+    return rounded(spectra.groupBy("iter").agg(F.count(F.lit(1)).alias("components"), F.sum("eigenvalue").alias("trace")), 6)
+
+
+@query("m26_direction_bounds", "M26", sql(
+    "select cast(c as integer) as component, 64::bigint as features, 1.0::double as length, true as ordered from range(1, 3) t(c) where (select count(*) from vectors) > 0", "vectors"))
+def direction_bounds(spark, d):
+    """Two aligned directions over all 64 columns: unit length, lower <= mean <= upper."""
+    t = components.bootstrap_directions(I.vectors(spark, d, 64), ALL64, ["vec_id"], 2)
+    inside = (F.col("lower") <= F.col("mean")) & (F.col("mean") <= F.col("upper"))
+    return t.groupBy("component").agg(
+        F.count(F.lit(1)).alias("features"), F.round(F.sum(F.col("reference") * F.col("reference")), 6).alias("length"), F.every(inside).alias("ordered"))
+
+
+@query("m23_full_spectrum", "M23 M25", sql(
+    "select 64::bigint as components, round(64.0 * n / (n - 1), 6) as trace, 6400.0::double as contributions from (select count(*) as n from vectors)", "vectors"))
+def full_spectrum(spark, d):
+    """Spectrum and contributions of all 64 columns."""
+    t = components.loadings(I.vectors(spark, d, 64), ALL64)
+    one = t.groupBy("component").agg(F.max("eigenvalue").alias("e"), F.sum("contribution_pct").alias("c"))
+    return one.agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("e"), 6).alias("trace"), F.round(F.sum("c"), 6).alias("contributions"))
+
+
+@query("m18_coefficient_bounds", "M18", sql(
+    "select unnest(['intercept', 'x1', 'x2']) as term, true as ordered where (select count(*) from vectors) > 0", "vectors"))
+def coefficient_bounds(spark, d):
+    t = components.bootstrap_coefficients(I.vectors(spark, d), ["x1", "x2"], "x3", ["vec_id"])
+    return t.select("term", ((F.col("lower") <= F.col("mean")) & (F.col("mean") <= F.col("upper"))).alias("ordered"))
 
 
 @query("m28_component_report", "M22 M24 M25 M26 M28", None)
@@ -495,7 +533,7 @@ def standardised(spark, d):
 
 @query("m18_bootstrap_coefficients", "M18", None)
 def bootstrap_coefficients(spark, d):
-    return rounded(components.bootstrap_coefficients(I.vectors(spark, d), ["x1", "x2"], "x3", ["vec_id"], iterations=200), 6)
+    return rounded(components.bootstrap_coefficients(I.vectors(spark, d), ["x1", "x2"], "x3", ["vec_id"]), 6)
 
 
 def linear_predictor(spark, d, features):
