@@ -263,6 +263,61 @@ def model_rows(spark, d):
         (F.col("x1") - 0.5 * F.col("x2") + 0.2 * F.col("x7") + F.pmod("label", F.lit(5)) / 10 + 2).alias("yield_tons_ha"))
 
 
+def fold_roles(spark, d, mode):
+    """Folds, tested rows, row copies, and units or years on both sides of a fold."""
+    rows = evaluate.fold_rows(I.targets(spark, d).dropna(subset=["yield_tons_ha"]), mode=mode)
+    side = F.when(F.col("role") == "test", "test").otherwise("train")
+    counts = rows.groupBy("fold").agg(F.count_if(side == "test").alias("t"), F.count(F.lit(1)).alias("n"))
+    units = rows.groupBy("fold", "spatial_unit").agg(F.countDistinct(side).alias("sides"))
+    mixed = F.count_if(F.col("sides") > 1)
+    if mode == "temporal":
+        spans = rows.groupBy("fold").agg(F.max(F.when(side == "train", F.col("year"))).alias("a"), F.min(F.when(side == "test", F.col("year"))).alias("b"))
+        leaks = spans.agg(F.count_if(F.col("a") >= F.col("b")).alias("leaks"))
+    else:
+        leaks = units.agg(mixed.alias("leaks"))
+    both = rows.groupBy("fold", "spatial_unit").agg(F.collect_set("role").alias("r"))
+    shared = both.agg(F.count_if(F.array_contains("r", "proper") & F.array_contains("r", "calibration")).alias("calibration_leaks"))
+    total = counts.agg(F.count(F.lit(1)).alias("folds"), F.sum("t").alias("test_rows"), F.sum("n").alias("copies"))
+    return total.join(F.broadcast(leaks), F.lit(True), "inner").join(F.broadcast(shared), F.lit(True), "inner")
+
+
+SIDES = "0::bigint as leaks, 0::bigint as calibration_leaks"
+LATE = "(select year from (select distinct year from targets) qualify row_number() over (order by year) > 3)"
+
+
+@query("k01_spatial_roles", "K1 K6 K7 L19", sql(f"select least(5, u) as folds, n as test_rows, n * least(5, u) as copies, {SIDES} from (select count(*) as n, count(distinct spatial_unit) as u from targets where yield_tons_ha is not null and spatial_unit is not null)", "targets"))
+def spatial_roles(spark, d):
+    return fold_roles(spark, d, "spatial")
+
+
+@query("k02_loso_roles", "K2 K7 L19", sql(f"select u as folds, n as test_rows, n * u as copies, {SIDES} from (select count(*) as n, count(distinct spatial_unit) as u from targets where yield_tons_ha is not null and spatial_unit is not null)", "targets"))
+def loso_roles(spark, d):
+    return fold_roles(spark, d, "loso")
+
+
+@query("k03_temporal_roles", "K3 K5 K7 L19", sql(f"""select count(*) as folds, sum(n)::bigint as test_rows, sum(b)::bigint as copies, {SIDES} from (
+    select year, count(*) as n, (select count(*) from targets x where x.year <= t.year and x.yield_tons_ha is not null) as b from targets t where yield_tons_ha is not null and year in {LATE} group by year)""", "targets"))
+def temporal_roles(spark, d):
+    return fold_roles(spark, d, "temporal")
+
+
+@query("k04_stress_roles", "K4 K7 L19", sql(f"""select count(*) as folds, sum(n)::bigint as test_rows, sum(n + b)::bigint as copies, {SIDES} from (
+    select year, spatial_unit, count(*) as n, (select count(*) from targets x where x.year < t.year and x.spatial_unit <> t.spatial_unit and x.yield_tons_ha is not null) as b
+    from targets t where yield_tons_ha is not null and year in {LATE} group by year, spatial_unit) where b > 0""", "targets"))
+def stress_roles(spark, d):
+    return fold_roles(spark, d, "stress")
+
+
+@query("l19_temporal_evaluation", "L19 L18 K3 K5 M9", sql(
+    "select model, count(*) as rows, count(distinct vec_id % 7) as years, 0::bigint as crossed from vectors, (values ('ols'), ('ridge')) m(model) where vec_id % 7 >= 4 group by model", "vectors"))
+def temporal_evaluation(spark, d):
+    """Rolling years with inner temporal folds: every later row predicted once per model, bounds in order."""
+    p = evaluate.nested_evaluation(model_rows(spark, d), CLIMATE, ["x5", "x6"], spaces=("raw",), specs=(("ols", [0.0]), ("ridge", [0.1, 10.0])), mode="temporal", minimum_years=4)
+    return p.groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("year").alias("years"),
+        F.count_if((F.col("conformal_lower") > F.col("predicted_yield")) | (F.col("conformal_upper") < F.col("predicted_yield"))).alias("crossed"))
+
+
 @query("l19_nested_evaluation", "L19 L18 L7 K1 K6 K7 M9", None)
 def nested(spark, d):
     p = evaluate.nested_evaluation(model_rows(spark, d), CLIMATE, ["x5", "x6"])
