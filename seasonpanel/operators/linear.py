@@ -301,3 +301,25 @@ def grid_search(inner_grams: DataFrame, features: Sequence[str], specs: Sequence
     scores = errors.groupBy(outer, "model", "param").agg(F.avg(F.sqrt(F.col("sse") / F.col("rows"))).alias("inner_rmse"))
     best = scores.groupBy(outer, "model").agg(F.min_by("param", F.struct("inner_rmse", "param")).alias("_best"))
     return scores.join(best, [outer, "model"], "inner").withColumn("is_best", F.col("param") == F.col("_best")).drop("_best")
+
+
+def weighted_fit_metrics(
+    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, cv: str, kind: str = "ols", param: float = 0.0, least: float = 1e-6
+) -> DataFrame:
+    """(rmse, r2, n_test, uncertainty_weight_column) on ``test`` of a fit that weighs each training
+    row by 1 / cv^2. A missing cv counts as the training median, one below ``least`` as ``least``."""
+    from .ranks import group_quantiles
+
+    known = train.withColumn("_cv", F.col(cv).cast("double"))
+    middle = group_quantiles(known, "_cv", {"_median": 0.5}).select("_median")
+    # one row
+    weighed = known.join(F.broadcast(middle), F.lit(True), "left")
+    weight = 1 / F.pow(F.greatest(F.coalesce("_cv", "_median"), F.lit(least)), 2)
+    coef = [float(c) for c in fit_matrix(gram(weighed, features, target, weight=weight).first()["m"], kind, param)]
+    predicted = sum((F.lit(c) * F.col(f) for c, f in zip(coef[1:], features)), F.lit(coef[0]))
+    error = F.pow(F.col(target) - predicted, 2)
+    rows = test.dropna(subset=[*features, target])
+    return rows.agg(
+        F.sqrt(F.avg(error)).alias("rmse"),
+        (1 - F.sum(error) / F.nullif(F.count(F.lit(1)) * F.var_pop(target), F.lit(0.0))).alias("r2"),
+        F.count(F.lit(1)).alias("n_test"), F.lit(cv).alias("uncertainty_weight_column"))

@@ -75,10 +75,9 @@ def fold_mean_scores(predictions: DataFrame, groups: Sequence[str] = tuple(CORE)
 
 def fold_results(predictions: DataFrame) -> DataFrame:
     """One row per fold, model, space and scale."""
-    extra = [
-        F.max(c).alias(c) for c in ("best_parameters", "calibration_size", "calibration_group_count", "conformal_alpha")
-        if c in predictions.columns and dict(predictions.dtypes)[c][:3] != "map"
-    ]
+    extra = [F.max(c).alias(c) for c in ("calibration_size", "calibration_group_count", "conformal_alpha") if c in predictions.columns]
+    # the same for all rows of a fold and model; a map has no order, so any of them is taken
+    extra += [F.any_value(c).alias(c) for c in ("best_parameters",) if c in predictions.columns]
     return predictions.groupBy("fold", *CORE).agg(F.count(F.lit(1)).alias("test_rows"), *metric_columns(), *extra)
 
 

@@ -150,10 +150,15 @@ def polygon_daily_mean(
     return rows.groupBy(unit, F.col("time").alias("date")).agg((total / F.sum(weight)).alias(value))
 
 
-def point_set_mean(points: DataFrame, cells: DataFrame, step: float, key: str = "district", value: str = "precip") -> DataFrame:
-    """Mean reading per point name and image date, missing readings dropped."""
+def point_set_mean(
+    points: DataFrame, cells: DataFrame, step: float, key: str = "district", value: str = "precip", name: str | None = None
+) -> DataFrame:
+    """Mean reading per point name and image date, missing readings dropped. ``key`` tells the
+    points apart; points that share ``name`` (by default the key) are one set."""
     series = nearest_cell_series(points, cells, step, key)
-    return series.groupBy(key, "time").agg(F.avg(value).alias(value)).dropna(subset=[value])
+    if name is not None and name != key:
+        series = series.join(points.select(key, name), key)
+    return series.groupBy(name or key, "time").agg(F.avg(value).alias(value)).dropna(subset=[value])
 
 
 def centroids(features: DataFrame, name: str = "name") -> DataFrame:

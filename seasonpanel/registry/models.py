@@ -125,9 +125,9 @@ def fold_medians(spark, d):
 
 
 @query("l02_fold_modes", "L2", sql(
-    "select fold, crop as mode from (select fold, crop, row_number() over (partition by fold order by count(*) desc, crop) as k from members_ro where role = 'train' and area_planted_ha > 300 group by fold, crop) where k = 1", "targets", extra=ROLLING))
+    "select fold, crop as mode from (select fold, crop, row_number() over (partition by fold order by count(*) desc, crop) as k from members_ro where role = 'train' group by fold, crop) where k = 1", "targets", extra=ROLLING))
 def fold_modes(spark, d):
-    return prep.training_modes(rolling(spark, d).filter("area_planted_ha > 300"), "crop")
+    return prep.training_modes(rolling(spark, d), "crop")
 
 
 @query("l03_mean_impute_variance", "L3", sql(
@@ -135,7 +135,9 @@ def fold_modes(spark, d):
     "targets", extra=ROLLING))
 def mean_impute(spark, d):
     rows = rolling(spark, d).withColumn("area_harvested_ha", F.when(F.col("crop") != "promo", F.col("area_harvested_ha")))
-    return rounded(prep.column_variances(prep.impute_mean(rows, ["area_harvested_ha"]), ["area_planted_ha", "area_harvested_ha"]), 6)
+    filled = prep.impute_mean(rows, ["area_harvested_ha"]).withColumn("flat", F.lit(3.0))
+    varying = prep.varying_columns(filled, ["area_planted_ha", "area_harvested_ha", "flat"])
+    return rounded(prep.column_variances(filled, varying), 6)
 
 
 @query("l04_standardise", "L4", sql(
@@ -201,6 +203,17 @@ def rolling_fits(spark, d):
     return rounded(fits.select("year", "term", "coefficient"))
 
 
+@query("l17_weighted_metrics", "L17", sql(
+    """with w as (select *, 1 / pow(greatest(coalesce(cv_production_pct, (select quantile_cont(cv_production_pct, 0.5) from targets where year < 2000)), 1.0), 2) as w from targets),
+    f as (select sum(w) as sw, sum(w * area_planted_ha) as sx, sum(w * yield_tons_ha) as sy, sum(w * area_planted_ha * area_planted_ha) as sxx, sum(w * area_planted_ha * yield_tons_ha) as sxy from w where year < 2000),
+    g as (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as b from f),
+    p as (select yield_tons_ha as y, (sy - b * sx) / sw + b * area_planted_ha as q from targets, g where year >= 2000)
+    select round(sqrt(avg((y - q) * (y - q))), 6) as rmse, round(1 - sum((y - q) * (y - q)) / (count(*) * var_pop(y)), 6) as r2, count(*) as n_test, 'cv_production_pct' as uncertainty_weight_column from p""".replace("with w as", "select * from (with w as", 1) + ")", "targets"))
+def weighted_metrics(spark, d):
+    t = I.targets(spark, d)
+    return rounded(linear.weighted_fit_metrics(t.filter("year < 2000"), t.filter("year >= 2000"), ["area_planted_ha"], "yield_tons_ha", "cv_production_pct", least=1.0), 6)
+
+
 @query("l17_weighted_fit", "L17", sql(
     """select term, round(case term when 'intercept' then (sy - b * sx) / sw else b end, 8) as coefficient from (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as b from (select sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from
     (select area_planted_ha as x, yield_tons_ha as y, 1 / pow(greatest(coalesce(cv_production_pct, (select quantile_cont(cv_production_pct, 0.5) from targets)), 1e-6), 2) as w from targets where cv_production_pct > 1 or cv_production_pct is null))), (values ('intercept'), ('area_planted_ha')) t(term)""", "targets"))
@@ -388,11 +401,11 @@ def fallback_rates(spark, d):
 
 
 @query("m03_older_baselines", "M3", sql(
-    f"""select {PK}, fold, round(coalesce((select avg(b.yield_tons_ha) from rf b where b.fold <> a.fold and b.spatial_unit = a.spatial_unit), (select avg(b.yield_tons_ha) from rf b where b.fold <> a.fold)), 8) as historical_mean from rf a""",
-    "targets", extra={"rf": "select *, year % 3 as fold from targets where crop = 'small'"}))
+    f"""select {PK}, fold, round(coalesce((select avg(b.yield_tons_ha) from rf b where b.fold <> a.fold and b.spatial_unit = a.spatial_unit), (select avg(b.yield_tons_ha) from rf b where b.fold <> a.fold)), 8) as historical_mean, round((select avg(b.yield_tons_ha) from rf b where b.fold <> a.fold), 8) as mean_predictor from rf a""",
+    "targets", extra={"rf": "select *, year % 3 as fold from targets"}))
 def older_baselines(spark, d):
-    rows = I.targets(spark, d).filter("crop = 'small'").withColumn("fold", F.col("year") % 3)
-    return rounded(baselines.older_baselines(rows).select(*K.PANEL_KEY, "fold", "historical_mean"))
+    rows = I.targets(spark, d).withColumn("fold", F.col("year") % 3)
+    return rounded(baselines.older_baselines(rows).select(*K.PANEL_KEY, "fold", "historical_mean", "mean_predictor"))
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -482,9 +495,11 @@ def fold_means(spark, d):
 
 
 @query("m33_fold_results", "M33", sql(
-    f"select fold, model, 'raw' as feature_space, 'raw' as target_scale, test_rows, {RERR}, fold as calibration_size from (select fold, model, count(*) as test_rows, {ERR} from predictions group by all)", "predictions"))
+    f"select fold, model, 'raw' as feature_space, 'raw' as target_scale, test_rows, {RERR}, fold as calibration_size, cast(fold as varchar) as best_parameters from (select fold, model, count(*) as test_rows, {ERR} from predictions group by all)", "predictions"))
 def fold_results(spark, d):
-    return rounded(metrics.fold_results(I.predictions(spark, d).withColumn("calibration_size", F.col("fold"))))
+    p = I.predictions(spark, d).withColumns({"calibration_size": F.col("fold"), "best_parameters": F.create_map(F.lit("param"), F.col("fold").cast("string"))})
+    out = metrics.fold_results(p)
+    return rounded(out.withColumn("best_parameters", F.col("best_parameters")["param"]))
 
 
 # --- components and diagnostics --------------------------------------------------------------------

@@ -371,7 +371,7 @@ INSIDE = {**GRID, "inside": """select r_name || ' ' || s as spatial_unit, latitu
      or (s = 'ell' and ((longitude - r_regionkey * 0.63 between -0.1 and 3.1 and latitude between -0.1 and 1.2) or (longitude - r_regionkey * 0.63 between -0.1 and 1.3 and latitude between -0.1 and 4.2)))"""}
 
 
-@query("c17_point_in_polygon", "C17 C18", sql("select * from inside", extra=INSIDE))
+@query("c17_point_in_polygon", "C17", sql("select * from inside", extra=INSIDE))
 def point_in_polygon(spark, d):
     return spatial.cells_in_polygons(grid(spark, d), boundaries(spark, d))
 
@@ -385,7 +385,14 @@ def polygon_mean(spark, d):
 @query("d32_point_set_mean", "D32", sql(
     "select substr(district, 1, 2) as district, time, round(avg(precip), 6) as precip from cellof join grid using (latitude, longitude) group by 1, 2 having avg(precip) is not null", extra=POINTS))
 def point_set(spark, d):
-    p = points(spark, d)
-    near = spatial.nearest_cell_series(p, grid(spark, d), 0.5)
-    named = near.withColumn("district", F.substring("district", 1, 2))
-    return rounded(named.groupBy("district", "time").agg(F.avg("precip").alias("precip")).dropna(subset=["precip"]), 6)
+    p = points(spark, d).withColumn("name", F.substring("district", 1, 2))
+    return rounded(spatial.point_set_mean(p, grid(spark, d), 0.5, name="name").withColumnRenamed("name", "district"), 6)
+
+
+@query("c18_polygons_without_cells", "C18", sql("select 'far ' || r_name || ' ' || s as spatial_unit from region, (values ('square'), ('ell')) t(s)"))
+def polygons_without_cells(spark, d):
+    """Half of the polygons lie far outside the grid."""
+    near = boundaries(spark, d)
+    away = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["lon"] + 1000).alias("lon"), p["lat"].alias("lat"))))
+    every = near.unionByName(near.select(F.concat(F.lit("far "), F.col("spatial_unit")).alias("spatial_unit"), away.alias("rings")))
+    return spatial.polygons_without_cells(every, spatial.cells_in_polygons(grid(spark, d), every))

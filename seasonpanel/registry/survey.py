@@ -115,6 +115,12 @@ def certain(spark, d):
     return rounded(uncertainty_retention(I.targets(spark, d), maximum=15.0, groups=["crop"]))
 
 
+@query("b20_certain_rows", "B20", sql("select crop, year, count(*) as rows, round(max(cv_production_pct), 8) as largest from targets where cv_production_pct <= 15 group by all", "targets"))
+def certain_rows(spark, d):
+    kept = clean.certain_targets(I.targets(spark, d), maximum=15.0)
+    return rounded(kept.groupBy("crop", "year").agg(F.count(F.lit(1)).alias("rows"), F.max("cv_production_pct").alias("largest")))
+
+
 @query("b21_quality_band", "B21", sql(
     """select quality_band, count(*) as n from (select case when w is null then null when w <= 15 then 'higher_precision' when w <= 30 then 'moderate_precision' when w <= 50 then 'low_precision' else 'very_low_precision' end as quality_band
     from (select greatest(cv_area_harvested_pct, cv_production_pct) as w from survey)) group by 1""", "survey"))
@@ -148,11 +154,11 @@ def provenance(spark, d):
 
 
 @query("b25_covered_predictors", "B25", sql(
-    """select unnest(['cv_area_harvested_pct', 'cv_production_pct', 'area_planted_ha', 'crop', 'sparse']) as feature,
-    round(unnest([avg(case when cv_area_harvested_pct is not null then 1.0 else 0 end), avg(case when cv_production_pct is not null then 1.0 else 0 end), 1.0, 0.0, avg(case when year = 1999 then 1.0 else 0 end)]), 8) as non_null_fraction from survey""", "survey"))
+    """select * from (select unnest(['cv_area_harvested_pct', 'cv_production_pct', 'area_planted_ha', 'crop', 'sparse']) as feature,
+    round(unnest([avg(case when cv_area_harvested_pct is not null then 1.0 else 0 end), avg(case when cv_production_pct is not null then 1.0 else 0 end), 1.0, 0.0, avg(case when year = 1999 then 1.0 else 0 end)]), 8) as non_null_fraction from survey) where non_null_fraction >= 0.6""", "survey"))
 def coverage(spark, d):
     s = I.survey(spark, d).select("cv_area_harvested_pct", "cv_production_pct", "area_planted_ha", "crop", F.when(F.col("year") == 1999, F.lit("3")).alias("sparse"))
-    return rounded(clean.coverage_table(s))
+    return rounded(clean.covered_predictors(s)[0])
 
 
 @query("b26_complete_columns", "B26", sql(
@@ -234,9 +240,9 @@ def region_means(spark, d):
 
 @query("c08_assign_to_members", "C8", sql(
     f"""select district, {PK}, round(yield_tons_ha, 8) as yield_tons_ha, s_acctbal as soil_ph, 'B' as data_quality_score from targets join members on sub_region = spatial_unit
-    left join supplier on district = 'S' || s_suppkey where year = 2001""", "targets", "members"))
+    left join supplier on district = 'S' || s_suppkey""", "targets", "members"))
 def assign(spark, d):
-    panel = I.targets(spark, d).filter("year = 2001").withColumns({"sub_region": F.col("spatial_unit"), "soil_ph": F.lit(0.0)})
+    panel = I.targets(spark, d).withColumns({"sub_region": F.col("spatial_unit"), "soil_ph": F.lit(0.0)})
     soil = I.scan(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("district"), F.col("s_acctbal").alias("soil_ph"))
     out = joins.assign_to_members(panel, I.members(spark, d), soil)
     return rounded(out.select("district", *K.PANEL_KEY, "yield_tons_ha", "soil_ph", "data_quality_score"))
@@ -291,10 +297,10 @@ def outside(spark, d):
 
 @query("c23_two_key_join", "C23", sql(
     """select district, year, round(total, 8) as total, round(rain, 8) as rain from (select district, year, sum(rainfall_mm) as total from monthly group by all)
-    join (select district, cast(year(date) as integer) as year, sum(rain_mm) as rain from daily where year(date) < 2000 group by all) using (district, year)""", "monthly", "daily"))
+    join (select district, cast(year(date) as integer) as year, sum(rain_mm) as rain from daily group by all) using (district, year)""", "monthly", "daily"))
 def two_key(spark, d):
     m = I.monthly(spark, d).groupBy("district", "year").agg(F.sum("rainfall_mm").alias("total"))
-    y = I.daily(spark, d).groupBy("district", F.year("date").alias("year")).agg(F.sum("rain_mm").alias("rain")).filter("year < 2000")
+    y = I.daily(spark, d).groupBy("district", F.year("date").alias("year")).agg(F.sum("rain_mm").alias("rain"))
     return rounded(joins.two_key_join(m, y))
 
 
@@ -477,7 +483,7 @@ def metric_pivot(spark, d):
 
 # --- gates ------------------------------------------------------------------------------
 def gate_panel(spark, d):
-    t = I.targets(spark, d).filter("year >= 1997")
+    t = I.targets(spark, d)
     return t.withColumns({
         "target_temporal_granularity": F.lit("seasonal"), "target_source_type": F.when(F.col("crop") == "promo", "model").otherwise("official_aggregate"),
         "target_geographic_level": F.lit("sub_region"), "predictor_geographic_level": F.when(F.col("year") == 2001, "district").otherwise("sub_region"),
@@ -490,13 +496,13 @@ def gate_panel(spark, d):
     unnest([0, n, 1, 1, e, u, y, 0, 0, 0, 0, syn, 0, prm, lvl, 2, 1, cov]) as value, unnest([0.0, 100, 1, 1, 50, 5, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.8]) as threshold,
     unnest([true, n >= 100, true, true, e >= 50, u >= 5, y >= 4, true, true, true, true, syn = 0, true, prm = 0, lvl = 0, false, false, cov >= 0.8]) as passed
     from (select count(*)::double as n, count(distinct (spatial_unit, year, season))::double as e, count(distinct spatial_unit)::double as u, count(distinct year)::double as y,
-      count(*) filter (crop = 'small')::double as syn, count(*) filter (crop = 'promo')::double as prm, count(*) filter (year = 2001)::double as lvl, round(count(*) filter (year > 1999) / count(*), 8) as cov from targets where year >= 1997)""", "targets"))
+      count(*) filter (crop = 'small')::double as syn, count(*) filter (crop = 'promo')::double as prm, count(*) filter (year = 2001)::double as lvl, round(count(*) filter (year > 1999) / count(*), 8) as cov from targets)""", "targets"))
 def final_gate(spark, d):
     return rounded(quality.final_dataset_report(gate_panel(spark, d), ["area_planted_ha", "sparse", "production_mt", "nowhere"]))
 
 
 @query("q11_acceptance", "Q11", sql(
-    """select false as accepted, 'synthetic targets present' as reason, count(distinct (spatial_unit, year, season)) as environments, count(distinct spatial_unit) as units, count(distinct year) as years, count(*) as rows from targets where year >= 1997""", "targets"))
+    """select false as accepted, 'synthetic targets present' as reason, count(distinct (spatial_unit, year, season)) as environments, count(distinct spatial_unit) as units, count(distinct year) as years, count(*) as rows from targets""", "targets"))
 def acceptance(spark, d):
     panel = gate_panel(spark, d)
     report = quality.final_dataset_report(panel, ["area_planted_ha"])
