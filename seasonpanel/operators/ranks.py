@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BUCKETS = 16_384
-VALUES_PER_SPLIT = 1_000_000
-LEAST_SPLITS = 16
+#: Places of the sketch, and pieces a bracket between them is cut into.
+GRID = 64
+PIECES = 4_096
+#: Groups up to which one row per group is broadcast to the rows instead of joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 def seeded_hash(seed: int | Column, *cols: str | Column) -> Column:
@@ -82,57 +85,61 @@ def order_statistics(df: DataFrame, value: str, groups: Sequence[str] = ()) -> "
 class OrderStatistics:
     """Exact values at given ranks, per group.
 
-    Equal values are first collapsed to (value, count). Approximate quantiles cut
-    the distinct values of each group into buckets of about a million values for
-    the largest group; only the buckets that hold a wanted rank are then sorted.
+    A sketch per group brackets each wanted rank by two values some hundredths of the group apart.
+    One pass counts the rows below each bracket and keeps the values inside it, equal ones
+    collapsed, cut evenly into ``PIECES`` pieces; the counts of the pieces say which one holds the
+    rank, and only that piece is sorted. The column itself is neither shuffled nor stored.
     """
 
     def __init__(self, df: DataFrame, value: str, groups: list[str]):
         self.groups = groups
-        rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-        # the table of distinct values is read several times below; it is written once
-        counts = cut_lineage(rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
-        largest = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-        splits = max(largest // VALUES_PER_SPLIT, LEAST_SPLITS)
-        probs = [i / splits for i in range(1, splits)]
-        edges = counts.groupBy(*groups).agg(
-            F.percentile_approx("_v", probs, max(10_000, 10 * splits)).alias("_edges"), F.sum("_c").alias("_n")
+        self.rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+        real = F.when(~F.isnan("_v"), F.col("_v"))
+        probs = [i / GRID for i in range(1, GRID)]
+        # one row per group
+        self.sketch = cut_lineage(
+            self.rows.groupBy(*groups).agg(
+                F.count(F.lit(1)).alias("n"), F.count(real).alias("_real"), F.min(real).alias("_min"), F.max(real).alias("_max"),
+                F.percentile_approx(real, probs, 100 * GRID).alias("_edges"))
         )
-        placed = null_safe_join(counts, edges, groups, "inner")
-        self.values = placed.withColumn(
-            "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-        ).drop("_edges")
-        sizes = self.values.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bn"), F.max("_n").alias("_n"))
-        order = Window.partitionBy(*groups).orderBy("_b")
-        self.sizes = sizes.withColumn("_to", F.sum("_bn").over(order)).withColumn("_from", F.col("_to") - F.col("_bn"))
+        self.small = self.sketch.count() <= BROADCAST_GROUPS
+
+    def _spread(self, table: DataFrame) -> DataFrame:
+        """``table``, with one row per group, for a join; broadcast if its counted rows are few."""
+        return F.broadcast(table) if self.small else table
 
     def at(self, ranks: dict[str, Column]) -> DataFrame:
         """One row per group: its size ``n`` and the value at each 1-based rank.
 
         A rank is a Column over ``n``.
         """
-        wanted = self.sizes.withColumnRenamed("_n", "n")
-        picks = F.explode(
-            F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
-        )
-        targets = (
-            wanted.select(*self.groups, "_b", "_from", "_to", "n", picks.alias("_p"))
-            .filter((F.col("_p.rank") > F.col("_from")) & (F.col("_p.rank") <= F.col("_to")))
-            .groupBy(*self.groups, "_b", "_from", "n")
-            .agg(F.collect_list("_p").alias("_picks"))
-        )
-        inside = null_safe_join(self.values.drop("_n"), targets, [*self.groups, "_b"], "inner")
-        order = Window.partitionBy(*self.groups, "_b").orderBy("_v")
-        ranked = inside.withColumn("_hi", F.sum("_c").over(order) + F.col("_from")).withColumn(
-            "_lo", F.col("_hi") - F.col("_c")
-        )
-        found = ranked.select(*self.groups, "n", "_v", "_lo", "_hi", F.explode("_picks").alias("_p")).filter(
-            (F.col("_p.rank") > F.col("_lo")) & (F.col("_p.rank") <= F.col("_hi"))
-        )
-        return found.groupBy(*self.groups).agg(
-            F.max("n").alias("n"),
-            *[F.max(F.when(F.col("_p.name") == name, F.col("_v"))).alias(name) for name in ranks],
-        )
+        rank = lambda name: F.col(f"_rank_{name}")
+        wanted = self.sketch.withColumns({f"_rank_{name}": c.cast("long") for name, c in ranks.items()})
+        picks = []
+        for name in ranks:
+            # the grid place of the rank, and two more on either side for the sketch's own error
+            place = F.floor(rank(name) * GRID / F.col("_real")).cast("int")
+            low = F.when(place - 2 >= 1, F.get("_edges", place - 3)).otherwise(F.col("_min"))
+            high = F.when(place + 2 <= GRID - 1, F.get("_edges", place + 1)).otherwise(F.col("_max"))
+            picks.append(F.struct(F.lit(name).alias("name"), rank(name).alias("rank"), low.alias("low"), high.alias("high")))
+        wanted = wanted.select(*self.groups, "n", F.array(*picks).alias("_picks"))
+        # NaN counts as larger than all numbers and stands in a piece of its own
+        piece = lambda p: (
+            F.when(F.isnan("_v"), PIECES + 1).when(F.col("_v") < p["low"], -1).when(F.col("_v") > p["high"], None)
+            .when(p["high"] > p["low"], F.least(F.lit(PIECES), F.floor((F.col("_v") - p["low"]) / (p["high"] - p["low"]) * PIECES))).otherwise(0).cast("int"))
+        marks = F.filter(F.transform("_picks", lambda p: F.struct(p["name"].alias("name"), piece(p).alias("piece"))), lambda m: m["piece"].isNotNull())
+        placed = null_safe_join(self.rows, self._spread(wanted.drop("n")), self.groups, "inner").select(*self.groups, "_v", F.explode(marks).alias("_m"))
+        keys = [*self.groups, "name"]
+        cells = placed.groupBy(*self.groups, F.col("_m.name").alias("name"), F.col("_m.piece").alias("piece"), F.when(F.col("_m.piece") >= 0, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*keys).orderBy("piece")
+        pieces = cells.groupBy(*keys, "piece").agg(F.sum("_c").alias("_pc")).withColumn("_to", F.sum("_pc").over(upto)).withColumn("_from", F.col("_to") - F.col("_pc"))
+        asked = wanted.select(*self.groups, "n", F.explode("_picks").alias("_p")).select(*self.groups, "n", F.col("_p.name").alias("name"), F.col("_p.rank").alias("rank"))
+        chosen = null_safe_join(pieces, asked, keys, "inner").filter((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to")))
+        inside = null_safe_join(cells, chosen.select(*keys, "piece", "_from", "rank"), [*keys, "piece"], "inner")
+        order = Window.partitionBy(*keys).orderBy("_v")
+        found = inside.withColumn("_hi", F.sum("_c").over(order) + F.col("_from")).filter((F.col("rank") <= F.col("_hi")) & (F.col("rank") > F.col("_hi") - F.col("_c")))
+        values = found.groupBy(*self.groups).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+        return null_safe_join(self.sketch.select(*self.groups, "n"), values, self.groups, "left")
 
     def quantiles(self, probs: dict[str, float]) -> DataFrame:
         """Linear-interpolation quantiles, one column per name."""
