@@ -1,7 +1,8 @@
 """Burrows-Wheeler transforms of string collections, and their merge by interleave refinement.
 
 A collection is concatenated with one terminator (0) behind each string; terminators sort before
-all characters and among themselves in the order of the strings. Characters are bytes + 1.
+all characters and among themselves in the order of the strings. Characters are bytes + 1 and must
+be below 256, as the bytes of UTF-8 are.
 """
 
 from __future__ import annotations
@@ -13,53 +14,54 @@ FAN_IN = 120
 
 
 def build(strings: list[bytes]) -> np.ndarray:
-    """The transform (uint16) of a collection, from suffix ranks that double their depth each round."""
+    """The transform (uint8) of a collection.
+
+    Suffixes are ordered by their first 8 characters, then in rounds that double the depth, in
+    which only suffixes that still share their rank with others are sorted.
+    """
     length = np.array([len(s) for s in strings], np.int64) + 1
     n = int(length.sum())
-    text = np.zeros(n, np.int64)
+    text = np.zeros(n + 8, np.uint64)
     body = np.ones(n, bool)
     ends = np.cumsum(length) - 1
     body[ends] = False
-    text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    text[:n][body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
     last = np.repeat(ends, length)
-    rank = text + len(strings)
-    rank[ends] = np.arange(len(strings))
-    place, depth = np.arange(n), 1
+    string = np.repeat(np.arange(len(strings)), length)
+    left = last - np.arange(n)
+    packed = np.zeros(n, np.uint64)
+    for k in range(8):
+        packed = (packed << np.uint64(8)) | np.where(left >= k, text[k : n + k], np.uint64(0))
+    order = np.argsort(packed)
+    rank = np.empty(n, np.int64)
+    place = np.arange(n)
+    key = packed[order]
+    depth, group = 8, np.arange(n)  # of the rows of ``order`` that ``group`` names
     while True:
-        ahead = place + depth
-        key = rank * (n + 257 + len(strings)) + np.where(ahead <= last, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        # equal keys get the place of the first of them as rank
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(fresh, place[group], 0))
+        rank[order[group]] = first
+        alone = fresh & np.concatenate([fresh[1:], [True]])
+        group, first = group[~alone], first[~alone]
+        if not len(group):
             break
+        who = order[group]
+        # a suffix that ended within the depth is equal to the others of its rank: the string decides
+        ahead = np.where(left[who] >= depth, rank[np.minimum(who + depth, n - 1)], string[who])
+        key = first * (n + 1) + ahead
+        by = np.argsort(key)
+        order[group] = who[by]
+        key = key[by]
         depth *= 2
     starts = ends - length + 1
-    before = np.empty(n, np.int64)
-    before[1:] = text[:-1]
+    before = np.empty(n, np.uint8)
+    before[1:] = text[: n - 1]
     before[starts] = 0
-    return before[order].astype(np.uint16)
-
-
-def places(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset of each row's suffix, string lengths), found by walking back from all terminators at once."""
-    count = int((bwt == 0).sum())
-    step = np.empty(len(bwt), np.int64)
-    step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-    string, back = np.empty(len(bwt), np.int64), np.empty(len(bwt), np.int64)
-    length = np.zeros(count, np.int64)
-    who, row, walked = np.arange(count), np.arange(count), 0
-    while len(who):
-        string[row], back[row] = who, walked
-        done = bwt[row] == 0
-        length[who[done]] = walked
-        who, row = who[~done], step[row[~done]]
-        walked += 1
-    return string, length[string] - back, length
+    return before[order]
 
 
-def _steps(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def numbered_rows(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, row of the suffix one character longer, rows of the terminators) of all transforms, numbered through."""
     steps, ends, at = [], [], 0
     for b in bwts:
@@ -70,11 +72,25 @@ def _steps(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += len(b)
     chars = np.concatenate(bwts)
     used = np.unique(chars)
-    code = np.zeros(int(used[-1]) + 1, np.uint8 if len(used) < 256 else np.uint16)
+    code = np.zeros(int(used[-1]) + 1, np.uint8)
     code[used] = np.arange(len(used))
     return code[chars], np.concatenate(steps), np.concatenate(ends).astype(np.int32)
 
 
+def places(char: np.ndarray, step: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset of each row's suffix, string lengths), found by walking back from all terminators at once."""
+    string, back = np.empty(len(char), np.int32), np.empty(len(char), np.int32)
+    length = np.zeros(len(ends), np.int64)
+    who, row, walked = np.arange(len(ends)), ends, 0
+    while len(who):
+        string[row], back[row] = who, walked
+        more = char[row] != 0
+        length[who[~more]] = walked
+        who, row = who[more], step[row[more]]
+        walked += 1
+    return string, length[string] - back, length
+
+
 def _numbered(keys: np.ndarray) -> np.ndarray:
     """Keys as their ranks, in the smallest type, for radix passes."""
     used = np.unique(keys)
@@ -85,7 +101,7 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return code[keys]
 
 
-def refine(bwts: list[np.ndarray], depth: int | None) -> tuple[np.ndarray, np.ndarray]:
+def refine(char: np.ndarray, step: np.ndarray, ends: np.ndarray, depth: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval): the row that stands at each place of the merged order, and its interval.
 
     Rows are numbered through all transforms; those of one transform never change places among
@@ -101,7 +117,6 @@ def refine(bwts: list[np.ndarray], depth: int | None) -> tuple[np.ndarray, np.nd
     """
     if depth is not None and depth % 2:
         raise ValueError("depth must be even")
-    char, step, ends = _steps(bwts)
     wide = int(char.max()) + 1
     pair = char[step].astype(np.int64) * wide + char
     twice = step[step]
@@ -138,7 +153,7 @@ def refine(bwts: list[np.ndarray], depth: int | None) -> tuple[np.ndarray, np.nd
 
 def merge(bwts: list[np.ndarray]) -> np.ndarray:
     """The transform of all strings of ``bwts``, in their order."""
-    now, _ = refine(bwts, None)
+    now, _ = refine(*numbered_rows(bwts), None)
     return np.concatenate(bwts)[now]
 
 
@@ -148,12 +163,10 @@ def least_per_window(bwts: list[np.ndarray], values: np.ndarray, depth: int) ->
     """
     while len(bwts) > FAN_IN:
         bwts = [merge(bwts[i : i + FAN_IN]) for i in range(0, len(bwts), FAN_IN)]
-    now, interval = refine(bwts, depth)
-    parts = [places(b) for b in bwts]
-    first = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])[:-1]
-    string = np.concatenate([p[0] + f for p, f in zip(parts, first)])[now]
-    offset = np.concatenate([p[1] for p in parts])[now]
-    length = np.concatenate([p[2] for p in parts])
+    rows = numbered_rows(bwts)
+    now, interval = refine(*rows, depth)
+    string, offset, length = places(*rows)
+    string, offset = string[now], offset[now]
     whole = np.flatnonzero(offset <= length[string] - depth)
     interval = interval[whole]
     cut = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])) if len(whole) else np.zeros(0, np.int64)

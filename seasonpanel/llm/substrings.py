@@ -22,9 +22,9 @@ from .token_output import _files
 LENGTH = 50
 GRAM = 20
 #: Bytes of text per shard, of anchors per counting bucket and of strings per merge bucket, on average.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 64 << 20
 COUNT_BYTES = 64 << 20
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 19
 #: Documents from which an anchor's windows are dealt out one by one instead of together.
 HEAVY = 50_000
 #: Windows whose anchors are found at once.
@@ -239,7 +239,7 @@ def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges a bucket's transforms; per shard the least id of each window of its strings, in runs of equal ids."""
     pdf = pdf.sort_values(["shard", "marks"], kind="stable")
     values = [np.frombuffer(b, np.int64) for b in pdf["ids"]]
-    least, many = least_per_window([np.frombuffer(b, np.uint16) for b in pdf["bwt"]], np.concatenate(values), LENGTH)
+    least, many = least_per_window([np.frombuffer(b, np.uint8) for b in pdf["bwt"]], np.concatenate(values), LENGTH)
     first = np.concatenate([[0], np.cumsum(many)])
     change = np.zeros(len(least), bool)
     change[1:] = least[1:] != least[:-1]
