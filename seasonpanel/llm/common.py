@@ -14,6 +14,8 @@ from ..session import shared_folder
 #: Characters that separate words, as a character class for Java, DuckDB and Python.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: Bytes of an Arrow batch that are worked on at once.
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -79,18 +81,25 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES, at least one row each; nothing for no rows."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def appended(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: dict[str, str]) -> DataFrame:
     """``docs`` with new columns that ``fn`` computes from each Arrow batch.
 
     A column of ``docs`` with the name of a new one is replaced; the batch that ``fn`` sees has
-    all columns of ``docs``.
+    all columns of ``docs``. Batches are cut to about SLICE_BYTES, or one row.
     """
     kept = [f for f in docs.schema if f.name not in fields]
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in sliced(whole):
                 new = fn(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + new, [f.name for f in kept] + list(fields))
 

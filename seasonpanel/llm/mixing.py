@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, appended
+from .common import SPACE, appended, sliced
 from .feistel import permute
 
 #: Weights of the sources in order of their names, repeated as often as needed.
@@ -162,25 +162,28 @@ def _pieces(source: np.ndarray, start: np.ndarray, size: np.ndarray, quotas: lis
     return out[:, np.lexsort((out[2], out[1], out[0]))].astype(np.int64)
 
 
-PIECES = "array<struct<pass:int,first:bigint,end:bigint,shard:bigint,place:bigint>>"
-
-
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[float, ...] = WEIGHTS,
-             share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
-    """``docs`` with ``source_size``, ``target`` and ``pieces``: what the mix takes of each row.
+@dataclass
+class Placed:
+    """Rows with ``_source``, ``_start`` (their place in the source's stream), and how much is drawn."""
+
+    rows: DataFrame
+    index: dict[str | None, int]
+    quotas: list[Quota]
+    tree: SplittingTree
+    size_col: str
+    seed: int
+
+    def pieces(self, batch: pa.RecordBatch):
+        source = np.array([self.index[s] for s in batch.column("_source").to_pylist()], np.int64)
+        start = batch.column("_start").to_numpy(zero_copy_only=False)
+        size = batch.column(self.size_col).to_numpy(zero_copy_only=False)
+        return source, _pieces(source, start, size, self.quotas, self.tree, self.seed)
 
-    A source's rows, in a hashed order, form one stream of words that is cut into blocks of
-    ``block_words``. The target is met to the word: whole passes over the stream, then blocks in a
-    keyed permutation, the last one cut. A piece is the part of a block inside a row (words first
-    to end of that row, in ``pass``), its output shard and its place in the local shuffle. No row
-    is taken more than ``cap`` times, rounded up to whole passes.
 
-    Only one line per source comes to the driver. Places in a stream are counted inside parts of a
-    source, so that a source with most of the rows is many tasks. Null sources are one source,
-    weighed last; a null size counts as 0 and gives no pieces; repeated rows are taken like others.
-    Columns of these names are replaced; an empty table gives no rows.
-    """
-    docs = docs.drop("source_size", "target", "pieces").withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
+def _place(docs: DataFrame, id_col: str, source_col: str, size_col: str, weights: tuple[float, ...], share: float, cap: float, block_words: int, shard_words: int, seed: int) -> Placed:
+    """Only one line per source comes to the driver. Places in a stream are counted inside parts of
+    a source, so that a source with most of the rows is many tasks."""
+    docs = docs.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col))
     keyed = docs.withColumns({"_source": F.col(source_col), "_h": h})
     slim = keyed.select("_source", "_h", size_col)
@@ -197,23 +200,40 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     inside = Window.partitionBy("_source", "_part").orderBy("_h", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_part", part).withColumn("_before", F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
     placed = placed.join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
-    placed = placed.withColumn("_start", F.col("_base") + F.col("_before"))
+    placed = placed.withColumn("_start", F.col("_base") + F.col("_before")).drop("_h", "_part", "_s", "_p", "_base", "_before")
     tree = SplittingTree(np.array([q.drawn for q in quotas], np.int64), shards, seed)
-    index = {s: i for i, s in enumerate(names)}
+    return Placed(placed, {s: i for i, s in enumerate(names)}, quotas, tree, size_col, seed)
+
+
+PIECES = "array<struct<pass:int,first:bigint,end:bigint,shard:bigint,place:bigint>>"
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[float, ...] = WEIGHTS,
+             share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
+    """``docs`` with ``source_size``, ``target`` and ``pieces``: what the mix takes of each row.
+
+    A source's rows, in a hashed order, form one stream of words that is cut into blocks of
+    ``block_words``. The target is met to the word: whole passes over the stream, then blocks in a
+    keyed permutation, the last one cut. A piece is the part of a block inside a row (words first
+    to end of that row, in ``pass``), its output shard and its place in the local shuffle. No row
+    is taken more than ``cap`` times, rounded up to whole passes.
+
+    Null sources are one source, weighed last; a null size counts as 0 and gives no pieces; repeated
+    rows are taken like others. Columns of these names are replaced; an empty table gives no rows.
+    """
+    placed = _place(docs.drop("source_size", "target", "pieces"), id_col, source_col, size_col, weights, share, cap, block_words, shard_words, seed)
 
     def draw(batch: pa.RecordBatch) -> list[pa.Array]:
-        source = np.array([index[s.as_py()] for s in batch.column("_source")], np.int64)
-        start = batch.column("_start").to_numpy(zero_copy_only=False)
-        size = batch.column(size_col).to_numpy(zero_copy_only=False)
-        row, *values = _pieces(source, start, size, quotas, tree, seed)
-        offsets = np.searchsorted(row, np.arange(len(size) + 1))
-        names_ = ["pass", "first", "end", "shard", "place"]
-        flat = pa.StructArray.from_arrays([pa.array(v, pa.int32() if n == "pass" else pa.int64()) for n, v in zip(names_, values)], names_)
-        return [
-            pa.array([quotas[i].size for i in source], pa.int64()), pa.array([float(quotas[i].target) for i in source], pa.float64()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
-
-    out = appended(placed.drop("_h", "_part", "_s", "_p", "_base", "_before"), draw, {"source_size": "bigint", "target": "double", "pieces": PIECES})
+        source, (row, *values) = placed_parts.pieces(batch)
+        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        names = ["pass", "first", "end", "shard", "place"]
+        flat = pa.StructArray.from_arrays([pa.array(v, pa.int32() if n == "pass" else pa.int64()) for n, v in zip(names, values)], names)
+        sizes = [placed_parts.quotas[i].size for i in source]
+        goals = [float(placed_parts.quotas[i].target) for i in source]
+        return [pa.array(sizes, pa.int64()), pa.array(goals, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+
+    placed_parts = replace(placed, rows=None)
+    out = appended(placed.rows, draw, {"source_size": "bigint", "target": "double", "pieces": PIECES})
     return out.drop("_source", "_start")
 
 
@@ -222,32 +242,40 @@ def taken():
     return F.aggregate("pieces", F.lit(0).cast("bigint"), lambda s, p: s + p["end"] - p["first"])
 
 
-def mix_texts(plan: DataFrame, text_col: str = "text", size_col: str = "size") -> DataFrame:
-    """One row per row of the plan and pass that takes words of it, with the words taken as its text.
+def mix_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
+              share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1) -> DataFrame:
+    """The mix itself: one row per row of ``docs`` and pass that takes words of it, with these words as its text.
 
-    A row that is taken whole keeps its text as it is; otherwise its pieces, neighbours joined, stand
-    on lines of their own. The rows of a shard stand together, in the order of the local shuffle, and
-    a row that several shards draw from stands in the first one's.
+    The words are those of :func:`mix_plan` with sizes in words. A row that is taken whole keeps its
+    text as it is; otherwise its pieces, neighbours joined, stand on lines of their own. The rows of
+    a shard stand together, in the order of the local shuffle; a row that several shards draw from
+    stands in the first one's.
     """
-    passes = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["pass"]))).alias("_pass")
-    rows = plan.select("*", passes).withColumn("pieces", F.filter("pieces", lambda p: p["pass"] == F.col("_pass")))
-    rows = rows.withColumns({"_shard": F.col("pieces")[0]["shard"], "_place": F.col("pieces")[0]["place"]})
-
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for text, size, pieces in zip(batch.column(text_col), batch.column(size_col), batch.column("pieces")):
-            runs: list[list[int]] = []
-            for p in pieces.as_py():
-                if runs and runs[-1][1] == p["first"]:
-                    runs[-1][1] = p["end"]
-                else:
-                    runs.append([p["first"], p["end"]])
-            text = text.as_py()
-            if runs != [[0, size.as_py()]]:
-                spans = [m.span() for m in _WORD.finditer(text)]
-                text = "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
-            out.append(text)
-        return [pa.array(out, pa.string())]
-
-    cut_rows = appended(rows, cut, {text_col: "string"})
-    return cut_rows.repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_pass", "_shard", "_place", "pieces")
+    columns = docs.columns
+    placed = _place(docs.withColumn("_size", word_count(text_col)), id_col, source_col, "_size", weights, share, cap, block_words, shard_words, seed)
+    parts = replace(placed, rows=None)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def cut(batches):
+        for whole in batches:
+            for batch in sliced(whole):
+                _, (row, turn, first, end, shard, place) = parts.pieces(batch)
+                texts, sizes = batch.column(text_col), batch.column("_size")
+                start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (turn[1:] != turn[:-1])])) if len(row) else row
+                out = []
+                for a, b in zip(start, np.append(start[1:], len(row))):
+                    # neighbours joined: a run ends where the next piece does not follow on
+                    gap = np.flatnonzero(first[a + 1 : b] != end[a : b - 1]) + a
+                    runs = list(zip(first[np.append(a, gap + 1)].tolist(), end[np.append(gap, b - 1)].tolist()))
+                    text = texts[int(row[a])].as_py()
+                    if runs != [(0, sizes[int(row[a])].as_py())]:
+                        spans = [m.span() for m in _WORD.finditer(text)]
+                        text = "\n".join(text[spans[x][0] : spans[y - 1][1]] for x, y in runs)
+                    out.append(text)
+                rows = pa.array(row[start])
+                new = {text_col: pa.array(out, pa.string()), "_shard": pa.array(shard[start]), "_place": pa.array(place[start])}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c).take(rows) for c in [*columns, "_shard", "_place"]], [*columns, "_shard", "_place"])
+
+    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "_shard long", "_place long"])
+    mixed = placed.rows.mapInArrow(cut, shape)
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_shard", "_place")

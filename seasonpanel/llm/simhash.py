@@ -115,11 +115,15 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows that share that id, and of groups without any id, one row stays, the one whose text has
     the smallest hash.
     """
-    rows = stored(with_fingerprint(docs, text_col, words, "_fp"), "simhash")
-    labels = group_labels(rows, id_col, "_fp", bits).select(F.col("fp").alias("_f"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
-    kept = rows.join(labels, rows["_fp"] == labels["_f"]).where(F.col(id_col).eqNullSafe(F.col("_component")))
-    tied = kept.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not tied.isEmpty():
-        order = Window.partitionBy("_root").orderBy(F.xxhash64(text_col))
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")
+    slim = with_fingerprint(docs.select(id_col, text_col, mark), text_col, words, "_fp")
+    rows = stored(slim.select(F.col(id_col).alias("_id"), "_mark", "_fp"), "simhash")
+    labels = group_labels(rows, "_id", "_fp", bits)
+    least = rows.join(labels, rows["_fp"] == labels["fp"]).where(F.col("_id").eqNullSafe(F.col("component_id")))
+    winners = stored(least.groupBy("root").agg(F.min(F.struct("_mark", "_id")).alias("w"), F.count(F.lit(1)).alias("n")).select("w._id", "w._mark", "n"), "simhash-kept")
+    marked = docs.withColumn("_mark", mark)
+    kept = marked.join(winners, marked[id_col].eqNullSafe(winners["_id"]) & (marked["_mark"] == winners["_mark"]), "left_semi")
+    if not winners.where("n > 1").isEmpty():  # rows with the same id and text
+        order = Window.partitionBy(id_col, "_mark").orderBy("_mark")
         kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return kept.select(*docs.columns)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seasonpanel.llm.chat import INST  # noqa: F401
 from seasonpanel.llm.contamination import contamination
 from seasonpanel.llm.feistel import permute
 from seasonpanel.llm.mixing import Quota, SplittingTree, mix_plan, mix_texts, taken, targets, word_count
@@ -68,7 +67,9 @@ def test_plan_meets_targets_and_texts_follow_it(spark):
     again = mix_plan(docs.repartition(7), block_words=64, shard_words=5_000).withColumn("taken", taken()).toPandas()
     assert sorted(zip(plan["size"], plan.taken, plan.doc_id.fillna(-1))) == sorted(zip(again["size"], again.taken, again.doc_id.fillna(-1)))
 
-    texts = mix_texts(mix_plan(docs, block_words=64, shard_words=5_000)).withColumn("words", word_count("text")).toPandas()
+    mixed = mix_texts(docs, block_words=64, shard_words=5_000)
+    assert mixed.columns == docs.columns
+    texts = mixed.withColumn("words", word_count("text")).toPandas()
     whole = {(r.doc_id, r.text) for r in docs.collect()}
     assert texts.words.sum() == plan.taken.sum()
     assert any((None if i != i else int(i), t) in whole for i, t in zip(texts.doc_id, texts.text))
@@ -77,7 +78,7 @@ def test_plan_meets_targets_and_texts_follow_it(spark):
         if i == i and i != 5:
             left = iter(text_of[int(i)])
             assert all(w in left for w in t.split())  # words of the document, in its order
-    assert mix_plan(docs.limit(0)).count() == mix_texts(mix_plan(docs.limit(0))).count() == 0
+    assert mix_plan(docs.limit(0)).count() == mix_texts(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("size,target", [(100, 250.0 / 2), (100, 200.0), (100, 3.4), (5, 7.0), (64, 64.0), (0, 0.0)])
