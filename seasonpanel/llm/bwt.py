@@ -101,25 +101,24 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return code[keys]
 
 
-def refine(char: np.ndarray, step: np.ndarray, ends: np.ndarray, depth: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, interval): the row that stands at each place of the merged order, and its interval.
+def _pairs(char: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(the two characters before each row, the row two characters further on, width of the alphabet)."""
+    wide = int(char.max()) + 1
+    return char[step].astype(np.int64) * wide + char, step[step], wide
+
+
+def merge(bwts: list[np.ndarray]) -> np.ndarray:
+    """The transform of all strings of ``bwts``, in their order.
 
     Rows are numbered through all transforms; those of one transform never change places among
     themselves, only how the transforms interleave does. A round puts the rows in the order of two
     characters more: every row, in the present order, hands on the two characters before it, and a
-    stable pass over these pairs is the new order. No suffix is sorted again. A row starts a new
-    interval if its pair differs from the row above or the rows they come from were in different
-    intervals, so after ``depth`` characters the intervals are the suffixes with the same prefix.
-    With ``depth`` None it runs until the interleave stays, which is the merged transform.
-
-    Suffixes of no or one character before their terminator have fixed places, in the order of the
-    strings; intervals are not meant for suffixes that end within ``depth``.
+    stable pass over these pairs is the new order. No suffix is sorted again. It ends when the
+    interleave stays. Suffixes of no or one character before their terminator have fixed places, in
+    the order of the strings.
     """
-    if depth is not None and depth % 2:
-        raise ValueError("depth must be even")
-    wide = int(char.max()) + 1
-    pair = char[step].astype(np.int64) * wide + char
-    twice = step[step]
+    char, step, ends = numbered_rows(bwts)
+    pair, twice, wide = _pairs(char, step)
     # fixed places: terminators first, then each character's suffixes of that character alone
     ordered = np.sort(pair)
     one = step[ends]
@@ -127,34 +126,37 @@ def refine(char: np.ndarray, step: np.ndarray, ends: np.ndarray, depth: int | No
     fixed = np.flatnonzero((ordered % wide == 0) & (ordered >= wide))
     pair = _numbered(pair)
     now = np.concatenate([ends, np.setdiff1d(np.arange(len(char), dtype=np.int32), ends)])
-    interval = np.zeros(len(now), np.int32)
-    done = 0
-    while depth is None or done < depth:
-        keys = pair[now]
-        order = np.argsort(keys, kind="stable")
-        new = twice[now[order]]
+    while True:
+        new = twice[now[np.argsort(pair[now], kind="stable")]]
         new[: len(ends)] = ends
         new[fixed] = one
-        if depth is not None:
-            keys, before = keys[order], interval[order]
-            starts = np.empty(len(now), bool)
-            starts[0] = True
-            np.not_equal(before[1:], before[:-1], out=starts[1:])
-            starts[1:] |= keys[1:] != keys[:-1]
-            starts[: len(ends) + 1] = True
-            starts[fixed] = True
-            interval = np.cumsum(starts, dtype=np.int32)
-        elif np.array_equal(new, now):
-            break
+        if np.array_equal(new, now):
+            return np.concatenate(bwts)[now]
         now = new
-        done += 2
-    return now, interval
 
 
-def merge(bwts: list[np.ndarray]) -> np.ndarray:
-    """The transform of all strings of ``bwts``, in their order."""
-    now, _ = refine(*numbered_rows(bwts), None)
-    return np.concatenate(bwts)[now]
+def window_intervals(char: np.ndarray, step: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, interval) of the suffixes ``depth`` characters before ``rows``, by these characters.
+
+    The interleave is refined as in :func:`merge`, for the rows alone that reach a window of
+    ``depth`` characters, and only as deep. Of every round's order the common prefixes are known: a
+    row starts a new interval if its pair differs from the row above, or if the rows they come from
+    were in different intervals. After the last round an interval is a set of equal windows. None of
+    the rows may be closer than ``depth`` characters to the start of its string.
+    """
+    if depth % 2:
+        raise ValueError("depth must be even")
+    pair, twice, _ = _pairs(char, step)
+    pair = _numbered(pair)
+    now, order, interval = rows, np.arange(len(rows), dtype=np.int32), np.zeros(len(rows), np.int32)
+    starts = np.ones(len(rows), bool)
+    for _ in range(depth // 2):
+        keys = pair[now]
+        by = np.argsort(keys, kind="stable")
+        now, order, keys, before = twice[now[by]], order[by], keys[by], interval[by]
+        starts[1:] = (before[1:] != before[:-1]) | (keys[1:] != keys[:-1])
+        interval = np.cumsum(starts, dtype=np.int32)
+    return order, interval
 
 
 def least_per_window(bwts: list[np.ndarray], values: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +165,16 @@ def least_per_window(bwts: list[np.ndarray], values: np.ndarray, depth: int) ->
     """
     while len(bwts) > FAN_IN:
         bwts = [merge(bwts[i : i + FAN_IN]) for i in range(0, len(bwts), FAN_IN)]
-    rows = numbered_rows(bwts)
-    now, interval = refine(*rows, depth)
-    string, offset, length = places(*rows)
-    string, offset = string[now], offset[now]
-    whole = np.flatnonzero(offset <= length[string] - depth)
-    interval = interval[whole]
-    cut = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])) if len(whole) else np.zeros(0, np.int64)
+    char, step, ends = numbered_rows(bwts)
+    string, offset, length = places(char, step, ends)
+    rows = np.flatnonzero(offset >= depth).astype(np.int32)
+    order, interval = window_intervals(char, step, rows, depth)
     many = np.maximum(length - depth + 1, 0)
     base = np.concatenate([[0], np.cumsum(many)])
     least = np.empty(int(base[-1]), np.int64)
-    if len(whole):
-        low = np.minimum.reduceat(values[string[whole]], cut)
-        least[base[string[whole]] + offset[whole]] = np.repeat(low, np.diff(np.append(cut, len(whole))))
+    if len(rows):
+        rows = rows[order]
+        cut = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        low = np.minimum.reduceat(values[string[rows]], cut)
+        least[base[string[rows]] + offset[rows] - depth] = np.repeat(low, np.diff(np.append(cut, len(rows))))
     return least, many
