@@ -15,7 +15,7 @@ from .common import appended, stored
 #: Shortest tile and seed, in words.
 MIN_TILE = 5
 #: Share of an item's words that tiles must cover.
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Bytes of benchmark text that tasks hold at once.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
