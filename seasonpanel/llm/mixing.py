@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 256
 SHARD_WORDS = 1 << 22
 #: Words of one part of a source in which places are counted; the number of parts follows the data.
-PART_WORDS = 1 << 22
+PART_WORDS = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -56,7 +56,9 @@ def mixed_docs(spark):
     return spark.createDataFrame([(*r, 7, "t") for r in rows], "doc_id long, text string, source string, target int, pieces string")
 
 
-def test_plan_meets_targets_and_texts_follow_it(spark):
+@pytest.mark.parametrize("part_words", [1 << 20, 3_000])
+def test_plan_meets_targets_and_texts_follow_it(spark, monkeypatch, part_words):
+    monkeypatch.setattr("seasonpanel.llm.mixing.PART_WORDS", part_words)
     docs = mixed_docs(spark).withColumn("size", word_count("text"))
     plan = mix_plan(docs, block_words=64, shard_words=5_000).withColumn("taken", taken()).toPandas()
     assert len(plan) == docs.count() and (plan.taken <= 2 * plan["size"]).all()
