@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,7 +118,11 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")
     slim = with_fingerprint(docs.select(id_col, text_col, mark), text_col, words, "_fp")
     rows = stored(slim.select(F.col(id_col).alias("_id"), "_mark", "_fp"), "simhash")
-    labels = group_labels(rows, "_id", "_fp", bits)
+    return kept_rows(docs, rows, group_labels(rows, "_id", "_fp", bits), id_col, mark)
+
+
+def kept_rows(docs: DataFrame, rows: DataFrame, labels: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The row of ``docs`` that stays of each group: ``rows`` has _id, _mark, _fp; ``labels`` is as in :func:`group_labels`."""
     least = rows.join(labels, rows["_fp"] == labels["fp"]).where(F.col("_id").eqNullSafe(F.col("component_id")))
     winners = stored(least.groupBy("root").agg(F.min(F.struct("_mark", "_id")).alias("w"), F.count(F.lit(1)).alias("n")).select("w._id", "w._mark", "n"), "simhash-kept")
     marked = docs.withColumn("_mark", mark)
