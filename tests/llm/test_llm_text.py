@@ -16,7 +16,7 @@ from seasonpanel.llm.langid import UNKNOWN, counts, fit_languages, identify
 from seasonpanel.llm.quality import fit_quality, score_quality
 from seasonpanel.llm.queries import QUERIES
 from seasonpanel.llm.tokens import word_ids
-from seasonpanel.llm.toxicity import LIMIT, fit_toxicity, score_toxicity
+from seasonpanel.llm.toxicity import LIMIT, Net, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 PIECES = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<", "[", "\\", "/s>", "\n", "ok", " ", "é"]), max_size=12).map("".join)
@@ -116,6 +116,22 @@ def test_calibration_sets_a_limit_by_language(spark):
     assert auc(held.score.to_numpy(), bad_ids) > 0.95 and (held.toxic.to_numpy() == bad_ids).mean() > 0.9
 
 
+def test_toxicity_score_depends_on_the_text_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = Net.fresh(rng, 50)
+    net.embed[:-1] = rng.normal(0, 1, net.embed[:-1].shape)
+    texts = [rng.integers(0, 50, (n, 2)).astype(np.int32) for n in (3, 0, 1, 40, 2, 0, 0, 7, 1, 5)]
+    tables = net.tables()
+
+    def scores(rows):
+        return net.scores(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(t) for t in rows])]), tables).tolist()
+
+    alone = [scores([t])[0] for t in texts]
+    for block in (1 << 16, 4):  # windows of a text in one block and in several
+        monkeypatch.setattr("seasonpanel.llm.toxicity.BLOCK", block)
+        assert scores(texts) == alone and scores(texts[::-1]) == alone[::-1]
+
+
 ODD = [(None, None, None), (1, "", "en"), (1, "", "en"), (2, "!!! 12", None), (3, "long " * 200_000, "xx"), (4, "你好世界", "en")]
 
 
