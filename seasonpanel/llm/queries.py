@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_text, read_inst
+from .collocations import collocations
 from .common import appended, crc_mod, documents
 from .contamination import contamination
 from .exact import exact_dedup
@@ -160,6 +161,43 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r
 """
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return collocations(documents(spark, sf_dir))
+
+
+ORACLES["op11_collocations"] = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+m as (select unnest([1, 2, 3, 4]) as m),
+g as (
+  select lang, m, list_aggregate(w[s:s + m - 1], 'string_agg', ' ') as phrase
+  from (select lang, m, w, unnest(range(1, len(w) - m + 2)) as s from w, m where len(w) >= m)),
+f as (select lang, m, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+k as (
+  select lang, phrase, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, m)) as k from c)),
+s as (
+  select k.lang, k.phrase, k.a, k.k, l.f as l, r.f as r, ((2000000 * k.a::hugeint) // (l.f::hugeint + r.f))::bigint as score
+  from k join f l on l.lang = k.lang and l.phrase = k.first join f r on r.lang = k.lang and r.phrase = k.rest),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+x as (
+  select lang, array_to_string(w[s:s + i - 1], ' ') as phrase, max(a) as longer
+  from (select lang, a, w, i, unnest(range(1, m - i + 2)) as s from (select *, unnest(range(2, m)) as i from c where m > 2))
+  group by all),
+o as (
+  select b.lang, row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) as rank, b.phrase, a, l, r, n, score
+  from b join n using (lang) left join x on x.lang = b.lang and x.phrase = b.phrase
+  where longer is null or 100 * longer::hugeint < 80 * a::hugeint)
+select * from o where rank <= 2000
+"""
+
+
 def _pipeline() -> None:
     import corpus_pipeline
 
