@@ -21,6 +21,7 @@ from .simhash import simhash_groups
 from .substrings import dedup_substrings
 from .token_output import token_output, verified
 from .toxicity import LIMIT, fit_toxicity, score_toxicity
+from .urls import judge_urls, mine_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,6 +199,19 @@ select * from o where rank <= 2000
 """
 
 
+#: Host, path and verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; rules are mined from the pages whose id has a toxicity label."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    labels = documents(spark, sf_dir, "labels").where("toxic is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.max("toxic") > 0).alias("bad"))
+    found = judge_urls(pages, URL_RULES, mine_rules(pages.join(labels, "page_id")))
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
 def _pipeline() -> None:
     import corpus_pipeline
 
