@@ -16,6 +16,7 @@ from .contamination import contamination
 from .exact import exact_dedup
 from .langid import fit_languages, identify
 from .mixing import mix_plan, taken, word_count
+from .negatives import hard_negatives
 from .quality import fit_quality, score_quality
 from .simhash import simhash_groups
 from .substrings import dedup_substrings
@@ -212,6 +213,34 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh has its label moved on by one."""
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+ORACLES["op13_hard_negatives"] = r"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from r a, r b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other_id) <= 3
+"""
+
+
 def _pipeline() -> None:
     import corpus_pipeline
 
