@@ -244,7 +244,7 @@ def _looked_up(index: Index, requests: DataFrame, most: int, other_label: bool)
                 score[wrong] = lowest
                 order = np.argsort(-score, axis=1, kind="stable")  # rows of a block are in the order of ids
                 ranked = np.take_along_axis(score, order, axis=1)
-                limits = r["limits"].as_py() if other_label else [[lowest + 1, -lowest]] * len(q)
+                limits = r["limits"].as_py() if other_label else [[[lowest + 1, -lowest]]] * len(q)
                 slots = max(map(len, limits))
                 limits = np.array([x + [list(NOTHING)] * (slots - len(x)) for x in limits], np.int64)
                 out = [[], [], [], []]
