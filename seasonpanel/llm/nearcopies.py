@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import appended, components, stored
+from .common import appended, components, discarded, stored
 from .simhash import kept_rows
 
 #: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
@@ -20,8 +20,8 @@ BANDS, ROWS = 24, 4
 SEED = 42
 #: Shingles whose minima are taken at once.
 BLOCK = 1 << 12
-#: Rounds in which a band's texts are compared with one of them only, before all that is left is compared.
-STARS = 5
+#: Rounds in which a text is compared with one other only, before all that is left is compared.
+STARS = 12
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -106,9 +106,10 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int =
     """(node, root) of all nodes that have a link; ``nodes`` has node, size, keys and the mark of one of its texts.
 
     All pairs that share a band and are not in one component yet are compared by their true
-    similarity, so no link between two texts of a band is lost. First, for a few rounds, the texts of
-    a band are compared with one of them that the round's hash chooses: the members of a large
-    group of near copies fall into a component then, and no pairs of the group are listed.
+    similarity, so no link between two texts of a band is lost. First, for a few rounds, each band has one
+    text as its centre, which the round's hash chooses, and a text is compared with the first of its bands'
+    centres that it has not been compared with: the members of a large group of near copies fall into a component then,
+    and no pairs of the group are listed. No pair is compared twice. What a round has stored is deleted after it.
     """
     a, b = SIMILAR
     spread = nodes.select("node", "size", "_mark", F.explode("keys").alias("key"))
@@ -117,32 +118,49 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int =
     wanted = table.select("_mark").distinct()
     texts = docs.select(text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")).join(wanted, "_mark", "left_semi")
     sets = stored(_sets(texts, text_col, words), "near-sets")
-    table = table.drop("_mark")
-    roots = None
+    open_ = table.drop("_mark").withColumn("root", F.col("node"))
+    roots, compared = None, None
+    bounds = Window.partitionBy("key")
     for turn in range(STARS + 1):
-        now = table.withColumn("root", F.col("node")) if roots is None else table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        bounds = Window.partitionBy("key")
-        now = now.withColumns({"_lo": F.min("root").over(bounds), "_hi": F.max("root").over(bounds)}).where("_lo < _hi").drop("_lo", "_hi")
-        now = stored(now, "near-open")
+        if roots is not None:
+            open_ = now.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a band whose texts are all in one component stays closed
+        open_ = open_.withColumns({"_lo": F.min("root").over(bounds), "_hi": F.max("root").over(bounds)}).where("_lo < _hi").drop("_lo", "_hi")
+        before, now = now if turn else None, stored(open_, "near-open")
+        if before is not None:
+            discarded(before)
         sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
         rows, pairs = sizes.agg(F.sum("n"), F.sum(((F.col("n") * F.col("n") - F.col("same")) / 2).cast("decimal(38,0)"))).first()
         if not rows:
             break
-        last = turn == STARS or pairs <= 4 * rows
+        last = turn == STARS or pairs <= rows
         if last:
             other = now.select("key", F.col("node").alias("v"), F.col("size").alias("_n"), F.col("root").alias("_r"))
             listed = now.withColumnRenamed("node", "u").join(other, "key").where("u > v and root <> _r")
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "root")
-            listed = now.withColumn("c", F.min(order).over(bounds)).select(F.col("node").alias("u"), "size", "root", F.col("c.node").alias("v"), F.col("c.size").alias("_n"), F.col("c.root").alias("_r")).where("root <> _r")
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")
+            listed = now.withColumn("c", F.min(order).over(bounds)).select(F.col("node").alias("u"), "size", "root", F.col("c.h").alias("h"), F.col("c.node").alias("v"), F.col("c.size").alias("_n"), F.col("c.root").alias("_r")).where("root <> _r")
         close = F.least("size", "_n") * b >= F.greatest("size", "_n") * a
-        listed = listed.where(close).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        listed = listed.where(close).select("u", "v", *([] if last else ["h"]))
+        if compared is not None:
+            both = compared.unionByName(compared.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            listed = listed.join(both, ["u", "v"], "left_anti")
+        if not last:
+            listed = listed.groupBy("u").agg(F.min(F.struct("h", "v"))["v"].alias("v"))
+        listed = stored(listed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
         found = stored(_verified(listed, sets), "near-links")
+        compared = listed if compared is None else compared.unionByName(listed)
         if roots is not None:  # what is linked so far, as stars
-            found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = stored(components(found, "near-components"), "near-roots")
+            linked = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        else:
+            linked = found
+        old, roots = roots, stored(components(linked, "near-components"), "near-roots")
+        discarded(found)
+        if old is not None:
+            discarded(old)
         if last:
             break
+    discarded(sets)
     return roots if roots is not None else nodes.select("node", F.col("node").alias("root"))
 
 

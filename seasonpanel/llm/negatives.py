@@ -154,9 +154,18 @@ def _queries(index: Index, every: int) -> DataFrame:
                 )
 
     found = index.blocks.mapInArrow(pick, "q bigint, id bigint, label bigint, cell int, block int, place int, v binary")
-    packs = stored(found.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "mined-query-cells")
-    n = found.join(packs.select("cell", F.ceil(F.col("n") / PACK).alias("m")), "cell")
-    return stored(n.select("q", F.concat_ws(":", "cell", F.pmod(F.xxhash64("q"), F.col("m"))).alias("pack"), "id", "label", "cell", "block", "place", "v"), "mined-queries")
+    found = stored(found, "mined-queries")
+    counts = found.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # one row per cell
+    packs, last, held = [], 0, 0
+    for r in counts:  # whole neighbouring cells share a pack; a cell of more queries is split over packs of its own
+        parts = -(-r["n"] // PACK)
+        if held + r["n"] > PACK and held:
+            last, held = last + 1, 0
+        packs.append((r["cell"], last, parts))
+        last, held = (last + parts, 0) if parts > 1 else (last, held + r["n"])
+    table = found.sparkSession.createDataFrame(packs, "cell int, first int, parts int")
+    pack = (F.col("first") + F.pmod(F.xxhash64("q"), F.col("parts"))).cast("int").alias("pack")
+    return found.join(table, "cell").select("q", pack, "id", "label", "cell", "block", "place", "v")
 
 
 def _cells(index: Index, query: np.ndarray, skip: int, take: int) -> Iterator[tuple[int, float]]:

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_llm_near import brute_keep
+
 from seasonpanel.llm.contamination import contamination
 from seasonpanel.llm.feistel import permute
 from seasonpanel.llm.mixing import Quota, SplittingTree, mix_plan, mix_texts, taken, targets, word_count
 from seasonpanel.llm.queries import QUERIES
-from seasonpanel.llm.simhash import simhash_groups
 from seasonpanel.llm.token_output import _encoder, encode, manifest, read_records, token_output, verified, vocabulary
 from seasonpanel.llm.toxicity import fit_toxicity, score_toxicity
 from seasonpanel.session import shared_folder
@@ -135,7 +136,7 @@ def test_pipeline_stages_agree_with_brute_force(spark):
     toxic = {r.doc_id for r in score_toxicity(docs, fit_toxicity(docs, labels)).where("toxic").collect()}
     ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
     assert set(ids(docs)) - set(ids(clean)) == toxic
-    assert sorted(ids(single)) == sorted({r.component_id for r in simhash_groups(clean).collect()})
+    assert sorted(ids(single)) == brute_keep([(r.doc_id, r.text) for r in clean.collect()])
     bad = {r.doc_id for r in contamination(single, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     assert bad and set(ids(free)) == set(ids(single)) - bad
     words = lambda df: df.select(F.sum(word_count("text"))).first()[0]
