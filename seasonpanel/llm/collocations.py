@@ -44,11 +44,38 @@ class Layout:
         return cls(min(bits >> 6, max(8, 1 << (words // BUCKET_WORDS).bit_length())), bits)
 
     def bucket_edges(self) -> np.ndarray:
-        return np.arange(1, self.buckets, dtype=np.uint64) << np.uint64(64 - self.buckets.bit_length() + 1)
+        """The first hash of every bucket."""
+        return np.arange(self.buckets, dtype=np.uint64) << np.uint64(64 - self.buckets.bit_length() + 1)
 
     def bit(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits.bit_length() + 1)).astype(np.int64)
 
+    def short(self, hashes: np.ndarray) -> np.ndarray:
+        """The highest bits, 30 more than name the bucket: what a tally keeps, as a filter takes in too much, never too little."""
+        return (hashes >> np.uint64(64 - self._width())).astype(np.int64)
+
+    def short_edges(self) -> np.ndarray:
+        return np.arange(self.buckets, dtype=np.int64) << 30
+
+    def bit_of_short(self, shorts: np.ndarray) -> np.ndarray:
+        return shorts >> (self._width() - self.bits.bit_length() + 1)
+
+    def _width(self) -> int:
+        return self.buckets.bit_length() - 1 + 30
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, the lowest first, as many as the largest needs."""
+    planes = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
 
 def _has(filter_: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
@@ -90,11 +117,11 @@ def _word_counts(parted: DataFrame) -> DataFrame:
 class _Tally:
     """Counts hashes per key in a task and gives them out sorted, as bytes, bucket by bucket."""
 
-    NAMES = ["shard", "bucket", "size", "lang", "hashes", "counts"]
-    SCHEMA = "shard int, bucket int, size int, lang string, hashes binary, counts binary"
+    NAMES = ["shard", "bucket", "size", "lang", "n", "hashes", "counts"]
+    SCHEMA = "shard int, bucket int, size int, lang string, n int, hashes binary, counts binary"
 
     def __init__(self, layout: Layout):
-        self.edges, self.held, self.parts = layout.bucket_edges(), 0, defaultdict(list)
+        self.layout, self.held, self.parts = layout, 0, defaultdict(list)
 
     def add(self, shard: int, size: int, lang: str, hashes: np.ndarray) -> None:
         if len(hashes):
@@ -105,12 +132,13 @@ class _Tally:
         if self.held < least:
             return
         for (shard, size, lang), parts in sorted(self.parts.items()):
-            found, counts = np.unique(np.concatenate(parts), return_counts=True)
-            cuts = np.concatenate([[0], np.searchsorted(found, self.edges), [len(found)]])
-            rows = [(k, found[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            found, counts = np.unique(self.layout.short(np.concatenate(parts)), return_counts=True)
+            cuts = np.concatenate([np.searchsorted(found, self.layout.short_edges()), [len(found)]])
+            rows = [(k, int(b - a), _packed(np.diff(found[a:b], prepend=found[a])), _packed(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows = [(k, n, int(found[cuts[k]]).to_bytes(8, "little") + steps, many) for k, n, steps, many in rows]
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([size] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                [pa.array([shard] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([size] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
                 self.NAMES,
             )
         self.parts.clear()
@@ -132,13 +160,17 @@ def _frequent(tallied: DataFrame, layout: Layout, supports: dict[tuple[int, str]
             rows[key].append(at)
         slices = defaultdict(lambda: np.zeros(slice_bits, np.uint8))
         for (size, lang), at in rows.items():
-            hashes = np.concatenate([np.frombuffer(table.column("hashes")[k].as_buffer(), np.uint64) for k in at])
-            counts = np.concatenate([np.frombuffer(table.column("counts")[k].as_buffer(), np.uint32) for k in at])
+            hashes, counts = [], []
+            for k in at:
+                n, steps, many = (table.column(c)[k].as_py() for c in ("n", "hashes", "counts"))
+                hashes.append(np.cumsum(_unpacked(steps[8:], n)) + int.from_bytes(steps[:8], "little"))
+                counts.append(_unpacked(many, n))
+            hashes, counts = np.concatenate(hashes), np.concatenate(counts)
             order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order].astype(np.int64)
+            hashes, counts = hashes[order], counts[order]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             keep = np.add.reduceat(counts, first) >= supports[shard, lang]
-            slices[size][layout.bit(hashes[first[keep]]) - bucket * slice_bits] = 1
+            slices[size][layout.bit_of_short(hashes[first[keep]]) - bucket * slice_bits] = 1
         made = {size: np.packbits(s, bitorder="little").tobytes() for size, s in slices.items() if s.any()}
         n = len(made)
         return pa.table([pa.array([shard] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(list(made), pa.int32()), pa.array(list(made.values()), pa.binary())], names=["shard", "bucket", "size", "slice"])
@@ -213,7 +245,7 @@ class _Phrases:
     def __init__(self):
         self.one, self.two, self.counts = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
         self.texts: np.ndarray = np.zeros(0, object)
-        self.odd: dict[bytes, int] = defaultdict(int)
+        self.odd: dict[tuple[int, bytes], int] = defaultdict(int)
 
     def add(self, words: Words, size: int, at: np.ndarray, one: np.ndarray, two: np.ndarray) -> int:
         """Adds the phrases that start at the words ``at`` with their two hashes; the bytes of new phrases."""
@@ -226,7 +258,7 @@ class _Phrases:
         self.counts[place[same]] += n[same]
         twin = np.concatenate([[False], one[1:] == one[:-1]]) | known & ~same  # another phrase has this hash
         for k in np.flatnonzero(twin & ~same).tolist():
-            self.odd[words.phrase(int(at[k]), size)] += int(n[k])
+            self.odd[int(one[k]), words.phrase(int(at[k]), size)] += int(n[k])
         new = np.flatnonzero(~known & ~twin)
         texts = np.empty(len(new), object)
         texts[:] = [words.phrase(k, size) for k in at[new].tolist()]
@@ -236,23 +268,32 @@ class _Phrases:
         self.two, self.counts, self.texts = (np.concatenate([old, more])[order] for old, more in ((self.two, two[new]), (self.counts, n[new]), (self.texts, texts)))
         return sum(map(len, texts))
 
-    def rows(self) -> tuple[list[bytes], list[int]]:
-        return self.texts.tolist() + list(self.odd), self.counts.tolist() + list(self.odd.values())
+    def rows(self, edges: np.ndarray) -> Iterator[tuple[int, list[bytes], list[int]]]:
+        """(bucket, phrases, counts), by the first hash."""
+        cuts = np.concatenate([np.searchsorted(self.one, edges), [len(self.one)]])
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                yield k, self.texts[a:b].tolist(), self.counts[a:b].tolist()
+        for (one, text), n in self.odd.items():
+            yield int(np.searchsorted(edges, np.uint64(one), "right")) - 1, [text], [n]
+
 
+def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray], support: int) -> DataFrame:
+    """(lang, phrase, f): exact counts of the phrases in ``filters`` that reach the support, by their true words.
 
-def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, phrase, n): occurrences of the phrases in ``filters``, added up by task, with their true words."""
+    A task adds up what it holds and hands on a list per bucket of hashes; the lists of a bucket are added up in one task.
+    """
     shared = parted.sparkSession.sparkContext.broadcast(filters)
 
     def tally(batches):
-        filters, most = shared.value, max(shared.value, default=1)
+        filters, most, edges = shared.value, max(shared.value, default=1), layout.bucket_edges()
         found: dict[tuple[str, int], _Phrases] = defaultdict(_Phrases)
         held = 0
 
         def flush():
             for (lang, _), phrases in found.items():
-                texts, counts = phrases.rows()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+                rows = list(phrases.rows(edges))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["lang", "bucket", "phrases", "counts"])
             found.clear()
 
         for words, salts, runs in _batches(batches):
@@ -270,7 +311,15 @@ def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray]) ->
                 held = 0
         yield from flush()
 
-    return parted.mapInArrow(tally, "lang string, phrase binary, n bigint")
+    def total(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).combine_chunks() for c in ("phrases", "counts")]
+        flat = pa.table([c.flatten() for c in columns], names=["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")])
+        flat = flat.filter(pc.greater_equal(flat.column("n_sum"), support))
+        lang = table.column("lang")[0].as_py()
+        return pa.table([pa.array([lang] * flat.num_rows, pa.string()), flat.column("phrase"), flat.column("n_sum")], names=["lang", "phrase", "f"])
+
+    listed = parted.mapInArrow(tally, "lang string, bucket int, phrases array<binary>, counts array<bigint>")
+    return listed.groupBy("lang", "bucket").applyInArrow(total, "lang string, phrase binary, f bigint")
 
 
 def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +358,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             break
         union[size] = np.bitwise_or.reduce(list(below.values()))
     filters = _counted_globally(parted, layout, list(total), support, union)
-    counts = _texts(parted, layout, filters).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+    counts = _texts(parted, layout, filters, support)
     phrase = F.col("phrase").cast("string")
     counts = counts.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("words"), "f")
     return stored(counts, "phrase-counts"), per_lang

@@ -103,12 +103,17 @@ def test_equal_hashes_of_different_phrases_are_kept_apart():
     one, two = np.zeros(5, np.uint64), np.array([1, 2, 1, 3, 2], np.uint64)
     for _ in range(2):
         held.add(words, 1, np.arange(5), one, two)
-    texts, counts = held.rows()
     total = Counter()
-    for t, c in zip(texts, counts):
-        total[t] += c
+    for _, texts, counts in held.rows(module.Layout(8, 1 << 16).bucket_edges()):
+        for t, c in zip(texts, counts):
+            total[t] += c
     assert total == {b"a": 4, b"b": 4, b"c": 2}
 
 
+@pytest.mark.parametrize("values", [[0], [255, 256], [1 << 40, 3, 0], list(range(300))])
+def test_packed_numbers_come_back(values):
+    assert module._unpacked(module._packed(np.array(values)), len(values)).tolist() == values
+
+
 def test_query_matches_sql(spark):
     assert compare(QUERIES["op11_collocations"](spark, SF), duck(SF), ORACLES["op11_collocations"]) == ""
