@@ -7,7 +7,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import appended, components, discarded, stored
 from .simhash import kept_rows
@@ -15,13 +14,16 @@ from .simhash import kept_rows
 #: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
 WORDS = 5
 SIMILAR = (4, 5)
-#: Bands of minima. Two texts of similarity 0.8 share none with probability (1 - 0.8**ROWS)**BANDS, 3e-6.
-BANDS, ROWS = 24, 4
+#: Bands of minima. Two texts of similarity 0.8 share none with probability (1 - 0.8**ROWS)**BANDS, 7e-4.
+BANDS, ROWS = 24, 6
 SEED = 42
 #: Shingles whose minima are taken at once.
 BLOCK = 1 << 12
-#: Rounds in which a text is compared with one other only, before all that is left is compared.
-STARS = 12
+#: Smallest shingles of a text that are compared inside tasks, and the per cent of them in common from which
+#: longer texts are then compared whole: 4 standard deviations below 0.8.
+SKETCH, LIKELY = 256, 70
+#: Texts of a block of a band, and shingles that are looked at together.
+BLOCK_TEXTS, COLUMNS = 256, 4096
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -102,66 +104,125 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(enough).select("u", "v")
 
 
+def _cell_links(lists: list[np.ndarray], size: np.ndarray, root: np.ndarray, allowed: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(sure, open): pairs of positions that are linked, and that may be; of those ``allowed``.
+
+    ``lists`` has the SKETCH smallest shingles of each text. If they are all it has, the similarity
+    is exact, and only pairs that join two components (``root``, then the links found here) are
+    listed. Else the common part of the smallest shingles of both estimates it.
+    """
+    a, b = SIMILAR
+    n = len(lists)
+    whole = size <= SKETCH
+    last = np.array([np.iinfo(np.int64).max if w or not len(x) else x[-1] for x, w in zip(lists, whole)])
+    upto = np.stack([np.searchsorted(x, last, "right") for x in lists])
+    values, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+    line = np.repeat(np.arange(n), [len(x) for x in lists])
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    line, column = line[order], column[order]
+    for at in range(0, int((often > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        marks = np.zeros((n, COLUMNS), np.float32)
+        marks[line[lo:hi], column[lo:hi] - at] = 1
+        common += marks @ marks.T
+    common = np.rint(common).astype(np.int64)
+    union = upto + upto.T - common
+    exact = whole[:, None] & whole[None, :]
+    close = np.minimum(size[:, None], size[None, :]) * b >= np.maximum(size[:, None], size[None, :]) * a
+    likely = allowed & close & np.where(exact, common * b >= union * a, common * 100 >= union * LIKELY)
+    likely = np.triu(likely, 1)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = parent.get(y, y)
+            x = y
+        return x
+
+    sure, open_ = [], []
+    for i, j in np.argwhere(likely & exact).tolist():
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            sure.append((i, j))
+    for i, j in np.argwhere(likely & ~exact).tolist():
+        if find(int(root[i])) != find(int(root[j])):
+            open_.append((i, j))
+    return sure, open_
+
+
+def _cell(key: tuple, table: pa.Table) -> pa.Table:
+    """(u, v, sure): the pairs that ``_cell_links`` finds in a cell: two blocks of a band, or one with itself."""
+    table = table.sort_by("node")
+    node, root, block, size = (table.column(c).to_numpy() for c in ("node", "root", "block", "size"))
+    flat = table.column("found").combine_chunks()
+    lists = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
+    lo, hi = key[1].as_py(), key[2].as_py()
+    allowed = (root[:, None] != root[None, :]) & (np.minimum(block[:, None], block[None, :]) == lo) & (np.maximum(block[:, None], block[None, :]) == hi)
+    sure, open_ = _cell_links(lists, size.astype(np.int64), root, allowed)
+    both = np.array(sure + open_, np.int64).reshape(-1, 2)
+    return pa.table({"u": pa.array(node[both].max(axis=1)), "v": pa.array(node[both].min(axis=1)), "sure": pa.array([True] * len(sure) + [False] * len(open_), pa.bool_())})
+
+
+def _cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, sure): what is left to link in each band of ``rows`` (key, node, root).
+
+    In a band, the component with most texts needs no comparison with itself. Its texts, and
+    the others, are dealt to blocks of about BLOCK_TEXTS by hash; two blocks meet in one cell,
+    so a large band is spread over many tasks, and only links leave a cell.
+    """
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    bands = by_root.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most")).where("most.m < n")
+    blocks = lambda c: F.ceil(c / BLOCK_TEXTS).cast("long")
+    bands = bands.select("key", F.col("most.root").alias("_main"), blocks(F.col("n") - F.col("most.m")).alias("_own"), blocks(F.col("most.m")).alias("_others"))
+    dealt = rows.join(bands, "key").withColumn("_rest", F.col("root") != F.col("_main"))
+    block = F.when(F.col("_rest"), F.pmod(F.xxhash64("node"), "_own")).otherwise(F.col("_own") + F.pmod(F.xxhash64("node"), "_others"))
+    meets = F.when(F.col("_rest"), F.col("_own") + F.col("_others")).otherwise(F.col("_own"))
+    least = sets.select("node", F.size("found").alias("size"), F.slice("found", 1, SKETCH).alias("found"))
+    dealt = dealt.select("key", "node", "root", block.alias("block"), meets.alias("_meets")).join(least, "node")
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_meets") - 1)))
+    met = met.select("key", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "node", "root", "block", "size", "found")
+    return met.groupBy("key", "lo", "hi").applyInArrow(_cell, "u bigint, v bigint, sure boolean")
+
+
 def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
     """(node, root) of all nodes that have a link; ``nodes`` has node, size, keys and the mark of one of its texts.
 
-    All pairs that share a band and are not in one component yet are compared by their true
-    similarity, so no link between two texts of a band is lost. First, for a few rounds, each band has one
-    text as its centre, which the round's hash chooses, and a text is compared with the first of its bands'
-    centres that it has not been compared with: the members of a large group of near copies fall into a component then,
-    and no pairs of the group are listed. No pair is compared twice. What a round has stored is deleted after it.
+    First each band has one text as its centre, the one that shares bands with most others, and
+    all texts of the band are compared with it. So most of a large group of near copies falls into one
+    component, and no pairs of the group are listed. Then the texts of a band that are in different
+    components are compared inside tasks (``_cells``). Tables are deleted when nothing reads them any more.
     """
     a, b = SIMILAR
     spread = nodes.select("node", "size", "_mark", F.explode("keys").alias("key"))
-    shared = spread.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_m > 1")
-    table = stored(shared.select("key", "node", "size", "_mark"), "near-bands")
+    counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    table = stored(spread.join(counts, "key"), "near-bands")
+    if table.isEmpty():
+        return nodes.select("node", F.col("node").alias("root"))
     wanted = table.select("_mark").distinct()
     texts = docs.select(text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")).join(wanted, "_mark", "left_semi")
     sets = stored(_sets(texts, text_col, words), "near-sets")
-    open_ = table.drop("_mark").withColumn("root", F.col("node"))
-    roots, compared = None, None
-    bounds = Window.partitionBy("key")
-    for turn in range(STARS + 1):
-        if roots is not None:
-            open_ = now.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # a band whose texts are all in one component stays closed
-        open_ = open_.withColumns({"_lo": F.min("root").over(bounds), "_hi": F.max("root").over(bounds)}).where("_lo < _hi").drop("_lo", "_hi")
-        before, now = now if turn else None, stored(open_, "near-open")
-        if before is not None:
-            discarded(before)
-        sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        rows, pairs = sizes.agg(F.sum("n"), F.sum(((F.col("n") * F.col("n") - F.col("same")) / 2).cast("decimal(38,0)"))).first()
-        if not rows:
-            break
-        last = turn == STARS or pairs <= rows
-        if last:
-            other = now.select("key", F.col("node").alias("v"), F.col("size").alias("_n"), F.col("root").alias("_r"))
-            listed = now.withColumnRenamed("node", "u").join(other, "key").where("u > v and root <> _r")
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")
-            listed = now.withColumn("c", F.min(order).over(bounds)).select(F.col("node").alias("u"), "size", "root", F.col("c.h").alias("h"), F.col("c.node").alias("v"), F.col("c.size").alias("_n"), F.col("c.root").alias("_r")).where("root <> _r")
-        close = F.least("size", "_n") * b >= F.greatest("size", "_n") * a
-        listed = listed.where(close).select("u", "v", *([] if last else ["h"]))
-        if compared is not None:
-            both = compared.unionByName(compared.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            listed = listed.join(both, ["u", "v"], "left_anti")
-        if not last:
-            listed = listed.groupBy("u").agg(F.min(F.struct("h", "v"))["v"].alias("v"))
-        listed = stored(listed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-pairs")
-        found = stored(_verified(listed, sets), "near-links")
-        compared = listed if compared is None else compared.unionByName(listed)
-        if roots is not None:  # what is linked so far, as stars
-            linked = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        else:
-            linked = found
-        old, roots = roots, stored(components(linked, "near-components"), "near-roots")
-        discarded(found)
-        if old is not None:
-            discarded(old)
-        if last:
-            break
-    discarded(sets)
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root"))
+    reach = table.groupBy("node").agg(F.sum("n").alias("reach"))
+    centres = table.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node", "size")).alias("c"))
+    centres = stored(centres.select("key", F.col("c.node").alias("v"), F.col("c.size").alias("_n")), "near-centres")
+    close = F.least("size", "_n") * b >= F.greatest("size", "_n") * a
+    pairs = table.select("key", F.col("node").alias("u"), "size").join(centres, "key").where(F.col("u") != F.col("v")).where(close)
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = stored(_verified(pairs, sets), "near-links")
+    roots = stored(components(links, "near-components"), "near-roots")
+    discarded(links)
+    # what is left has two texts, none of them the centre, in different components
+    now = table.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = now.join(centres, "key").where(F.col("node") != F.col("v")).groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
+    rows = stored(now.join(ends.select("key"), "key"), "near-open")
+    found = stored(_cells(rows, sets).groupBy("u", "v").agg(F.max("sure").alias("sure")), "near-found")
+    more = found.where("sure").select("u", "v").unionByName(_verified(found.where(~F.col("sure")).select("u", "v"), sets))
+    last = stored(components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "near-components"), "near-roots")
+    for table in (table, sets, centres, roots, rows, found):
+        discarded(table)
+    return last
 
 
 def near_copies_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
