@@ -26,10 +26,10 @@ def gram(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[s
     matrix over (1, features, target). Rows with a missing value are left out."""
     cols = [*features, target]
     rows = df.dropna(subset=cols).withColumn("_w", weight if weight is not None else F.lit(1.0))
-    return _blocked_gram(rows, cols, list(groups))
+    return blocked_gram(rows, cols, list(groups))
 
 
-def _blocked_gram(rows: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
+def blocked_gram(rows: DataFrame, cols: list[str], groups: list[str]) -> DataFrame:
     """Matrix products per Arrow batch inside each task, then a vector sum."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"`{g}` {fields[g]}" for g in groups], "m array<double>"])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import baselines, components, diagnostics, folds, linear, metrics, prep, trees
-from ..plans import evaluate
+from ..plans import evaluate, held_out
+from ..session import settled
 from . import inputs as I
 from .base import query
 from .inputs import r, rounded, sql
@@ -321,6 +322,55 @@ def stress_roles(spark, d):
     return fold_roles(spark, d, "stress")
 
 
+HELD_ROWS = {"held": "select vec_id, label as spatial_unit, vec_id % 7 as year, case when vec_id % 9 > 0 then x1 end as f, x2 as y from vectors where label is not null"}
+HELD_FIT = "count(*) as train_rows, regr_slope(y, coalesce(f, fill)) as slope, regr_intercept(y, coalesce(f, fill)) as intercept, fill"
+HELD_OUT = """round(slope, 6) as slope, round(intercept, 6) as intercept, round(fill, 6) as fill, count(*) as test_rows,
+      round(sqrt(avg(pow(y - intercept - slope * coalesce(f, fill), 2))), 6) as rmse"""
+
+
+def held_rows(spark, d):
+    v = I.vectors(spark, d).filter("label is not null")
+    return v.select("vec_id", F.col("label").alias("spatial_unit"), (F.col("vec_id") % 7).alias("year"), F.when(F.col("vec_id") % 9 > 0, F.col("x1")).alias("f"), F.col("x2").alias("y"))
+
+
+def held_report(rows, fits, on):
+    """Each fold's fit beside its error on the rows it left out."""
+    scored = held_out.predict_held_out(rows, fits, ["f"], on)
+    errors = scored.groupBy(*on).agg(F.count(F.lit(1)).alias("test_rows"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("predicted_yield"), 2))).alias("rmse"))
+    table = fits.select(*on, "train_rows", F.col("coef")[0].alias("slope"), "intercept", F.col("fill")[0].alias("fill"))
+    return rounded(table.join(errors, on), 6)
+
+
+@query("k02_unit_out_fits", "K2 L19 L18", sql(f"""select spatial_unit, train_rows, {HELD_OUT} from held join (
+    select u, {HELD_FIT} from held join (select u, avg(f) as fill from held, (select distinct spatial_unit as u from held) where spatial_unit <> u group by u) on spatial_unit <> u group by u, fill)
+    on spatial_unit = u group by spatial_unit, train_rows, slope, intercept, fill""", "vectors", extra=HELD_ROWS))
+def unit_out_fits(spark, d):
+    """Every label left out in turn: means of gaps, slope and intercept from the other labels alone, error on its own rows."""
+    rows = held_rows(spark, d)
+    return held_report(rows, held_out.leave_unit_out_fits(rows, ["f"], "y", specs=(("ols", (0.0,)),)), ["spatial_unit"])
+
+
+@query("k04_future_unseen_fits", "K4 L19 L18", sql(f"""select spatial_unit, year, train_rows, {HELD_OUT} from held join (
+    select u, t, {HELD_FIT} from held join (select u, t, avg(f) as fill from held, (select distinct spatial_unit as u, year as t from held where year >= 3) where spatial_unit <> u and year < t group by u, t)
+      on spatial_unit <> u and year < t group by u, t, fill) on spatial_unit = u and year = t group by spatial_unit, year, train_rows, slope, intercept, fill""", "vectors", extra=HELD_ROWS))
+def future_unseen_fits(spark, d):
+    """The same for every label and year, trained on earlier years of the other labels."""
+    rows = held_rows(spark, d)
+    return held_report(rows, held_out.future_unseen_fits(rows, ["f"], "y", specs=(("ols", (0.0,)),)), ["spatial_unit", "year"])
+
+
+@query("l19_unit_out_evaluation", "L19 L18 K2", sql(
+    "select model, count(*) as rows, count(distinct label) as units, count(distinct label) as fits, true as inside from vectors, (values ('ols'), ('ridge')) m(model) where label is not null group by model", "vectors"))
+def unit_out_evaluation(spark, d):
+    """All 64 features with penalties chosen inside each left-out label: every row predicted once per model."""
+    features = [f"x{i}" for i in range(1, 65) if i != 2]
+    rows = I.vectors(spark, d, 64).filter("label is not null").withColumnRenamed("label", "spatial_unit")
+    fits = settled(held_out.leave_unit_out_fits(rows, features, "x2"))
+    kept = fits.groupBy("model").agg(F.countDistinct("spatial_unit").alias("fits"), F.every(F.col("param").isin(0.0, 0.01, 0.1, 1.0, 10.0, 100.0) & (F.col("inner_mse") > 0)).alias("inside"))
+    scored = held_out.predict_held_out(rows, fits, features)
+    return scored.groupBy("model").agg(F.count("predicted_yield").alias("rows"), F.countDistinct("spatial_unit").alias("units")).join(kept, "model")
+
+
 @query("l19_temporal_evaluation", "L19 L18 K3 K5 M9", sql(
     "select model, count(*) as rows, count(distinct vec_id % 7) as years, 0::bigint as crossed from vectors, (values ('ols'), ('ridge')) m(model) where vec_id % 7 >= 4 group by model", "vectors"))
 def temporal_evaluation(spark, d):
