@@ -18,7 +18,9 @@ MIN_TILE = 5
 COVERAGE = 0.5
 #: Bytes of benchmark text that tasks hold at once.
 BLOCK_BYTES = 8 << 20
-_WORD = re.compile(r"\w+")
+#: Scripts written without blanks: every letter is a word (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+_UNSPACED = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[^\W]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,47 +93,64 @@ def _windows(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(taken[length:] == taken[:-length]) if len(free) >= length else np.zeros(0, np.int64)
 
 
+@dataclass
+class Seeds:
+    """Windows of one length in the items of a block, by hash."""
+
+    length: int
+    hashes: np.ndarray
+    #: Item numbers of hash i: owners[starts[i]:starts[i + 1]].
+    starts: np.ndarray
+    owners: np.ndarray
+
+    @classmethod
+    def of(cls, length: int, items: dict[int, np.ndarray]) -> Seeds:
+        pairs = sorted({(int(h), k) for k, ids in items.items() for h in rolling(ids, length)})
+        hashes, starts = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True)
+        return cls(length, hashes, np.append(starts, len(pairs)), np.array([k for _, k in pairs], np.int64))
+
+    def found(self, ids: np.ndarray) -> set[int]:
+        """Numbers of the items that share a window with a text."""
+        open_ = _windows(ids >= 0, self.length)
+        if not len(open_):
+            return set()
+        hashes = rolling(ids, self.length)[open_]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = np.unique(at[self.hashes[at] == hashes])
+        return {int(o) for i in at for o in self.owners[self.starts[i] : self.starts[i + 1]]}
+
+
 @dataclass
 class Block:
-    """Benchmark items as word ids, and where each seed occurs."""
+    """Benchmark items as word ids, and where their seeds occur."""
 
     vocabulary: dict[str, int]
     names: list
     items: list[np.ndarray]
-    seeds: np.ndarray
-    #: Item numbers of seed i: owners[starts[i]:starts[i + 1]].
-    starts: np.ndarray
-    owners: np.ndarray
+    seeds: list[Seeds]
     shortest: int
 
     @classmethod
     def of(cls, rows: list[tuple], shortest: int) -> Block:
-        """Items of fewer than ``shortest`` words can share no seed and are left out."""
+        """The seed of an item of fewer than ``shortest`` words is the whole item."""
         vocabulary: dict[str, int] = {}
-        names, items = [], []
+        names, items, by_length = [], [], {}
         for name, text in rows:
             ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int64)
-            if len(ids) >= shortest:
+            if len(ids):
+                by_length.setdefault(min(shortest, len(ids)), {})[len(items)] = ids
                 names.append(name)
                 items.append(ids)
-        pairs = np.array(sorted({(int(h), k) for k, ids in enumerate(items) for h in rolling(ids, shortest)}), dtype=object)
-        hashes = np.array([p[0] for p in pairs], np.uint64)
-        seeds, starts = np.unique(hashes, return_index=True)
-        return cls(vocabulary, names, items, seeds, np.append(starts, len(hashes)), np.array([p[1] for p in pairs], np.int64), shortest)
+        return cls(vocabulary, names, items, [Seeds.of(n, part) for n, part in sorted(by_length.items())], shortest)
 
     def matches(self, text: str | None, coverage: float) -> tuple[float, list]:
         """(largest coverage of an item, names of the items covered enough)."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words(text)), np.int64)
-        open_ = _windows(ids >= 0, self.shortest)
-        if not len(open_) or not len(self.seeds):
-            return 0.0, []
-        hashes = rolling(ids, self.shortest)[open_]
-        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        at = np.unique(at[self.seeds[at] == hashes])
         best, names = 0.0, []
-        for k in sorted({int(o) for i in at for o in self.owners[self.starts[i] : self.starts[i + 1]]}):
-            covered = sum(n for _, _, n in tiles(ids, self.items[k], self.shortest)) / len(self.items[k])
+        for k in sorted(set().union(*(s.found(ids) for s in self.seeds))):
+            item = self.items[k]
+            covered = sum(n for _, _, n in tiles(ids, item, min(self.shortest, len(item)))) / len(item)
             best = max(best, covered)
             if covered >= coverage:
                 names.append(self.names[k])
@@ -143,9 +162,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` with ``coverage`` (largest share of an item that tiles cover), ``item_ids`` and ``contaminated``.
 
     ``item_ids`` lists all items with at least ``coverage``. Words are lower-cased runs of letters and
-    digits, so case, punctuation and spacing don't matter, and passages in another order still tile.
-    Null or empty texts and items shorter than ``shortest`` words match nothing. Whole texts are read;
-    columns of these names are replaced, rows and repetitions stay.
+    digits, so case, punctuation and spacing don't matter, and passages in another order still tile; in
+    scripts without blanks every letter is a word. An item shorter than ``shortest`` words is one tile
+    and must occur whole. Null texts and texts or items without a word match nothing. Whole texts are
+    read; columns of these names are replaced, rows and repetitions stay.
 
     The benchmark goes to the tasks in blocks of at most about BLOCK_BYTES of text each, however
     large it is; every block is compared with all documents, and results are stored now and then.

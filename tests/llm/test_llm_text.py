@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seasonpanel.llm.chat import INST, Template, escape, format_chats, locate, loss_text, read_inst, render_inst, unescape
-from seasonpanel.llm.contamination import contamination, rolling, tiles
+from seasonpanel.llm.contamination import Block, contamination, rolling, tiles, words
 from seasonpanel.llm.langid import UNKNOWN, counts, fit_languages, identify
 from seasonpanel.llm.quality import fit_quality, score_quality
 from seasonpanel.llm.queries import QUERIES
@@ -222,7 +222,7 @@ def test_contamination_finds_reordered_passages(spark, monkeypatch):
     swapped = "Intro text. " + " ".join(words[10:20]).upper() + "; filler, " + " ".join(words[:10]) + "."
     rows = [(1, item), (2, swapped), (3, " ".join(words[:8])), (4, " ".join(f"{w} x" for w in words)), (5, None), (6, ""), (None, item), (1, item), (7, "x " * 100_000 + other), (8, f"{other} {item}")]
     docs = spark.createDataFrame([(*r, "q", 3) for r in rows], "doc_id long, text string, item_ids string, coverage int")
-    bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "too short"), (None, ""), (14, other)], "item_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "..."), (None, ""), (14, other)], "item_id long, text string")
     wanted = {(1, item): [10], (2, swapped): [10], (None, item): [10], rows[8]: [11, 14], rows[9]: [10, 11, 14]}
     for size in (8 << 20, 60):  # also with the benchmark in many blocks
         monkeypatch.setattr("seasonpanel.llm.contamination.BLOCK_BYTES", size)
@@ -233,3 +233,17 @@ def test_contamination_finds_reordered_passages(spark, monkeypatch):
     assert contamination(docs.limit(0), bench).count() == 0
     assert not contamination(docs, bench.limit(0)).where("contaminated").count()
     assert contamination(docs, bench).where((F.col("doc_id") == 3) & (F.col("coverage") == 0.4)).count() == 1
+
+
+def test_contamination_finds_short_and_unspaced_items(spark):
+    han = "我们今天去公园看花"
+    bench = spark.createDataFrame([(1, "One two, THREE four"), (2, han), (3, "zebra"), (4, "alpha beta gamma delta epsilon"), (5, None)], "item_id int, text string")
+    cases = {
+        "so one two three four it is": [1], "one two three x four": [], "two three four one": [], f"前{han}后": [2], han[:6] + "很好": [2], han[:4] + "很好": [],
+        "a Zebra!": [3], "zebras": [], "alpha beta gamma delta": [], "x alpha beta gamma delta epsilon": [4], "我": [], "": [], "one two three four " + han: [1, 2],
+    }
+    got = contamination(spark.createDataFrame([(t,) for t in cases], "text string"), bench).collect()
+    assert {r.text: sorted(r.item_ids) for r in got} == cases
+    many = Block.of([(1, "one two three four"), (2, "one two")], 5)
+    assert many.matches("x one two y", 0.5) == (1.0, [2]) and many.matches(None, 0.5) == (0.0, [])
+    assert words("Ab1 我们, ไทย x") == ["ab1", "我", "们", "ไ", "ท", "ย", "x"]
