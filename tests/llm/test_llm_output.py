@@ -154,3 +154,17 @@ def test_stages_take_empty_and_odd_tables(spark):
     for source in (docs.limit(0), odd):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, source, SF).collect()
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["score", "Toxic", "label", "coverage", "item_ids", "contaminated", "_mark", "_fp", "_id", "root", "_source", "_start", "_h", "_part", "_size", "_shard", "_place", "pieces", "a b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, SF).collect(), stage(spark, wide, SF).collect()
+        assert got and list(got[0].asDict()) == [*docs.columns, *names]
+        assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names), name
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((r.doc_id, r.text) for r in plain), key=repr), name
+    assert stage(spark, wide.limit(0), SF).columns == wide.columns
+    index = corpus_pipeline.tokens(spark, wide.limit(30), SF)
+    assert index.columns == corpus_pipeline.tokens(spark, docs.limit(30), SF).columns and index.count()
