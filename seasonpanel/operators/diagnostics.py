@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,15 +104,127 @@ def location_scatter(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarra
     return mean, xx / n
 
 
-def robust_outliers(df: DataFrame, columns: Sequence[str], significance: float = 0.01, steps: int = 30) -> DataFrame:
+def _closest(z: np.ndarray, location: np.ndarray, covariance: np.ndarray, h: int) -> np.ndarray:
+    diff = z - location
+    d2 = np.einsum("ij,jk,ik->i", diff, np.linalg.pinv(covariance), diff)
+    return z[np.argsort(d2, kind="stable")[:h]]
+
+
+def _moments(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return z.mean(axis=0), np.atleast_2d(np.cov(z.T, bias=True))
+
+
+def subsample_starts(z: np.ndarray, share: float, starts: int, best: int, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(determinant, location, scatter) of the ``best`` random starts on one subsample, after two
+    concentration steps each, the best run on until the determinant stops falling. A start is p + 1
+    random rows, and more while their scatter is singular."""
+    n, p = z.shape
+    h = max(min(n, p + 1), int(np.ceil(n * share)))
+    rng = np.random.default_rng(seed)
+    found: dict[tuple, tuple] = {}
+    for _ in range(starts):
+        order = rng.permutation(n)
+        k = min(n, p + 1)
+        location, covariance = _moments(z[order[:k]])
+        while np.linalg.det(covariance) <= 1e-12 and k < n:
+            k += 1
+            location, covariance = _moments(z[order[:k]])
+        for _ in range(2):
+            location, covariance = _moments(_closest(z, location, covariance, h))
+        found.setdefault(tuple(np.round(location, 9)), (float(np.linalg.det(covariance)), location, covariance))
+    out = []
+    for now, location, covariance in sorted(found.values(), key=lambda c: c[0])[:best]:
+        for _ in range(100):
+            next_location, next_covariance = _moments(_closest(z, location, covariance, h))
+            after = float(np.linalg.det(next_covariance))
+            if not after < now:
+                break
+            now, location, covariance = after, next_location, next_covariance
+        out.append((now, location, covariance))
+    return out
+
+
+def candidate_starts(
+    scaled: DataFrame, names: Sequence[str], n: int, h: int, key: Sequence[str], subsamples: int = 5, size: int = 300, starts: int = 100, best: int = 2, seed: int = 42,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Locations and scatters to start from: ``best`` of each of ``subsamples`` disjoint subsamples.
+
+    The subsamples are the subsamples x size rows with the smallest hash of ``key``, dealt by that hash,
+    so they are a bounded sample and a retry gives the same; they are fewer where n rows don't fill them. Each is searched in its own task; the driver gets
+    subsamples x best small matrices. Only starts come from the sample: all later steps read all rows.
+    """
+    p = len(names)
+    subsamples = max(1, min(subsamples, n // size))
+    digest = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]).alias("_hash")
+    sample = scaled.select(*names, digest).orderBy("_hash", *names).limit(subsamples * size)
+    sample = sample.withColumn("_part", F.pmod("_hash", F.lit(subsamples)))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.sort_values(["_hash", *names])[list(names)].to_numpy(float)
+        rows = []
+        if len(z) > p + 1:
+            rows = [(d, m.tolist(), c.ravel().tolist()) for d, m, c in subsample_starts(z, h / n, starts, best, seed + int(pdf["_part"].iloc[0]))]
+        return pd.DataFrame(rows, columns=["d", "m", "c"])
+
+    found = sample.groupBy("_part").applyInPandas(search, "d double, m array<double>, c array<double>").collect()
+    return [(np.array(r["m"]), np.array(r["c"]).reshape(p, p)) for r in sorted(found, key=lambda r: (r["d"], r["m"]))]
+
+
+def concentrate(scaled: DataFrame, names: Sequence[str], candidates: Sequence[tuple[np.ndarray, np.ndarray]], h: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One concentration step of all candidates over all rows: the h-th smallest distance of each
+    (one job of order statistics), then location and scatter of the rows within it (one pass that
+    leaves a matrix per candidate and task)."""
+    d2 = [f"_d{k}" for k in range(len(candidates))]
+    distance = scaled.select(*names, *[mahalanobis_column(names, m, c).alias(d) for d, (m, c) in zip(d2, candidates)])
+    cuts = order_statistics(unpivot_values(distance, d2, []), "value", ["feature"]).at({"cut": F.lit(h)})
+    cut = {r["feature"]: float(r["cut"]) for r in cuts.collect()}
+    inside = distance.select(*names, F.array(*[F.col(d) <= F.lit(cut[d]) for d in d2]).alias("_in"))
+    q = len(names) + 1
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(candidates), q, q))
+        for pdf in batches:
+            if len(pdf):
+                z = np.column_stack([np.ones(len(pdf)), pdf[list(names)].to_numpy(float)])
+                kept = np.stack(pdf["_in"].to_numpy()).astype(float)
+                for k in range(len(candidates)):
+                    total[k] += z.T @ (z * kept[:, k, None])
+        yield pd.DataFrame({"k": range(len(candidates)), "m": [t.ravel().tolist() for t in total]})
+
+    summed = inside.mapInPandas(products, "k int, m array<double>").groupBy("k").agg(Summarizer.sum(array_to_vector("m")).alias("v"))
+    out = []
+    for r in sorted(summed.select("k", vector_to_array("v").alias("m")).collect(), key=lambda r: r["k"]):
+        m = np.array(r["m"]).reshape(q, q)
+        mean = m[0, 1:] / m[0, 0]
+        out.append((mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean)))
+    return out
+
+
+def minimum_determinant(
+    scaled: DataFrame, names: Sequence[str], h: int, candidates: Sequence[tuple[np.ndarray, np.ndarray]], steps: int = 30, finalists: int = 2,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of least determinant: two steps of all candidates, then the
+    ``finalists`` until no determinant falls."""
+    now = [(np.inf, c) for c in candidates]
+    for step in range(steps):
+        after = [(float(np.linalg.det(c[1])), c) for c in concentrate(scaled, names, [c for _, c in now], h)]
+        moved = any(a < b * (1 - 1e-9) for (a, _), (b, _) in zip(after, now))
+        now = [a if a[0] <= b[0] else b for a, b in zip(after, now)]
+        if step == 1:
+            now = sorted(now, key=lambda c: c[0])[:finalists]
+        if not moved:
+            break
+    return min(now, key=lambda c: c[0])[1]
+
+
+def robust_outliers(df: DataFrame, columns: Sequence[str], significance: float = 0.01, steps: int = 30, seed: int = 42) -> DataFrame:
     """Complete rows with robust squared Mahalanobis distance, threshold and flag.
 
-    Minimum covariance determinant by concentration steps: each keeps the h rows
-    closest to the current estimate (exact order statistic, one job) and refits
-    location and scatter on them (one job) until the determinant stops falling. It
-    starts from medians and median absolute deviations. The raw scatter is scaled
-    to be consistent, then refitted on rows inside the 97.5 % bound. The driver
-    holds p x p numbers only.
+    Minimum covariance determinant: random starts on disjoint hashed subsamples, searched inside
+    tasks, and medians with median absolute deviations are the candidates; concentration steps
+    over all rows keep the h rows closest to each and refit location and scatter until the
+    determinant stops falling. The raw scatter is scaled to be consistent, then refitted on rows
+    inside the 97.5 % bound. The driver holds a few p x p matrices.
     """
     cols, p = list(columns), len(columns)
     rows = df.dropna(subset=cols)
@@ -129,17 +243,10 @@ def robust_outliers(df: DataFrame, columns: Sequence[str], significance: float =
     spread = scaled.withColumns({z: F.abs(F.col(z) - float(centre[z])) for z in names})
     mad = order_statistics(unpivot_values(spread, names, []), "value", ["feature"]).quantiles({"median": 0.5})
     width = {r["feature"]: max(r["median"], 1e-6) for r in mad.collect()}
-    covariance = np.diag([width[z] ** 2 for z in names])
-
-    determinant = np.inf
-    for _ in range(steps):
-        distance = scaled.withColumn("_d2", mahalanobis_column(names, location, covariance))
-        cut = order_statistics(distance, "_d2").at({"cut": F.lit(h)}).first()["cut"]
-        location, covariance = location_scatter(distance.filter(F.col("_d2") <= cut), names)
-        now = float(np.linalg.det(covariance))
-        if not now < determinant * (1 - 1e-9):
-            break
-        determinant = now
+    plain = (location, np.diag([width[z] ** 2 for z in names]))
+    hashable = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    candidates = [plain, *candidate_starts(scaled, names, int(n), h, hashable, seed=seed)]
+    location, covariance = minimum_determinant(scaled, names, h, candidates, steps)
 
     distance = scaled.withColumn("_d2", mahalanobis_column(names, location, covariance))
     middle = order_statistics(distance, "_d2").quantiles({"m": 0.5}).first()["m"]

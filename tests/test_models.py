@@ -1,7 +1,7 @@
 """Folds, linear algebra, baselines, intervals and diagnostics."""
 
 import math
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -225,6 +225,47 @@ def test_outliers_find_planted_rows(spark, panel):
         diagnostics.robust_outliers(panel.limit(2), ["x1", "x2"])
 
 
+def planted_cluster(spark, n=900):
+    """Two fifths of the rows in a cloud across the grain of the others."""
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(n, 1)) + 0.2 * rng.normal(size=(n, 3))
+    z[: n * 2 // 5] = np.array([-1.5, 1.5, -1.5]) + 0.5 * rng.normal(size=(n * 2 // 5, 3))
+    return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(z)], "id int, x1 double, x2 double, x3 double")
+
+
+def test_many_starts_find_a_cluster_that_the_medians_miss(spark):
+    df, cols, n = planted_cluster(spark), ["x1", "x2", "x3"], 900
+    flags = diagnostics.robust_outliers(df, cols).filter("is_multivariate_outlier")
+    assert flags.filter(f"id < {n * 2 // 5}").count() == n * 2 // 5
+    assert flags.filter(f"id >= {n * 2 // 5}").count() < n * 0.05
+    h = (n + 4) // 2
+    z = np.array([[r[c] for c in cols] for r in df.orderBy("id").collect()])
+    middle = np.median(z, axis=0)
+    plain = (middle, np.diag(np.median(abs(z - middle), axis=0) ** 2))
+    starts = diagnostics.candidate_starts(df, cols, n, h, df.columns)
+    alone, many = (diagnostics.minimum_determinant(df, cols, h, c) for c in ([plain], [plain, *starts]))
+    assert len(starts) == 6 and np.linalg.det(many[1]) < 0.5 * np.linalg.det(alone[1])
+    again = diagnostics.candidate_starts(df.repartition(7), cols, n, h, df.columns)
+    assert all(np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) for a, b in zip(starts, again, strict=True))
+
+
+def test_determinant_is_the_least_of_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    z = np.vstack([rng.normal(size=(9, 2)), rng.normal(3.0, 0.4, size=(5, 2))])
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(z)], "id int, x1 double, x2 double")
+    h = (14 + 3) // 2
+    least = min(np.linalg.det(np.cov(z[list(k)].T, bias=True)) for k in combinations(range(14), h))
+    found = diagnostics.minimum_determinant(df, ["x1", "x2"], h, diagnostics.candidate_starts(df, ["x1", "x2"], 14, h, df.columns))
+    assert np.linalg.det(found[1]) == pytest.approx(least, rel=1e-9)
+
+
+def test_repeated_and_tied_rows_keep_their_distances(spark, panel):
+    copies = panel.unionByName(panel.filter("id < 80")).unionByName(panel.filter("id = 5").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("_n"))
+    got = diagnostics.robust_outliers(copies, ["x1", "x2"], steps=4)
+    assert got.count() == copies.count() and got.columns[: len(panel.columns)] == panel.columns
+    assert got.groupBy("id").agg(F.countDistinct("mahalanobis_distance_squared").alias("d")).filter("d > 1").count() == 0
+
+
 def test_permutation_importance_ranks_the_drivers(spark, panel):
     predict = lambda rows: rows.withColumn("prediction", 2 + F.col("x1") - 0.5 * F.col("x2"))
     got = {r["feature"]: r["importance_mean"] for r in diagnostics.permutation_importance(panel.withColumn("fold", F.lit(1)), ["x1", "x2", "x4"], predict, ["id"]).collect()}
