@@ -61,7 +61,9 @@ def season_days(
 
     Each window is listed once per month it touches, so unit and month form an
     equi key. Work then spreads over months and a unit with a long history is
-    not one shuffle group. Catalyst broadcasts the calendar when it is small.
+    not one shuffle group. The listed windows are shuffled, never broadcast: size
+    estimates don't count the rows that ``explode`` makes, so a calendar of many
+    units would pass as small and be collected on the driver.
     """
     cal = calendar.withColumnRenamed("spatial_unit", unit) if unit != "spatial_unit" else calendar
     cal = cal.withColumns({"_start": F.col("start_date"), "_end": F.col("end_date")}).drop("start_date", "end_date")
@@ -72,7 +74,7 @@ def season_days(
         left = daily.withColumn("_month", F.trunc(date, "month"))
         keys = [unit, "_month"]
     clash = [c for c in cal.columns if c in left.columns and c not in keys]
-    joined = left.drop(*clash).join(cal, keys, "inner")
+    joined = left.drop(*clash).join(cal.hint("merge"), keys, "inner")
     return joined.filter(F.col(date).between(F.col("_start"), F.col("_end"))).drop("_start", "_end", "_month")
 
 

@@ -118,3 +118,16 @@ def test_overlapping_windows_and_empty_window(spark):
     assert calendar.season_days(daily, cal, month_key=False).count() == 5
     with pytest.raises(ValueError, match="no daily records"):
         calendar.assert_no_empty_windows(cal, days)
+
+
+def test_season_days_never_collects_the_calendar(spark):
+    """The windows listed by month are shuffled: their number is not seen by size estimates."""
+    from seasonpanel.operators.calendar import season_calendar, season_days
+
+    units = spark.range(40).selectExpr("concat('U', id) as spatial_unit")
+    daily = units.selectExpr("spatial_unit", "explode(sequence(date'2001-02-27', date'2001-03-02')) as date")
+    found = season_days(daily, season_calendar(units, [2001]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    seasons = {(r["season"], r["n"]) for r in found.groupBy("season").count().withColumnRenamed("count", "n").collect()}
+    assert seasons == {("annual", 160), ("first_season", 80)}
