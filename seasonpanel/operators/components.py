@@ -16,11 +16,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checks import complete_rows
 from ..session import settled
 from .linear import components_for_share, eigen, gram, scales, unpack
 from .series import cumulative_share
 
 BLOCK_ROWS = 4096
+#: Numbers of an array that a task holds while it weighs rows: bounds it whatever an Arrow batch holds.
+CELLS = 1 << 21
 
 
 def feature_gram(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -107,15 +110,18 @@ def bootstrap_grams(df: DataFrame, columns: Sequence[str], key: Sequence[str], i
     an iteration a Poisson(1) number of times, drawn from a hash of its key, so a
     retried task draws the same sample."""
     cols, streams = list(columns), np.arange(iterations)
-    rows = df.dropna(subset=cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols])
+    step = max(1, CELLS // max((len(cols) + 1) ** 2, iterations))
+    rows = complete_rows(df, cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            z = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float)])
-            outer = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
-            m = poisson_counts(mix(pdf["_k"].to_numpy(), streams)).T @ outer
-            total = m if total is None else total + m
+            x, keys = pdf[cols].to_numpy(float), pdf["_k"].to_numpy()
+            for at in range(0, len(x), step):
+                z = np.column_stack([np.ones(len(x[at : at + step])), x[at : at + step]])
+                outer = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+                m = poisson_counts(mix(keys[at : at + step], streams)).T @ outer
+                total = m if total is None else np.add(total, m, out=total)
         if total is not None:
             yield pd.DataFrame({"iter": streams + 1, "m": list(total)})
 
@@ -132,7 +138,7 @@ def permuted_grams(df: DataFrame, columns: Sequence[str], key: Sequence[str], it
     the correlations is that of a permutation of all rows. Blocks are drawn by hash.
     """
     cols = list(columns)
-    rows = df.dropna(subset=cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), F.lit(1.0).alias("_w"), *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = complete_rows(df, cols).select(F.xxhash64(F.lit(seed), *key).alias("_k"), F.lit(1.0).alias("_w"), *[F.col(c).cast("double").alias(c) for c in cols])
     fields = ", ".join(["_k long", "_w double", *[f"`{c}` double" for c in cols]])
 
     def permuted(last: bool, weight: float):
@@ -319,7 +325,7 @@ def component_report(panel: DataFrame, columns: Sequence[str], key: Sequence[str
     mean and interval of the first of two aligned bootstrap directions; largest loading first."""
     from .diagnostics import environment_rows
 
-    env = settled(environment_rows(panel).dropna(subset=list(columns)).select(*key, *columns))
+    env = settled(complete_rows(environment_rows(panel), columns).select(*key, *columns))
     first = loadings(env, columns).filter("component = 1").select("feature", "loading", "contribution_pct")
     spectrum = eigenvalues(env, columns)
     share = spectrum.filter("component = 1").select("share")

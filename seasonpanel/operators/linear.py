@@ -18,6 +18,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checks import complete_rows
+
 GROUPS_IN_TASK = 256
 
 
@@ -25,7 +27,7 @@ def gram(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[s
     """Per group: ``n`` (sum of weights) and ``m``, the flattened (p+2) x (p+2)
     matrix over (1, features, target). Rows with a missing value are left out."""
     cols = [*features, target]
-    rows = df.dropna(subset=cols).withColumn("_w", weight if weight is not None else F.lit(1.0))
+    rows = complete_rows(df, cols).withColumn("_w", weight if weight is not None else F.lit(1.0))
     return blocked_gram(rows, cols, list(groups))
 
 
