@@ -211,7 +211,7 @@ def rolling_fits(spark, d):
     p as (select yield_tons_ha as y, (sy - b * sx) / sw + b * area_planted_ha as q from targets, g where year >= 2000)
     select round(sqrt(avg((y - q) * (y - q))), 6) as rmse, round(1 - sum((y - q) * (y - q)) / (count(*) * var_pop(y)), 6) as r2, count(*) as n_test, 'cv_production_pct' as uncertainty_weight_column from p""".replace("with w as", "select * from (with w as", 1) + ")", "targets"))
 def weighted_metrics(spark, d):
-    t = I.targets(spark, d)
+    t = settled(I.targets(spark, d))
     return rounded(linear.weighted_fit_metrics(t.filter("year < 2000"), t.filter("year >= 2000"), ["area_planted_ha"], "yield_tons_ha", "cv_production_pct", least=1.0), 6)
 
 
@@ -219,7 +219,7 @@ def weighted_metrics(spark, d):
     """select term, round(case term when 'intercept' then (sy - b * sx) / sw else b end, 8) as coefficient from (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as b from (select sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from
     (select area_planted_ha as x, yield_tons_ha as y, 1 / pow(greatest(coalesce(cv_production_pct, (select quantile_cont(cv_production_pct, 0.5) from targets)), 1e-6), 2) as w from targets where cv_production_pct > 1 or cv_production_pct is null))), (values ('intercept'), ('area_planted_ha')) t(term)""", "targets"))
 def weighted_fit(spark, d):
-    t = I.targets(spark, d)
+    t = settled(I.targets(spark, d))
     rows = t.filter("cv_production_pct > 1 or cv_production_pct is null")
     weighted = prep.impute_median(t.withColumn("role", F.lit("train")), ["cv_production_pct"], ())
     kept = weighted.join(rows.select(*K.PANEL_KEY), K.PANEL_KEY, "left_semi")

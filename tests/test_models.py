@@ -284,3 +284,43 @@ def test_cluster_bootstrap_brackets_rmse(spark, panel):
 def test_hybrid_space_replaces_component_inputs(spark, panel):
     out, names = prep.feature_space(panel.drop("yield_tons_ha"), "hybrid", ["x1", "x2"], ["x4"], ["crop"], share=1)
     assert "PC1" in names and not {"x1", "x2"} & set(names) and "crop=c1" in names
+
+
+def test_permuted_grams_of_many_renamed_columns(spark, monkeypatch):
+    """A plan whose condition spans all columns is listed once per subset of their names by a checkpoint."""
+    monkeypatch.setattr(components, "BLOCK_ROWS", 30)
+    cols = [f"x{i}" for i in range(40)]
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=40).tolist()) for i in range(90)] + [(90, [None] * 40), (91, [float("nan")] + [1.0] * 39)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(cols)])
+    got = components.permuted_grams(df, cols, ["id"], 2).collect()
+    assert len(got) == 2 and all(r["n"] == pytest.approx(90) for r in got)
+
+
+def test_bootstrap_grams_hold_bounded_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *rng.normal(size=3).tolist()) for i in range(500)], "id long, a double, b double, c double")
+    grams = lambda: {r["iter"]: np.array(r["m"]) for r in components.bootstrap_grams(df, ["a", "b", "c"], ["id"], 20).collect()}
+    whole = grams()
+    monkeypatch.setattr(components, "CELLS", 140)
+    cut = grams()
+    assert set(cut) == set(whole) and all(np.allclose(cut[k], whole[k]) for k in whole)
+
+
+@pytest.mark.parametrize("name", ["l17_weighted_fit", "l17_weighted_metrics"])
+def test_weighted_fits_build_their_targets_once(spark, monkeypatch, name):
+    from seasonpanel.registry import inputs, load
+
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        built.add(1)
+        return x
+
+    rows = [(f"R{i % 5}", 1998 + i % 4, "annual", f"c{i}", 1.0 + i % 7, 10.0 + i * i % 50, 5.0, 3.0, None if i % 9 == 0 else 2.0 + i % 11) for i in range(80)]
+    shape = "spatial_unit string, year int, season string, crop string, yield_tons_ha double, area_planted_ha double, area_harvested_ha double, production_mt double, cv_production_pct double"
+    table = spark.createDataFrame(rows, shape).withColumn("cv_production_pct", seen("cv_production_pct"))
+    monkeypatch.setattr(inputs, "targets", lambda spark, d: table)
+    assert load()[0][name](spark, "").collect()
+    assert built.value == len(rows)
