@@ -247,3 +247,28 @@ def test_contamination_finds_short_and_unspaced_items(spark):
     many = Block.of([(1, "one two three four"), (2, "one two")], 5)
     assert many.matches("x one two y", 0.5) == (1.0, [2]) and many.matches(None, 0.5) == (0.0, [])
     assert words("Ab1 我们, ไทย x") == ["ab1", "我", "们", "ไ", "ท", "ย", "x"]
+
+
+def toxic_rows(spark, n):
+    rnd = random.Random(6)
+    rows = [(i, " ".join([f"w{rnd.randrange(300)}" for _ in range(8)] + ["scum" if i % 2 else "fine"]), ("en", "de")[i % 3 > 0]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+
+
+def test_toxicity_trains_on_every_labelled_row(spark, monkeypatch):
+    docs, labels = toxic_rows(spark, 10_000)
+    trained = []
+    monkeypatch.setattr("seasonpanel.llm.toxicity._trained", lambda rows, state, n: trained.append((rows.count(), n)))
+    fit_toxicity(docs, labels)
+    expected = docs.count()
+    (rows, n), = trained
+    assert rows == n and 0.77 * expected < n < 0.83 * expected
+
+
+def test_toxicity_parts_are_merged_and_agree_with_reruns(spark, monkeypatch):
+    monkeypatch.setattr("seasonpanel.llm.toxicity.PART_ROWS", 150)
+    docs, labels = toxic_rows(spark, 900)
+    first, again = (fit_toxicity(d, labels).net for d in (docs, docs.repartition(5)))
+    assert (first.embed == again.embed).all() and (first.out == again.out).all() and (first.slope, first.shift) == (again.slope, again.shift)
+    held = score_toxicity(toxic_rows(spark, 400)[0], fit_toxicity(docs, labels)).toPandas()
+    assert auc(held.score.to_numpy(), (held.doc_id % 2).to_numpy()) > 0.95
