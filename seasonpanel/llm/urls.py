@@ -19,9 +19,9 @@ BAD = " bad"
 SUPPORT, CONFIDENCE, LIFT = 0.001, 0.5, 1.5
 #: Bad URLs that a combination needs whatever the support says.
 LEAST_BAD = 5
-#: Tokens of a rule at most, and tokens of a labelled URL that take part in mining: those with the largest part of
-#: bad URLs. They bound FP-growth's trees, and with the support the rules: C(12, 1..4) / 0.001 = 793,000 at most.
-RULE_TOKENS, MINED_TOKENS = 4, 12
+#: Tokens of a rule at most, and frequent tokens of a URL up to which FP-growth's trees, which know no such bound,
+#: stay small. If a labelled URL has more, combinations are grown level by level instead, with the same rules.
+RULE_TOKENS, TREE_TOKENS = 4, 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,10 +74,38 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(*(named(k, v) for k, v in (("scheme", scheme), ("host", suffixes), ("word", words), ("path", parts), ("query", keys)))))
 
 
+def _grown(baskets: DataFrame, least_bad: int) -> DataFrame:
+    """(tokens, bad, n) of all combinations of ``baskets`` (bad, t) that can be rules that are not pruned.
+
+    A row's combinations of k + 1 tokens are grown from its frequent ones of k by each later token. One
+    that has the same rows as a part of it is no more confident than that part, nor is one with a part that is certain;
+    so neither it nor what grows from it is a rule that stays, and it is left out.
+    """
+    held = baskets.groupBy(F.array_sort("t").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    held = held.select("n", "bad", F.array().cast("array<string>").alias("tokens"), F.col("t").alias("rest"))
+    levels: list[DataFrame] = []
+    for size in range(1, RULE_TOKENS + 1):
+        held = held.select("n", "bad", "tokens", "rest", F.posexplode("rest").alias("_at", "token"))
+        held = held.select("n", "bad", F.concat("tokens", F.array("token")).alias("tokens"), F.slice("rest", F.col("_at") + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"))
+        held = stored(held, "url-grown")
+        counts = held.groupBy("tokens").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= least_bad)
+        if levels:
+            parts = counts.select("tokens", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("tokens", lambda x, i: i != k))).alias("part"))
+            smaller = levels[-1].where("bad < n").select(F.col("tokens").alias("part"), F.col("n").alias("_n"))
+            own = parts.join(smaller, "part").where("_n > n").groupBy("tokens").agg(F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") == size)
+            counts = counts.join(own.select("tokens"), "tokens")
+        levels.append(stored(counts.select("tokens", "bad", "n"), "url-level"))
+        held = held.join(levels[-1].where("bad < n").select("tokens"), "tokens", "left_semi").select("n", "bad", "tokens", "rest")
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found
+
+
 def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(tokens, least, n, bad, confidence): token combinations whose labelled URLs are mostly bad.
 
-    Every labelled row takes part, repeated ones too; a null label counts as good. FP-growth finds the combinations
+    Every labelled row takes part with all its tokens, repeated rows too; a null label counts as good. FP-growth finds the combinations
     that, together with the mark of a bad URL, reach the support; a combination's confidence is its count with the mark by its
     count. A rule is pruned if a part of its tokens is a rule that is at least as confident. ``least`` is the token that the
     fewest rows hold (ties: the smallest), the rule's key in the inverted index. No bad row: no rules.
@@ -93,17 +121,19 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     held = rows.select("k", "bad", F.explode("found").alias("token"))
     # a token in fewer bad rows is part of no rule; at most tokens of a row / support stay
     able = stored(held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(marked).alias("bad")).where(F.col("bad") >= least_bad), "url-tokens")
-    chosen = held.join(able.select("token", (F.col("bad") / F.col("n")).alias("part")), "token").groupBy("k").agg(F.first("bad").alias("bad"), F.sort_array(F.collect_list(F.struct((-F.col("part")).alias("part"), "token"))).alias("t"))
-    items = F.slice(F.col("t.token"), 1, MINED_TOKENS)
-    baskets = chosen.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items"))
-    # the smallest part of all baskets that still means least_bad rows
-    n_baskets = baskets.count()
+    baskets = stored(held.join(able.select("token"), "token").groupBy("k").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("t")), "url-baskets")
+    n_baskets, longest = baskets.agg(F.count(F.lit(1)), F.max(F.size("t"))).first()
     if not n_baskets:
         return none
-    found = FPGrowth(itemsCol="items", minSupport=(least_bad - 0.5) / n_baskets).fit(baskets).freqItemsets
-    found = stored(found.where(F.size("items") <= RULE_TOKENS + 1).select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    with_mark = found.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("bad"))
-    both = with_mark.join(found.select(F.col("items").alias("tokens"), F.col("freq").alias("n")), "tokens")
+    if longest > TREE_TOKENS:
+        both = _grown(baskets, least_bad)
+    else:
+        items = F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t"))
+        # the smallest part of all baskets that still means least_bad rows
+        found = FPGrowth(itemsCol="items", minSupport=(least_bad - 0.5) / n_baskets).fit(baskets.select(items.alias("items"))).freqItemsets
+        found = stored(found.where(F.size("items") <= RULE_TOKENS + 1).select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+        with_mark = found.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("bad"))
+        both = with_mark.join(found.select(F.col("items").alias("tokens"), F.col("freq").alias("n")), "tokens")
     both = both.withColumn("confidence", F.col("bad") / F.col("n")).where((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * bad / total))
     rules = stored(both, "url-rules")
     # every proper part of a rule's tokens, as the bits of a number
@@ -118,8 +148,8 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
 def matched(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with ``mined_rule`` and ``mined_confidence``: the most confident rule whose tokens a URL holds, or nulls.
 
-    Ties: the rule whose tokens come first. The rules, of which there are at most RULE_TOKENS out of
-    MINED_TOKENS by the support, are sent to all tasks as an inverted index by their rarest token.
+    Ties: the rule whose tokens come first. The rules, each of which holds for a least part of the labelled URLs,
+    are sent to all tasks as an inverted index by their rarest token.
     Columns of ``pages`` with the new names are replaced.
     """
     index = defaultdict(list)

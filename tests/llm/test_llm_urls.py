@@ -89,6 +89,30 @@ def test_long_urls_and_repeats_can_be_mined(spark):
     assert rules and all(len(r.tokens) == 1 and r.confidence == 1 and r.n == 30 for r in rules)
 
 
+def test_all_tokens_of_a_long_url_are_mined(spark):
+    """Sixteen frequent tokens a URL; the pair that marks bad ones is not among its most suspicious twelve."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(260):
+        parts = [rng.choice("ab") + chr(97 + j) for j in range(14)]
+        bad = parts[0] == "aa" and parts[1] == "ab" and rng.random() < 0.9 or rng.random() < 0.05
+        rows.append((f"x://h/{'/'.join(parts)}", bad))
+    frame = spark.createDataFrame(rows, "url string, bad boolean")
+    sets = [(frozenset(r.t), r.bad) for r in frame.select(tokens(F.col("url")).alias("t"), "bad").collect()]
+    n, bad = Counter(), Counter()
+    for held, b in sets:
+        for size in range(1, 5):
+            for c in itertools.combinations(sorted(held), size):
+                n[c] += 1
+                bad[c] += b
+    base = sum(b for _, b in sets) / len(sets)
+    wanted = {c: (n[c], bad[c]) for c in n if bad[c] >= LEAST_BAD and bad[c] / n[c] >= max(0.5, 1.5 * base)}
+    better = lambda c, p: p in wanted and bad[p] / n[p] >= bad[c] / n[c]
+    wanted = {c: v for c, v in wanted.items() if not any(better(c, p) for s in range(1, len(c)) for p in itertools.combinations(c, s))}
+    got = {tuple(r.tokens): (r.n, r.bad) for r in mine_rules(frame).collect()}
+    assert got == wanted and len(wanted) > 5
+
+
 def test_query_covers_every_page(spark):
     got = QUERIES["op12_url_filter"](spark, SF).collect()
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
