@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import appended, components, discarded, stored
-from .simhash import kept_rows
+from .simhash import kept_rows, links, simhash
 
 #: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
 WORDS = 5
@@ -70,18 +70,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
-    """``docs`` with ``_fp`` (the node), ``_size`` (number of shingles) and ``_keys`` (one per band)."""
+    """``docs`` with ``_fp`` (the node), ``_size`` (number of shingles), ``_sim`` (SimHash) and ``_keys`` (one per band)."""
 
     def sketch(batch: pa.RecordBatch) -> list[pa.Array]:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, sims, keys = [], [], [], []
         for t in batch.column(text_col):
             found = shingles(t.as_py(), words)
             nodes.append(_node(found))
             sizes.append(len(found))
+            sims.append(simhash(found))
             keys.append(band_keys(found))
-        return [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)]
+        return [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), _lists(keys)]
 
-    return appended(docs, sketch, {"_fp": "bigint", "_size": "int", "_keys": "array<bigint>"})
+    return appended(docs, sketch, {"_fp": "bigint", "_size": "int", "_sim": "bigint", "_keys": "array<bigint>"})
 
 
 def _sets(texts: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -187,10 +188,24 @@ def _cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return met.groupBy("key", "lo", "hi").applyInArrow(_cell, "u bigint, v bigint, sure boolean")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes whose SimHash fingerprints of the same shingles differ in at most two bits.
+
+    Each fingerprint's smallest node stands for it: the others are paired with it, and it with those
+    of the fingerprints that :func:`simhash.links` finds, so no pairs of a group of equal fingerprints are listed.
+    """
+    first = stored(nodes.groupBy("sim").agg(F.min("node").alias("first")), "near-prints")
+    same = nodes.join(first, "sim").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(first.select(F.col("sim").alias("fp")))
+    near = near.join(first.select(F.col("sim").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("sim").alias("v"), F.col("first").alias("b")), "v")
+    both = same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
-    """(node, root) of all nodes that have a link; ``nodes`` has node, size, keys and the mark of one of its texts.
+    """(node, root) of all nodes that have a link; ``nodes`` has node, size, sim, keys and the mark of one of its texts.
 
-    First each band has one text as its centre, the one that shares bands with most others, and
+    Candidates are texts with near SimHash fingerprints and texts that share a band. First each band has one text as its centre, the one that shares bands with most others, and
     all texts of the band are compared with it. So most of a large group of near copies falls into one
     component, and no pairs of the group are listed. Then the texts of a band that are in different
     components are compared inside tasks (``_cells``). Tables are deleted when nothing reads them any more.
@@ -199,9 +214,11 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int =
     spread = nodes.select("node", "size", "_mark", F.explode("keys").alias("key"))
     counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     table = stored(spread.join(counts, "key"), "near-bands")
-    if table.isEmpty():
+    prints = stored(_simhash_pairs(nodes), "near-simhash")
+    if table.isEmpty() and prints.isEmpty():
         return nodes.select("node", F.col("node").alias("root"))
-    wanted = table.select("_mark").distinct()
+    ends = prints.select("u", "v").unpivot([], ["u", "v"], "_end", "node").select("node")
+    wanted = table.select("_mark").unionByName(nodes.join(ends, "node", "left_semi").select("_mark")).distinct()
     texts = docs.select(text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")).join(wanted, "_mark", "left_semi")
     sets = stored(_sets(texts, text_col, words), "near-sets")
     reach = table.groupBy("node").agg(F.sum("n").alias("reach"))
@@ -209,10 +226,10 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int =
     centres = stored(centres.select("key", F.col("c.node").alias("v"), F.col("c.size").alias("_n")), "near-centres")
     close = F.least("size", "_n") * b >= F.greatest("size", "_n") * a
     pairs = table.select("key", F.col("node").alias("u"), "size").join(centres, "key").where(F.col("u") != F.col("v")).where(close)
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = stored(_verified(pairs, sets), "near-links")
-    roots = stored(components(links, "near-components"), "near-roots")
-    discarded(links)
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(prints).distinct()
+    sure = stored(_verified(pairs, sets), "near-links")
+    roots = stored(components(sure, "near-components"), "near-roots")
+    discarded(sure)
     # what is left has two texts, none of them the centre, in different components
     now = table.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = now.join(centres, "key").where(F.col("node") != F.col("v")).groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
@@ -220,7 +237,7 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, text_col: str, words: int =
     found = stored(_cells(rows, sets).groupBy("u", "v").agg(F.max("sure").alias("sure")), "near-found")
     more = found.where("sure").select("u", "v").unionByName(_verified(found.where(~F.col("sure")).select("u", "v"), sets))
     last = stored(components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "near-components"), "near-roots")
-    for table in (table, sets, centres, roots, rows, found):
+    for table in (table, prints, sets, centres, roots, rows, found):
         discarded(table)
     return last
 
@@ -233,8 +250,8 @@ def near_copies_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest id, and of groups without any id, one row stays, the one whose text has the smallest hash.
     """
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark")
-    rows = stored(sketched(docs.select(F.col(id_col).alias("_id"), mark, text_col), text_col, words).select("_id", "_mark", "_fp", "_size", "_keys"), "near")
-    nodes = rows.groupBy(F.col("_fp").alias("node")).agg(F.min("_mark").alias("_mark"), F.first("_size").alias("size"), F.first("_keys").alias("keys"), F.min("_id").alias("least_id"))
+    rows = stored(sketched(docs.select(F.col(id_col).alias("_id"), mark, text_col), text_col, words).select("_id", "_mark", "_fp", "_size", "_sim", "_keys"), "near")
+    nodes = rows.groupBy(F.col("_fp").alias("node")).agg(F.min("_mark").alias("_mark"), F.first("_size").alias("size"), F.first("_sim").alias("sim"), F.first("_keys").alias("keys"), F.min("_id").alias("least_id"))
     nodes = stored(nodes, "near-nodes")
     roots = similar_roots(nodes, docs, text_col, words)
     member = nodes.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), "least_id")

@@ -43,6 +43,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The fingerprint of hashed shingles, as a signed long; 0 for none. A bit is set if it is in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        h = hashes[at : at + BLOCK].astype("<i8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, fp_col: str = "fp") -> DataFrame:
     """``docs`` with each text's fingerprint as a signed long."""
 

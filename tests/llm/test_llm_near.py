@@ -114,3 +114,19 @@ def test_bands_hold_similarity_of_four_fifths():
         met += (band_keys(np.concatenate([both, own[:10]])) == band_keys(np.concatenate([both, own[10:]]))).any()
     assert met >= 2_990
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(None)) == 0
+
+
+def test_simhash_links_texts_without_a_common_band(spark):
+    """With bands that find nothing, texts within two bits of SimHash are still linked, if they are similar."""
+    rows = family(" ".join(random.Random(3).choices([f"v{i}" for i in range(5_000)], k=8_000)), 12, 1, 0) + [(100, "x"), (101, "x y")]
+    prints = {i: nearcopies.simhash(shingles(t)) for i, t in rows}
+    close = [(a, b) for a in range(12) for b in range(a) if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2]
+    assert len(close) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = nearcopies.F.xxhash64("text").alias("_mark")
+    told = nearcopies.sketched(docs.select("doc_id", mark, "text"), "text")
+    nodes = told.selectExpr("doc_id", "_fp as node", "_size as size", "_sim as sim", "_mark", "array(doc_id) as keys")
+    node = {r.doc_id: r.node for r in nodes.collect()}
+    root = {r.node: r.root for r in nearcopies.similar_roots(nodes.drop("doc_id"), docs, "text").collect()}
+    assert all(root[node[a]] == root[node[b]] for a, b in close)
+    assert root.get(node[100]) != root.get(node[101]) or root.get(node[100]) is None
