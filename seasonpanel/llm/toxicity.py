@@ -29,6 +29,8 @@ PART_ROWS, PART_WORDS = 16_384, 4_000_000
 EPOCHS = 6
 #: One labelled text in so many is held back for the calibration.
 HELD = 5
+#: Bits of the filter that leaves most unlabelled texts out before anything is shuffled.
+SLOTS = 1 << 25
 #: Buckets whose moves are one row, and steps of a logit that the calibration tells apart.
 ROW_BUCKETS, STEPS = 4_096, 256
 #: Positions convolved at once.
@@ -251,6 +253,25 @@ def _texts(batch) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column("_ids").to_pylist()], batch.column("_y").to_numpy(zero_copy_only=False)
 
 
+def _likely(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose _id may be one of ``marks``, by a bitmap of hashed ids (4 MB); a join then decides."""
+    slot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(SLOTS))
+    maps = marks.groupBy(F.bitmap_bucket_number(slot + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).collect()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in maps:
+        at = (r["at"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_slot").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    marked = docs.where("_id is not null").withColumn("_slot", slot)
+    return marked.mapInArrow(run, marked.schema).drop("_slot")
+
+
 def _counted(rows: DataFrame, buckets: int) -> np.ndarray:
     """Texts of either class that hold each bucket, over all ``rows``; one line per class and bucket comes back."""
 
@@ -334,12 +355,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
         return [pa.array(out, pa.binary())]
 
-    joined = docs.join(marks, docs[id_col] == marks["_id"]).select("_id", "_y", F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
     text_col = "_text"
-    n_rows, chars = joined.agg(F.count(F.lit(1)), F.sum(F.length("_text"))).first()
+    n_rows, chars = texts.select("_id", F.length("_text").alias("_chars")).join(marks, "_id").agg(F.count(F.lit(1)), F.sum("_chars")).first()
     parts = max(1, -(-n_rows // PART_ROWS), (chars or 0) // (5 * PART_WORDS))
-    rows = appended(joined, tokens, {"_ids": "binary"}).select("_y", "_ids", "lang", F.xxhash64("_id", "_ids").alias("_h"))
-    rows = rows.repartition(parts, "_h").persist(StorageLevel.DISK_ONLY)
+    dealt = appended(_likely(texts, marks), tokens, {"_ids": "binary"}).select("_id", "_ids", "lang").repartition(parts, "_id")
+    rows = dealt.join(marks.repartition(parts, "_id"), "_id").select("_y", "_ids", "lang", F.xxhash64("_id", "_ids").alias("_h")).persist(StorageLevel.DISK_ONLY)
     try:
         held = F.pmod("_h", F.lit(HELD)) == 0
         fit = {r["_y"]: r["n"] for r in rows.where(~held).groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
