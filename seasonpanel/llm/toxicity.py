@@ -8,17 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import settled
-from .common import appended
+from .common import appended, sliced
 from .tokens import word_ids
 
 BUCKETS = 1 << 16
+#: Two word ids of a bucket each, as the training rows keep them.
+KEPT_IDS = "<u2" if BUCKETS <= 1 << 16 else "<u4"
 #: Each word is the sum of two embeddings: its own and that of its first bytes.
 PREFIX = 4
 WIDTH = 12
@@ -31,8 +33,10 @@ EPOCHS = 6
 HELD = 5
 #: Bits of the filter that leaves most unlabelled texts out before anything is shuffled.
 SLOTS = 1 << 25
-#: Buckets whose moves are one row, and steps of a logit that the calibration tells apart.
-ROW_BUCKETS, STEPS = 4_096, 256
+#: Steps of a logit that the calibration tells apart.
+STEPS = 256
+#: Columns of a row of moves: a bucket's embedding, its squared moves, and the batches that moved it.
+MOVES = [f"v{k}" for k in range(WIDTH + 2)]
 #: Positions convolved at once.
 BLOCK = 1 << 16
 #: The decision limit that calibrated scores are made for.
@@ -250,11 +254,15 @@ def _limits(found, grid: np.ndarray) -> dict[str | None, float]:
 
 
 def _texts(batch) -> tuple[list[np.ndarray], np.ndarray]:
-    return [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column("_ids").to_pylist()], batch.column("_y").to_numpy(zero_copy_only=False)
+    return [np.frombuffer(x, KEPT_IDS).reshape(-1, 2).astype(np.int32) for x in batch.column("_ids").to_pylist()], batch.column("_y").to_numpy(zero_copy_only=False)
 
 
-def _likely(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose _id may be one of ``marks``, by a bitmap of hashed ids (4 MB); a join then decides."""
+def _likely_tokens(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_id, lang, _ids, _h): word ids of the rows of ``docs`` whose _id may be one of ``marks``, by a bitmap of
+    hashed ids (4 MB); the labels then decide. ``_h`` is the XXH64 of the id and the word ids as four bytes each.
+
+    Both steps are one function, so that a task has one Python worker.
+    """
     slot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(SLOTS))
     maps = marks.groupBy(F.bitmap_bucket_number(slot + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).collect()
     bits = np.zeros(SLOTS // 8, np.uint8)
@@ -264,15 +272,36 @@ def _likely(docs: DataFrame, marks: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("_slot").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
-    marked = docs.where("_id is not null").withColumn("_slot", slot)
-    return marked.mapInArrow(run, marked.schema).drop("_slot")
+        for whole in batches:
+            for batch in sliced(whole):
+                at = batch.column("_slot").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                if not batch.num_rows:
+                    continue
+                kept, hashes, seeds = [], [], batch.column("_seed").to_pylist()
+                for row, ids, offsets in _tokens(batch.column("_text"), BUCKETS):
+                    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:]), row):
+                        kept.append(ids[a:b].astype(KEPT_IDS).tobytes())
+                        hashes.append(xxhash.xxh64_intdigest(ids[a:b].astype("<i4").tobytes(), seeds[k] % (1 << 64)))
+                new = [pa.array(kept, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("lang"), *new], ["_id", "lang", "_ids", "_h"])
+
+    marked = docs.where("_id is not null").withColumns({"_slot": slot, "_seed": F.xxhash64("_id")})
+    return marked.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, lang {docs.schema['lang'].dataType.simpleString()}, _ids binary, _h bigint")
+
+
+def _summed(rows: DataFrame, run, schema: str, keys: list[str], n_rows: int) -> DataFrame:
+    """Sums by ``keys`` of what ``run`` makes of each part of ``rows``.
+
+    A task goes through several parts, one after the other, and adds up before anything is shuffled, so that
+    what is shuffled does not grow with the number of parts. Whole numbers or rounded ones (``_moves``): in any order the same.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // PART_ROWS))
+    made = rows.mapInArrow(run, schema)
+    return made.coalesce(tasks).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in made.columns if c not in keys])
 
 
-def _counted(rows: DataFrame, buckets: int) -> np.ndarray:
+def _counted(rows: DataFrame, buckets: int, n_rows: int) -> np.ndarray:
     """Texts of either class that hold each bucket, over all ``rows``; one line per class and bucket comes back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +312,7 @@ def _counted(rows: DataFrame, buckets: int) -> np.ndarray:
         y, bucket = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[y, bucket])], ["y", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "y int, bucket int, n bigint").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = _summed(rows, count, "y int, bucket int, n bigint", ["y", "bucket"], n_rows).toPandas()
     seen = np.zeros((2, buckets))
     seen[found.y.to_numpy(int), found.bucket.to_numpy(int)] = found.n
     return seen
@@ -293,9 +322,10 @@ def _trained(rows: DataFrame, state: State, n_rows: int) -> None:
     """EPOCHS epochs over all ``rows``: each part trains a copy of the net, then the copies are merged.
 
     Small arrays are averaged by the parts' rows, a bucket's embedding by the batches that moved it, so a
-    rare word keeps its whole move. The sums are made by Spark; the driver gets one net per epoch.
+    rare word keeps its whole move. A part hands on only the buckets that it moved. The sums are made by Spark;
+    the driver gets one net per epoch.
     """
-    spark, pad = rows.sparkSession, len(state.net.embed) - 1
+    spark = rows.sparkSession
     for epoch in range(EPOCHS):
         shared = spark.sparkContext.broadcast(state)
 
@@ -311,29 +341,29 @@ def _trained(rows: DataFrame, state: State, n_rows: int) -> None:
             by = np.argsort(np.array(order, np.int64), kind="stable")
             own = copy.deepcopy(shared.value)
             moved = run_epoch(own, [texts[i] for i in by], np.array(labels)[by], epoch)
-            moves = np.column_stack([own.net.embed - shared.value.net.embed, own.grown - shared.value.grown])
-            table = np.column_stack([moves * moved[:, None], moved]).astype(np.float64)
-            yield _line(-1, np.concatenate([own.small(), [1, own.step]]) * (len(texts) / n_rows))
-            for at in range(0, pad, ROW_BUCKETS):
-                yield _line(at, table[at : min(pad, at + ROW_BUCKETS)].ravel())
-
-        merged = rows.mapInArrow(run, "at int, v array<double>").groupBy("at").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        for line in merged.toLocalIterator():
-            v = np.asarray(line["v"])
-            if line["at"] < 0:
-                state.take_small(v[:-2] / v[-2])
-                state.step = round(v[-1] / v[-2])
-                continue
-            table = v.reshape(-1, WIDTH + 2)
-            part, weight = slice(line["at"], line["at"] + len(table)), np.maximum(table[:, -1:], 1)
-            state.net.embed[part] += (table[:, :WIDTH] / weight).astype(np.float32)
-            state.grown[part] += (table[:, WIDTH] / weight[:, 0]).astype(np.float32)
+            at = np.flatnonzero(moved[:-1])
+            moves = np.column_stack([own.net.embed[at] - shared.value.net.embed[at], own.grown[at] - shared.value.grown[at]])
+            yield _moves(at, np.column_stack([moves * moved[at, None], moved[at]]))
+            small = np.concatenate([own.small(), [1, own.step]]) * (len(texts) / n_rows)
+            small = np.append(small, np.zeros(-len(small) % len(MOVES))).reshape(-1, len(MOVES))
+            yield _moves(-1 - np.arange(len(small)), small)
+
+        merged = _summed(rows, run, f"at int, {', '.join(f'{c} double' for c in MOVES)}", ["at"], n_rows).toArrow().sort_by("at")
+        at = merged.column("at").to_numpy()
+        table = np.column_stack([merged.column(c).to_numpy() for c in MOVES])
+        v = table[at < 0][::-1].ravel()[: len(state.small()) + 2]
+        state.take_small(v[:-2] / v[-2])
+        state.step = round(v[-1] / v[-2])
+        at, table = at[at >= 0], table[at >= 0]
+        weight = np.maximum(table[:, -1:], 1)
+        state.net.embed[at] += (table[:, :WIDTH] / weight).astype(np.float32)
+        state.grown[at] += (table[:, WIDTH] / weight[:, 0]).astype(np.float32)
         shared.destroy()
 
 
-def _line(at: int, values: np.ndarray) -> pa.RecordBatch:
+def _moves(at: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     values = np.rint(values * 2.0**40) / 2.0**40  # so that sums are exact, whatever their order
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values], pa.list_(pa.float64()))], ["at", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *map(pa.array, values.T.copy())], ["at", *MOVES])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -349,18 +379,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = float(np.clip(counts.get(1, 0) / sum(counts.values()) if counts else 0.5, 1e-4, 1 - 1e-4))
 
-    def tokens(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for _, ids, offsets in _tokens(batch.column(text_col), BUCKETS):
-            out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        return [pa.array(out, pa.binary())]
-
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
-    text_col = "_text"
     n_rows, chars = texts.select("_id", F.length("_text").alias("_chars")).join(marks, "_id").agg(F.count(F.lit(1)), F.sum("_chars")).first()
     parts = max(1, -(-n_rows // PART_ROWS), (chars or 0) // (5 * PART_WORDS))
-    dealt = appended(_likely(texts, marks), tokens, {"_ids": "binary"}).select("_id", "_ids", "lang").repartition(parts, "_id")
-    rows = dealt.join(marks.repartition(parts, "_id"), "_id").select("_y", "_ids", "lang", F.xxhash64("_id", "_ids").alias("_h")).persist(StorageLevel.DISK_ONLY)
+    # the labels go beside the word ids: a sort-merge join would raise ``parts`` to the session's shuffle partitions
+    words = _likely_tokens(texts, marks).withColumn("_y", F.lit(None).cast("int"))
+    both = words.unionByName(marks, allowMissingColumns=True).repartition(parts, "_id")
+    both = both.withColumn("_y", F.max("_y").over(Window.partitionBy("_id"))).where("_ids is not null and _y is not null")
+    rows = both.select("_y", "_ids", "lang", "_h").persist(StorageLevel.DISK_ONLY)
     try:
         held = F.pmod("_h", F.lit(HELD)) == 0
         fit = {r["_y"]: r["n"] for r in rows.where(~held).groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -369,7 +395,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             net.slope, net.shift = 0.0, float(np.log(share / (1 - share)))
             return ToxicityModel(net, {None: LIMIT})
         texts = np.array([fit[0], fit[1]], float)
-        state = State.begun(_counted(rows.where(~held), BUCKETS), texts)
+        state = State.begun(_counted(rows.where(~held), BUCKETS, n_rows), texts)
         _trained(rows.where(~held), state, int(texts.sum()))
         net = state.net
         shared = rows.sparkSession.sparkContext.broadcast(net)

@@ -272,3 +272,35 @@ def test_toxicity_parts_are_merged_and_agree_with_reruns(spark, monkeypatch):
     assert (first.embed == again.embed).all() and (first.out == again.out).all() and (first.slope, first.shift) == (again.slope, again.shift)
     held = score_toxicity(toxic_rows(spark, 400)[0], fit_toxicity(docs, labels)).toPandas()
     assert auc(held.score.to_numpy(), (held.doc_id % 2).to_numpy()) > 0.95
+
+
+def test_toxicity_rows_are_small_and_dealt_in_parts(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more labels than a broadcast takes
+    docs, labels = toxic_rows(spark, 60)
+    seen = []
+    monkeypatch.setattr("seasonpanel.llm.toxicity.PART_ROWS", 20)
+    monkeypatch.setattr("seasonpanel.llm.toxicity._trained", lambda rows, state, n: seen.append((rows.rdd.getNumPartitions(), rows.select("_y", "_ids", "_h").collect())))
+    try:
+        fit_toxicity(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    (parts, rows), = seen
+    assert parts == 3 and len(rows) > 30
+    # nine words of two ids, two bytes each; the hash that holds rows back is of the id and four bytes an id
+    assert {len(r["_ids"]) for r in rows} == {36}
+    wide = [(r["_h"], np.frombuffer(r["_ids"], "<u2").astype("<i4").tobytes()) for r in rows]
+    ids = spark.createDataFrame(wide, "h long, ids binary").crossJoin(docs.select("doc_id")).where(F.xxhash64("doc_id", "ids") == F.col("h"))
+    assert ids.select("doc_id").distinct().count() == len(rows) and all(h % 5 for h, _ in wide)
+
+
+def test_toxicity_sums_parts_before_the_shuffle(spark):
+    from seasonpanel.llm.toxicity import _summed
+
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([n, 1])], ["at", "n"])
+
+    summed = _summed(spark.range(0, 400, 1, 40), run, "at long, n long", ["at"], 400)
+    assert {tuple(r) for r in summed.collect()} == {(1, 400), (2, 40)}
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in summed._jdf.queryExecution().executedPlan().toString()
