@@ -278,6 +278,20 @@ class _Phrases:
             yield int(np.searchsorted(edges, np.uint64(one), "right")) - 1, [text], [n]
 
 
+def _listed(texts: list[bytes], counts: list[int]) -> tuple[int, int, bytes, bytes]:
+    """(number, bytes, phrases, counts): phrases in their order, so that neighbours share their beginnings, compressed.
+
+    No phrase holds a line feed, as it ends a piece.
+    """
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    joined = b"\n".join([texts[k] for k in order])
+    return len(texts), len(joined), pa.compress(joined, codec="zstd", asbytes=True), _packed(np.array(counts, np.int64)[order])
+
+
+def _unlisted(n: int, size: int, phrases: bytes, counts: bytes) -> tuple[pa.Array, pa.Array]:
+    return pa.array(pa.decompress(phrases, size, codec="zstd", asbytes=True).split(b"\n"), pa.binary()), pa.array(_unpacked(counts, n))
+
+
 def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray], support: int) -> DataFrame:
     """(lang, phrase, f): exact counts of the phrases in ``filters`` that reach the support, by their true words.
 
@@ -292,8 +306,10 @@ def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray], su
 
         def flush():
             for (lang, _), phrases in found.items():
-                rows = list(phrases.rows(edges))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["lang", "bucket", "phrases", "counts"])
+                rows = [(bucket, *_listed(texts, counts)) for bucket, texts, counts in phrases.rows(edges)]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *columns], ["lang", "bucket", "n", "size", "phrases", "counts"])
             found.clear()
 
         for words, salts, runs in _batches(batches):
@@ -312,13 +328,13 @@ def _texts(parted: DataFrame, layout: Layout, filters: dict[int, np.ndarray], su
         yield from flush()
 
     def total(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).combine_chunks() for c in ("phrases", "counts")]
-        flat = pa.table([c.flatten() for c in columns], names=["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")])
+        parts = [_unlisted(*row) for row in zip(*(table.column(c).to_pylist() for c in ("n", "size", "phrases", "counts")))]
+        flat = pa.table([pa.chunked_array(c, k) for c, k in zip(zip(*parts), (pa.binary(), pa.int64()))], names=["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")])
         flat = flat.filter(pc.greater_equal(flat.column("n_sum"), support))
         lang = table.column("lang")[0].as_py()
         return pa.table([pa.array([lang] * flat.num_rows, pa.string()), flat.column("phrase"), flat.column("n_sum")], names=["lang", "phrase", "f"])
 
-    listed = parted.mapInArrow(tally, "lang string, bucket int, phrases array<binary>, counts array<bigint>")
+    listed = parted.mapInArrow(tally, "lang string, bucket int, n int, size bigint, phrases binary, counts binary")
     return listed.groupBy("lang", "bucket").applyInArrow(total, "lang string, phrase binary, f bigint")
 
 

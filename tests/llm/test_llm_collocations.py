@@ -117,3 +117,13 @@ def test_packed_numbers_come_back(values):
 
 def test_query_matches_sql(spark):
     assert compare(QUERIES["op11_collocations"](spark, SF), duck(SF), ORACLES["op11_collocations"]) == ""
+
+
+def test_listed_phrases_are_compressed_and_come_back():
+    rnd = random.Random(3)
+    words = [f"word{k}" for k in range(200)]
+    texts = list({" ".join(rnd.choices(words, k=rnd.randrange(1, 5))).encode() for _ in range(4000)} | {b"\xc3\xa9t\xc3\xa9"})
+    counts = [rnd.choice([1, 2, 300, 1 << 40]) for _ in texts]
+    n, size, phrases, many = module._listed(texts, counts)
+    found = dict(zip(*(c.to_pylist() for c in module._unlisted(n, size, phrases, many))))
+    assert found == dict(zip(texts, counts)) and len(phrases) < size / 3
