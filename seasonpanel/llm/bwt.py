@@ -71,7 +71,7 @@ def numbered_rows(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
         ends.append(np.arange(at, at + int((b == 0).sum())))
         at += len(b)
     chars = np.concatenate(bwts)
-    used = np.unique(chars)
+    used = np.flatnonzero(np.bincount(chars))
     code = np.zeros(int(used[-1]) + 1, np.uint8)
     code[used] = np.arange(len(used))
     return code[chars], np.concatenate(steps), np.concatenate(ends).astype(np.int32)
@@ -85,15 +85,17 @@ def places(char: np.ndarray, step: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     while len(who):
         string[row], back[row] = who, walked
         more = char[row] != 0
-        length[who[~more]] = walked
-        who, row = who[more], step[row[more]]
+        if not more.all():
+            length[who[~more]] = walked
+            who, row = who[more], row[more]
+        row = step[row]
         walked += 1
     return string, length[string] - back, length
 
 
 def _numbered(keys: np.ndarray) -> np.ndarray:
     """Keys as their ranks, in the smallest type, for radix passes."""
-    used = np.unique(keys)
+    used = np.flatnonzero(np.bincount(keys))  # pairs of bytes, so below 1 << 16
     if len(used) >= 1 << 16:
         return keys
     code = np.zeros(int(used[-1]) + 1, np.uint8 if len(used) < 256 else np.uint16)
@@ -141,22 +143,32 @@ def window_intervals(char: np.ndarray, step: np.ndarray, rows: np.ndarray, depth
     The interleave is refined as in :func:`merge`, for the rows alone that reach a window of
     ``depth`` characters, and only as deep. Of every round's order the common prefixes are known: a
     row starts a new interval if its pair differs from the row above, or if the rows they come from
-    were in different intervals. After the last round an interval is a set of equal windows. None of
-    the rows may be closer than ``depth`` characters to the start of its string.
+    were in different intervals. After the last round an interval is a set of equal windows. A row alone
+    in its interval stays so and leaves the rounds; these come last, in no order. None of the rows may
+    be closer than ``depth`` characters to the start of its string.
     """
     if depth % 2:
         raise ValueError("depth must be even")
     pair, twice, _ = _pairs(char, step)
     pair = _numbered(pair)
     now, order, interval = rows, np.arange(len(rows), dtype=np.int32), np.zeros(len(rows), np.int32)
-    starts = np.ones(len(rows), bool)
+    alone = []
     for _ in range(depth // 2):
+        if not len(now):
+            break
         keys = pair[now]
         by = np.argsort(keys, kind="stable")
         now, order, keys, before = twice[now[by]], order[by], keys[by], interval[by]
-        starts[1:] = (before[1:] != before[:-1]) | (keys[1:] != keys[:-1])
-        interval = np.cumsum(starts, dtype=np.int32)
-    return order, interval
+        starts = np.ones(len(now) + 1, bool)
+        starts[1:-1] = (before[1:] != before[:-1]) | (keys[1:] != keys[:-1])
+        interval = np.cumsum(starts[:-1], dtype=np.int32)
+        single = starts[:-1] & starts[1:]
+        if 8 * np.count_nonzero(single) > len(now):
+            alone.append(order[single])
+            now, order, interval = now[~single], order[~single], interval[~single]
+    single = np.concatenate([np.zeros(0, np.int32), *alone])
+    last = interval[-1] if len(interval) else 0
+    return np.concatenate([order, single]), np.concatenate([interval, last + 1 + np.arange(len(single), dtype=np.int32)])
 
 
 def least_per_window(bwts: list[np.ndarray], values: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

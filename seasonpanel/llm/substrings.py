@@ -27,8 +27,8 @@ COUNT_BYTES = 64 << 20
 MERGE_BYTES = 1 << 19
 #: Documents from which an anchor's windows are dealt out one by one instead of together.
 HEAVY = 50_000
-#: Windows whose anchors are found at once.
-CHUNK = 1 << 19
+#: Windows whose anchors are found at once; the arrays stay in a core's cache.
+CHUNK = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
@@ -220,7 +220,9 @@ def _shard_transforms(path: str, count_buckets: int, merge_buckets: int):
             for bucket, own in least.items():
                 strings = list(own)
                 marks = b"".join(xxhash.xxh3_128_digest(s) for s in strings)
-                rows.append((bucket, shard, build(strings).tobytes(), np.fromiter(own.values(), np.int64).tobytes(), marks))
+                made = build(strings).tobytes()
+                ids = np.fromiter(own.values(), np.int64).tobytes()
+                rows.append((bucket, shard, len(made), _packed(made), _packed(ids), marks))
                 if len(rows) == 64:
                     yield _transforms(rows)
                     rows = []
@@ -231,15 +233,23 @@ def _shard_transforms(path: str, count_buckets: int, merge_buckets: int):
 
 
 def _transforms(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "shard", "bwt", "ids", "marks"])
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "shard", "n", "bwt", "ids", "marks"])
+
+
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), kind)
 
 
 def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges a bucket's transforms; per shard the least id of each window of its strings, in runs of equal ids."""
     pdf = pdf.sort_values(["shard", "marks"], kind="stable")
-    values = [np.frombuffer(b, np.int64) for b in pdf["ids"]]
-    least, many = least_per_window([np.frombuffer(b, np.uint8) for b in pdf["bwt"]], np.concatenate(values), LENGTH)
+    values = [_unpacked(b, len(m) // 2, np.int64) for b, m in zip(pdf["ids"], pdf["marks"])]  # a mark has 16 bytes, an id 8
+    least, many = least_per_window([_unpacked(b, n, np.uint8) for b, n in zip(pdf["bwt"], pdf["n"])], np.concatenate(values), LENGTH)
     first = np.concatenate([[0], np.cumsum(many)])
     change = np.zeros(len(least), bool)
     change[1:] = least[1:] != least[:-1]
@@ -252,21 +262,25 @@ def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     for r, v in zip(pdf.itertuples(), values):
         lo, hi = of_string[at], of_string[at + len(v)]
         per = np.diff(of_string[at : at + len(v) + 1]).astype(np.uint32)
-        rows.append((r.shard, r.marks, per.tobytes(), runs[lo:hi].tobytes(), ids[lo:hi].tobytes()))
+        rows.append((r.shard, hi - lo, r.marks, _packed(per.tobytes()), _packed(runs[lo:hi].tobytes()), _packed(ids[lo:hi].tobytes())))
         at += len(v)
-    return pd.DataFrame(rows, columns=["shard", "marks", "per", "runs", "ids"])
+    return pd.DataFrame(rows, columns=["shard", "n", "marks", "per", "runs", "ids"])
 
 
 def _removal(data: np.ndarray, doc: int, strings: list[tuple], found: dict[bytes, int], first: np.ndarray, runs: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """True for each byte under a window whose least id is below the document's own."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    for start, string, _, _ in strings:
-        k = found[xxhash.xxh3_128_digest(string)]
-        for r in range(first[k], first[k + 1]):
-            if ids[r] < doc:
-                edge[start] += 1
-                edge[start + int(runs[r]) + LENGTH - 1] -= 1
-            start += int(runs[r])
+    if not strings:
+        return np.zeros(len(data), bool)
+    k = np.array([found[xxhash.xxh3_128_digest(string)] for _, string, _, _ in strings])
+    begin = np.array([start for start, *_ in strings])
+    per = first[k + 1] - first[k]  # one run at least
+    head = np.cumsum(per) - per
+    own = np.repeat(first[k] - head, per) + np.arange(int(per.sum()))
+    length = runs[own].astype(np.int64)
+    before = np.cumsum(length) - length
+    start = before + np.repeat(begin - before[head], per)
+    gone = ids[own] < doc
+    edge = np.bincount(start[gone], minlength=len(data) + 1) - np.bincount((start + length + LENGTH - 1)[gone], minlength=len(data) + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -282,9 +296,9 @@ def _remove(path: str, results: str, buckets: int):
                 for i in range(0, len(marks), 16):  # a shard that two tasks read may list a string twice, with the same ids
                     found[marks[i : i + 16]] = strings
                     strings += 1
-                per.append(_u4(row["per"]))
-                runs.append(_u4(row["runs"]))
-                ids.append(np.frombuffer(row["ids"], np.int64))
+                per.append(_unpacked(row["per"], len(marks) // 4, np.uint32))
+                runs.append(_unpacked(row["runs"], 4 * row["n"], np.uint32))
+                ids.append(_unpacked(row["ids"], 8 * row["n"], np.int64))
             first = np.concatenate([[0], np.cumsum(np.concatenate(per), dtype=np.int64)])
             runs, ids = np.concatenate(runs), np.concatenate(ids)
             rows = []
@@ -338,8 +352,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = counted.groupBy("bucket").applyInPandas(_keep_repeated, "shard int, bucket int, kept binary, heavy binary")
     kept_path = _by_shard(kept, shards, "substring-anchors")
 
-    transforms = base.mapInArrow(_shard_transforms(kept_path, count_buckets, merge_buckets), "bucket int, shard int, bwt binary, ids binary, marks binary")
-    merged = transforms.groupBy("bucket").applyInPandas(_merge_bucket, "shard int, marks binary, per binary, runs binary, ids binary")
+    transforms = base.mapInArrow(_shard_transforms(kept_path, count_buckets, merge_buckets), "bucket int, shard int, n int, bwt binary, ids binary, marks binary")
+    merged = transforms.groupBy("bucket").applyInPandas(_merge_bucket, "shard int, n int, marks binary, per binary, runs binary, ids binary")
     merged_path = _by_shard(merged, shards, "substring-least")
 
     spans = "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"

@@ -196,3 +196,19 @@ def test_substrings_equal_all_windows(spark, monkeypatch, heavy):
     found = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=repr)
     assert found == brute_substrings(rows)
     assert dedup_substrings(frame(spark, [])).count() == 0
+
+
+def test_windows_alone_leave_the_rounds(monkeypatch):
+    rnd = random.Random(8)
+    strings = [bytes(rnd.choices(b"abcdefgh", k=60)) for _ in range(40)] + [b"x" * 30 + b"same passage of more than twelve bytes" + bytes([k]) * 5 for k in range(65, 70)]
+    values, sorted_rows = np.arange(len(strings))[::-1].copy(), []
+    argsort = np.argsort
+    monkeypatch.setattr(bwt.np, "argsort", lambda a, **kw: (sorted_rows.append(len(a)), argsort(a, **kw))[1])
+    least, many = bwt.least_per_window([bwt.build(strings)], values, 12)
+    # the last six sorts are rounds over windows of 12 bytes; random ones are alone early
+    assert sorted_rows[-1] < sorted_rows[-6] / 3
+    at = 0
+    for text, n in zip(strings, many):
+        for i in range(n):
+            assert least[at + i] == min(v for v, other in zip(values, strings) if text[i : i + 12] in other)
+        at += n
