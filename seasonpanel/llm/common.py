@@ -63,31 +63,29 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternating large-star and small-star rounds. A node's smallest neighbour comes from an
     aggregate with partial sums and is joined back, so a node with very many neighbours is
     split like any skewed join. Each round is stored, and the number of rounds grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. It ends when every node points to one root that points nowhere,
+    which one aggregate over the edges tells; such edges are the result, and need no round at all.
     """
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        by = df.select(ends.alias("e")).groupBy("e.n").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return not by.agg(F.max(F.expr("up + down > 1 and up > 0"))).first()[0]
 
     edges = stored(ordered(edges), label)
-    before = state(edges)
-    while before[0]:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        # every edge now points from the larger to the smaller node
+        # an edge for each edge, from the larger to the smaller node; some may be listed twice until the round's end
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stored(ordered(small.select("e.u", "e.v")), label)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before, edges = edges, stored(ordered(small.select("e.u", "e.v")), label)
+        discarded(before)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -312,9 +312,9 @@ def _counted(rows: DataFrame, buckets: int, n_rows: int) -> np.ndarray:
         y, bucket = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[y, bucket])], ["y", "bucket", "n"])
 
-    found = _summed(rows, count, "y int, bucket int, n bigint", ["y", "bucket"], n_rows).toPandas()
+    found = _summed(rows, count, "y int, bucket int, n bigint", ["y", "bucket"], n_rows).toArrow()
     seen = np.zeros((2, buckets))
-    seen[found.y.to_numpy(int), found.bucket.to_numpy(int)] = found.n
+    seen[found.column("y").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return seen
 
 

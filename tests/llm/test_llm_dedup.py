@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from oracle import compare, duck
 
-from seasonpanel.llm import bwt
+from seasonpanel.llm import bwt, common
 from seasonpanel.llm.exact import build_filter, exact_dedup, may_contain
 from seasonpanel.llm.queries import ORACLES, QUERIES
 from seasonpanel.llm.simhash import fingerprint, simhash_groups, simhash_keep
@@ -125,6 +125,25 @@ def test_groups_equal_all_pairs(spark):
     assert simhash_groups(frame(spark, [])).count() == simhash_keep(frame(spark, [])).count() == 0
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Edges that are stars already need no round; any others give the smallest node that is reached."""
+    label, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: label.append(name) or stored(df, name))
+    rnd = random.Random(5)
+    cases = [[], [(1, 1)], [(2, 1), (1, 3), (9, 8), (2, 1)], [(k, k + 1) for k in range(40)], [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]]
+    for case in cases:
+        label.clear()
+        root = {x: x for u, v in case if u != v for x in (u, v)}
+        for _ in root:
+            for u, v in case:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        got = [(r.node, r.root) for r in common.components(spark.createDataFrame(case, "u long, v long")).collect()]
+        assert sorted(got) == sorted(root.items())
+        if len(case) < 5:
+            assert len(label) == 1
+
+
 # -- substrings ---------------------------------------------------------------------------
 
 
