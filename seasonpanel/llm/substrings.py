@@ -29,6 +29,8 @@ MERGE_BYTES = 1 << 19
 HEAVY = 50_000
 #: Windows whose anchors are found at once; the arrays stay in a core's cache.
 CHUNK = 1 << 16
+#: Texts whose anchors are found together.
+MOST_TEXTS = 1 << 10
 NO_ID = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
@@ -49,6 +51,22 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
+def _least(part: np.ndarray) -> np.ndarray:
+    """Of each window of CHUNK + LENGTH - 1 bytes at most: the least hash of its GRAM-byte strings."""
+    up, down = _powers()
+    reach = LENGTH - GRAM + 1
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[: len(part)], dtype=np.uint64, out=total[1:])
+    least = _mix((total[GRAM:] - total[:-GRAM]) * up[: len(part) - GRAM + 1])
+    span = 1
+    while 2 * span <= reach:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < reach:
+        least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
+    return least
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor): runs of neighbouring LENGTH-byte windows with the same anchor.
 
@@ -57,19 +75,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     windows = len(data) - LENGTH + 1
     start, value, last = [], [], None
-    up, down = _powers()
-    reach = LENGTH - GRAM + 1
     for at in range(0, max(windows, 0), CHUNK):
-        part = data[at : min(at + CHUNK, windows) + LENGTH - 1]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[: len(part)], dtype=np.uint64, out=total[1:])
-        least = _mix((total[GRAM:] - total[:-GRAM]) * up[: len(part) - GRAM + 1])
-        span = 1
-        while 2 * span <= reach:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < reach:
-            least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
+        least = _least(data[at : min(at + CHUNK, windows) + LENGTH - 1])
         change = np.flatnonzero(least[1:] != least[:-1]) + 1
         if last is None or least[0] != last:
             change = np.concatenate([[0], change])
@@ -82,6 +89,32 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, windows)), _mix(np.concatenate(value) + np.uint64(1))
 
 
+def anchors_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, windows, anchor): the runs of :func:`anchors` of each text, in order.
+
+    Several texts have CHUNK bytes together at most and are hashed as one, so that short texts do not
+    cost the calls of a text each; a window that reaches into the next text is in no run.
+    """
+    length = np.array([len(x) for x in texts], np.int64)
+    windows = int(length.sum()) - LENGTH + 1
+    if len(texts) == 1 or windows < 1:
+        start, windows, anchor = anchors(texts[0] if len(texts) == 1 else np.zeros(0, np.uint8))
+        return np.zeros(len(start), np.int64), start, windows, anchor
+    least = _least(np.concatenate(texts))
+    first = np.cumsum(length) - length
+    stop = first + np.maximum(length - LENGTH + 1, 0)
+    change = np.ones(windows, bool)
+    change[1:] = least[1:] != least[:-1]
+    for edge in (first, stop):
+        change[edge[edge < windows]] = True
+    start = np.flatnonzero(change)
+    text = np.searchsorted(first, start, "right") - 1
+    inside = start < stop[text]
+    many = np.diff(np.append(start, windows))[inside]
+    start, text = start[inside], text[inside]
+    return text, start - first[text], many, _mix(least[start] + np.uint64(1))
+
+
 def _key(anchor: np.ndarray, buckets: int) -> np.ndarray:
     """Counting bucket and 32 further bits of an anchor. Different anchors with one key only cost work."""
     return ((anchor % np.uint64(buckets)) << np.uint64(32)) | (anchor >> np.uint64(32))
@@ -141,6 +174,33 @@ def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
         yield shard, ((doc, data) for _, doc, data in own)
 
 
+def _together(docs: Iterator[tuple[int | None, np.ndarray]]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, texts) of neighbouring documents of CHUNK bytes together at most, or of one."""
+    ids, texts, size = [], [], 0
+    for doc, data in docs:
+        if texts and (size + len(data) > CHUNK or len(texts) == MOST_TEXTS):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(doc)
+        texts.append(data)
+        size += len(data)
+    if texts:
+        yield ids, texts
+
+
+def _ranked(ids: list[int | None]) -> list[int]:
+    return [NO_ID if i is None else i for i in ids]
+
+
+def _once_each(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys of each text, each once; ``text`` ascends."""
+    by = np.argsort(keys, kind="stable")
+    text, keys = text[by], keys[by]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    return keys[fresh]
+
+
 # -- the steps ----------------------------------------------------------------------------
 
 
@@ -149,7 +209,10 @@ def _count_anchors(buckets: int):
 
     def run(batches):
         for shard, docs in _shards_of(batches):
-            found = [np.unique(_key(anchors(data)[2], buckets)) for _, data in docs]
+            found = []
+            for _, texts in _together(docs):
+                text, _, _, anchor = anchors_of(texts)
+                found.append(_once_each(text, _key(anchor, buckets)))
             keys, many = np.unique(np.concatenate(found), return_counts=True)
             cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
             rows = []
@@ -179,27 +242,27 @@ def _keep_repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "bucket", "kept", "heavy"])
 
 
-def _strings(data: np.ndarray, buckets: int, kept: np.ndarray, heavy: np.ndarray) -> list[tuple[int, bytes, int, int]]:
-    """(start, string, windows, bucket hash) of the document's runs whose anchor is repeated.
+def _strings(texts: list[np.ndarray], buckets: int, kept: np.ndarray, heavy: np.ndarray) -> list[tuple[int, int, bytes, int]]:
+    """(text, start, string, bucket hash) of the texts' runs whose anchor is repeated, in their order.
 
     A heavy anchor's run is given as its single windows, so that no merge bucket has to hold all
     strings around a passage that very many documents share.
     """
-    start, windows, anchor = anchors(data)
+    text, start, windows, anchor = anchors_of(texts)
     keys = _key(anchor, buckets)
     own = np.flatnonzero(_holds(kept, keys))
     if not len(own):
         return []
-    raw = data.tobytes()
+    raw = [x.tobytes() for x in texts]
     apart = _holds(heavy, keys[own])
     out = []
-    for s, n, a, alone in zip(start[own].tolist(), windows[own].tolist(), anchor[own].tolist(), apart.tolist()):
+    for t, s, n, a, alone in zip(*(x[own].tolist() for x in (text, start, windows, anchor)), apart.tolist()):
         if alone:
             for i in range(s, s + n):
-                w = raw[i : i + LENGTH]
-                out.append((i, w, 1, xxhash.xxh3_64_intdigest(w)))
+                w = raw[t][i : i + LENGTH]
+                out.append((t, i, w, xxhash.xxh3_64_intdigest(w)))
         else:
-            out.append((s, raw[s : s + n + LENGTH - 1], n, a >> 7))
+            out.append((t, s, raw[t][s : s + n + LENGTH - 1], a >> 7))
     return out
 
 
@@ -210,12 +273,12 @@ def _shard_transforms(path: str, count_buckets: int, merge_buckets: int):
         for shard, docs in _shards_of(batches):
             kept, heavy = _repeated(path, shard)
             least: dict[int, dict[bytes, int]] = {}
-            for doc, data in docs:
-                doc = NO_ID if doc is None else doc
-                for _, string, _, h in _strings(data, count_buckets, kept, heavy):
+            for ids, texts in _together(docs):
+                ids = _ranked(ids)
+                for t, _, string, h in _strings(texts, count_buckets, kept, heavy):
                     own = least.setdefault(h % merge_buckets, {})
-                    if own.get(string, NO_ID) >= doc:
-                        own[string] = doc
+                    if own.get(string, NO_ID) >= ids[t]:
+                        own[string] = ids[t]
             rows = []
             for bucket, own in least.items():
                 strings = list(own)
@@ -267,21 +330,37 @@ def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "n", "marks", "per", "runs", "ids"])
 
 
-def _removal(data: np.ndarray, doc: int, strings: list[tuple], found: dict[bytes, int], first: np.ndarray, runs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """True for each byte under a window whose least id is below the document's own."""
+def _removed(docs: list[int], texts: list[np.ndarray], strings: list[tuple], found: dict[bytes, int], first: np.ndarray, runs: np.ndarray, ids: np.ndarray) -> list[list[tuple[int, int]]]:
+    """(begin, end) of each text's runs of bytes under windows whose least id is below the document's own."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not strings:
-        return np.zeros(len(data), bool)
-    k = np.array([found[xxhash.xxh3_128_digest(string)] for _, string, _, _ in strings])
-    begin = np.array([start for start, *_ in strings])
+        return out
+    k = np.array([found[xxhash.xxh3_128_digest(string)] for _, _, string, _ in strings])
+    text = np.array([t for t, *_ in strings])
+    # places in all texts, with a byte between two of them, so that no run reaches over it
+    length = np.array([len(x) + 1 for x in texts], np.int64)
+    base = np.cumsum(length) - length
+    begin = np.array([start for _, start, _, _ in strings]) + base[text]
     per = first[k + 1] - first[k]  # one run at least
     head = np.cumsum(per) - per
     own = np.repeat(first[k] - head, per) + np.arange(int(per.sum()))
     length = runs[own].astype(np.int64)
     before = np.cumsum(length) - length
     start = before + np.repeat(begin - before[head], per)
-    gone = ids[own] < doc
-    edge = np.bincount(start[gone], minlength=len(data) + 1) - np.bincount((start + length + LENGTH - 1)[gone], minlength=len(data) + 1)
-    return np.cumsum(edge[:-1]) > 0
+    gone = ids[own] < np.repeat(np.array(docs, np.int64)[text], per)
+    start, end = start[gone], (start + length + LENGTH - 1)[gone]
+    if len(start):  # both ascend
+        apart = np.flatnonzero(start[1:] > end[:-1]) + 1
+        start, end = start[np.append(0, apart)], end[np.append(apart - 1, len(end) - 1)]
+        text = np.searchsorted(base, start, "right") - 1
+        for t, a, b in zip(text.tolist(), (start - base[text]).tolist(), (end - base[text]).tolist()):
+            out[t].append((a, b))
+    return out
+
+
+def _without(data: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    raw = data.tobytes()
+    return b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)])) if spans else raw
 
 
 def _remove(path: str, results: str, buckets: int):
@@ -303,13 +382,12 @@ def _remove(path: str, results: str, buckets: int):
             runs, ids = np.concatenate(runs), np.concatenate(ids)
             rows = []
             size = 0
-            for doc, data in docs:
-                gone = _removal(data, NO_ID if doc is None else doc, _strings(data, buckets, kept, heavy), found, first, runs, ids)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                spans = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                rows.append((doc, len(data), spans, data[~gone].tobytes()))
-                size += len(data)
-                if size > 1 << 22:
+            for own, texts in _together(docs):
+                spans = _removed(_ranked(own), texts, _strings(texts, buckets, kept, heavy), found, first, runs, ids)
+                for doc, data, gone in zip(own, texts, spans):
+                    rows.append((doc, len(data), gone, _without(data, gone)))
+                    size += len(data)
+                if size > 1 << 22 or len(rows) > 1 << 14:
                     yield _results(rows)
                     rows, size = [], 0
             if rows:
@@ -319,8 +397,11 @@ def _remove(path: str, results: str, buckets: int):
 
 
 def _results(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "n_bytes", "spans", "kept"])
+    doc, n_bytes, spans, kept = zip(*rows)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32)
+    flat = np.array([x for own in spans for x in own], np.int64).reshape(-1, 2)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n_bytes, pa.int64()), lists, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

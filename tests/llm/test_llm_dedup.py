@@ -8,11 +8,11 @@ import pytest
 import xxhash
 from oracle import compare, duck
 
-from seasonpanel.llm import bwt, common
+from seasonpanel.llm import bwt, common, substrings
 from seasonpanel.llm.exact import build_filter, exact_dedup, may_contain
 from seasonpanel.llm.queries import ORACLES, QUERIES
 from seasonpanel.llm.simhash import fingerprint, simhash_groups, simhash_keep
-from seasonpanel.llm.substrings import LENGTH, anchors, dedup_substrings
+from seasonpanel.llm.substrings import LENGTH, anchors, anchors_of, dedup_substrings
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, digest string, fp int, score string"
@@ -183,6 +183,19 @@ def test_anchors_cover_every_window_once(monkeypatch):
     assert all(len(x) == 0 for x in anchors(data[: LENGTH - 1]))
 
 
+def test_short_texts_are_hashed_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 99, n).astype(np.uint8) for n in (0, 49, 700, 0, 50, 51, 3_000, 12, 0, 49, 400, 7, 0)]
+    wanted = [(i, *run) for i, t in enumerate(texts) for run in zip(*(x.tolist() for x in anchors(t)))]
+    calls, hashed = [], substrings._least
+    monkeypatch.setattr(substrings, "_least", lambda part: calls.append(len(part)) or hashed(part))
+    assert list(zip(*(x.tolist() for x in anchors_of(texts)))) == wanted
+    assert len(calls) == 1
+    for few in ([], texts[:1], texts[:2], texts[2:3], [texts[0], texts[2]], [texts[2], texts[0]]):
+        assert list(zip(*(x.tolist() for x in anchors_of(few)))) == [(i, *run) for i, t in enumerate(few) for run in zip(*(x.tolist() for x in anchors(t)))]
+    assert [ids for ids, _ in substrings._together(enumerate([np.zeros(n, np.uint8) for n in (5, 0, substrings.CHUNK, 0, 9)]))] == [[0, 1], [2, 3], [4]]
+
+
 def brute_substrings(rows):
     texts = [(i, (t or "").encode()) for i, t in rows]
     rank = lambda i: float("inf") if i is None else i
