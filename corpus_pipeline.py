@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonpanel.llm.common import crc_mod, documents, stored
+from seasonpanel.llm.common import crc_mod, documents, small_batches, stored
 from seasonpanel.llm.contamination import contamination
 from seasonpanel.llm.mixing import mix_texts
 from seasonpanel.llm.nearcopies import near_copies_keep
@@ -26,7 +26,10 @@ INPUTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with its other columns under names that no operator uses, and the way back to its
-    own columns. So a column called ``score`` or ``coverage`` passes every stage as it is."""
+    own columns. So a column called ``score`` or ``coverage`` passes every stage as it is.
+
+    Whole texts go through Python in every stage, so it also bounds the session's Arrow batches."""
+    small_batches(docs.sparkSession)
     inside = {c: c if c in INPUTS else f"_document_{i}" for i, c in enumerate(docs.columns)}
     there = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in inside.items()])
     return there, lambda out: out.select(*[F.col(name).alias(c) for c, name in inside.items()])

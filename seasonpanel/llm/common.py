@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 #: Bytes of an Arrow batch that are worked on at once.
 SLICE_BYTES = 4 << 20
+#: Spark's setting for the bytes of an Arrow batch that goes to Python.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -47,6 +50,21 @@ def discarded(df: DataFrame) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
+    """Lets Spark hand Python at most about ``size`` bytes of rows at once (one row at least).
+
+    By itself Spark fills a batch with up to 64 MB, which each task holds in the JVM and again in
+    Python. The setting stays, as rows are computed after the caller has returned; a smaller one is kept.
+    """
+    spark.conf.set(ARROW_BYTES, str(min(size, _bytes(spark.conf.get(ARROW_BYTES)))))
+
+
+def _bytes(value: str) -> int:
+    """A setting such as 67108864b, 64m or 1kb as a number; Spark takes none from 2 GB on."""
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", value.strip().lower()).groups()
+    return int(number) << 10 * " kmg".index(unit or " ")
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -1,12 +1,14 @@
 """Mixing, token shards and the pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_llm_near import brute_keep
 
+from seasonpanel.llm.common import ARROW_BYTES, SLICE_BYTES, small_batches
 from seasonpanel.llm.contamination import contamination
 from seasonpanel.llm.feistel import permute
 from seasonpanel.llm.mixing import Quota, SplittingTree, mix_plan, mix_texts, taken, targets, word_count
@@ -168,3 +170,34 @@ def test_stages_keep_columns_with_clashing_names(spark):
     assert stage(spark, wide.limit(0), SF).columns == wide.columns
     index = corpus_pipeline.tokens(spark, wide.limit(30), SF)
     assert index.columns == corpus_pipeline.tokens(spark, docs.limit(30), SF).columns and index.count()
+
+
+def _largest_batch(docs):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    return docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_bound_the_batches_that_python_gets(spark, name, stage):
+    docs = spark.range(9_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("two words "), 200).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(2_000).alias("n_chars"))
+    spark.conf.unset(ARROW_BYTES)
+    try:
+        assert _largest_batch(docs) > 4 * SLICE_BYTES
+        stage(spark, docs.limit(5), SF)
+        assert _largest_batch(docs) < 1.1 * SLICE_BYTES
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
+@pytest.mark.parametrize("before, after", [("64m", SLICE_BYTES), ("1kb", 1024), ("3000000", 3_000_000), ("1GB", SLICE_BYTES)])
+def test_smaller_batches_are_kept(spark, before, after):
+    try:
+        spark.conf.set(ARROW_BYTES, before)
+        small_batches(spark)
+        small_batches(spark)
+        assert spark.conf.get(ARROW_BYTES).rstrip("b") == str(after)
+    finally:
+        spark.conf.unset(ARROW_BYTES)
