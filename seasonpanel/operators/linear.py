@@ -25,7 +25,8 @@ GROUPS_IN_TASK = 256
 
 def gram(df: DataFrame, features: Sequence[str], target: str, groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Per group: ``n`` (sum of weights) and ``m``, the flattened (p+2) x (p+2)
-    matrix over (1, features, target). Rows with a missing value are left out."""
+    matrix over (1, features, target). Rows with a missing value are left out.
+    Without groups there is always one row; if no row is left, both are null."""
     cols = [*features, target]
     rows = complete_rows(df, cols).withColumn("_w", weight if weight is not None else F.lit(1.0))
     return blocked_gram(rows, cols, list(groups))
@@ -57,8 +58,10 @@ def blocked_gram(rows: DataFrame, cols: list[str], groups: list[str]) -> DataFra
             yield flush()
 
     partial = rows.select(*groups, *[F.col(c).cast("double").alias(c) for c in cols], "_w").mapInPandas(products, schema)
-    summed = partial.groupBy(*groups).agg(Summarizer.sum(array_to_vector("m")).alias("v"))
+    # grouped in any case: over no rows at all Summarizer fails
+    summed = partial.groupBy(*(groups or [F.lit(True)])).agg(Summarizer.sum(array_to_vector("m")).alias("v"))
     out = summed.select(*groups, vector_to_array("v").alias("m"))
+    out = out if groups else out.agg(F.first("m").alias("m"))
     return out.select(*groups, F.element_at("m", 1).alias("n"), "m")
 
 
@@ -94,10 +97,17 @@ def earlier_grams(grams: DataFrame, year: str = "year", first_test: int | None =
 # --- small dense algebra on one matrix -------------------------------------------
 
 
+def square(m: Sequence[float] | None) -> np.ndarray:
+    """The matrix that ``m`` is the flattened form of."""
+    if m is None:
+        raise ValueError("no row has all values, so there is no matrix")
+    q = int(round(len(m) ** 0.5))
+    return np.asarray(m, float).reshape(q, q)
+
+
 def unpack(m: Sequence[float]) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray, float]:
     """n, feature means, target mean, centred X'X, centred X'y, centred y'y."""
-    q = int(round(len(m) ** 0.5))
-    a = np.asarray(m, float).reshape(q, q)
+    a = square(m)
     n = a[0, 0]
     mean = a[0, 1:] / n
     centred = a[1:, 1:] - n * np.outer(mean, mean)
@@ -193,7 +203,8 @@ def squared_error(m: Sequence[float], coef: np.ndarray) -> float:
 def fit_table(
     grams: DataFrame, features: Sequence[str], specs: Sequence[tuple[str, float]], groups: Sequence[str] = (), standardise: bool = True
 ) -> DataFrame:
-    """Long coefficient table: groups, model, param, term, position, coefficient."""
+    """Long coefficient table: groups, model, param, term, position, coefficient.
+    A matrix that is null, for want of rows, gives null coefficients."""
     terms = ["intercept", *features]
     fields = dict(grams.dtypes)
     schema = ", ".join([*[f"`{g}` {fields[g]}" for g in groups], "model string, param double, term string, position int, coefficient double, n double"])
@@ -203,7 +214,7 @@ def fit_table(
             rows = []
             for rec in pdf.to_dict("records"):
                 for kind, param in specs:
-                    coef = fit_matrix(rec["m"], kind, param, standardise)
+                    coef = fit_matrix(rec["m"], kind, param, standardise) if rec["m"] is not None else np.full(len(terms), np.nan)
                     rows += [(*[rec[g] for g in groups], kind, float(param), t, i, float(c), float(rec["n"])) for i, (t, c) in enumerate(zip(terms, coef))]
             yield pd.DataFrame(rows, columns=[*groups, "model", "param", "term", "position", "coefficient", "n"])
 
@@ -240,9 +251,8 @@ def leave_one_row_out(df: DataFrame, features: Sequence[str], target: str, alpha
     The matrix is one row; its inverse and the coefficients become literals of a
     column expression, so scoring is a projection of the rows.
     """
-    m = gram(df, features, target).first()["m"]
-    q = int(round(len(m) ** 0.5))
-    a = np.asarray(m, float).reshape(q, q)
+    a = square(gram(df, features, target).first()["m"])
+    q = len(a)
     penalty = np.diag([0.0, *[alpha] * (q - 2)])
     inverse = np.linalg.pinv(a[:-1, :-1] + penalty)
     coef = inverse @ a[:-1, -1]

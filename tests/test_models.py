@@ -324,3 +324,41 @@ def test_weighted_fits_build_their_targets_once(spark, monkeypatch, name):
     monkeypatch.setattr(inputs, "targets", lambda spark, d: table)
     assert load()[0][name](spark, "").collect()
     assert built.value == len(rows)
+
+
+def test_gram_of_no_rows(spark):
+    """A row of nulls, as SQL's sums over no rows, whatever made the table empty; with groups there is no row."""
+    none = spark.createDataFrame([], "g string, a double, b double")
+    lacking = spark.createDataFrame([("u", 1.0, None), ("v", None, 2.0)], none.schema)
+    for df in (none, lacking, lacking.repartition(3).filter("a > b")):
+        assert [tuple(r) for r in linear.gram(df, ["a"], "b", weight=F.lit(0.5)).collect()] == [(None, None)]
+        assert linear.gram(df, ["a"], "b", ["g"]).collect() == []
+        fits = linear.fit_table(linear.gram(df, ["a"], "b"), ["a"], [("ols", 0.0), ("ridge", 1.0)]).collect()
+        assert [tuple(r) for r in fits] == [(m, p, t, i, None, None) for m, p in (("ols", 0.0), ("ridge", 1.0)) for i, t in enumerate(("intercept", "a"))]
+    with pytest.raises(ValueError):
+        linear.leave_one_row_out(lacking, ["a"], "b")
+
+
+@pytest.mark.parametrize("spread, kept", [(0, False), (9, True)])
+def test_weighted_fit_matches_sql_with_and_without_rows(spark, tmp_path, spread, kept):
+    """Totals of many or equal lines vary by less than one per cent, and then no row takes part in the fit."""
+    import duckdb
+    from oracle import compare
+
+    from seasonpanel.registry import load
+
+    con = duckdb.connect()
+    tables = {
+        "nation": "select i::integer as n_nationkey, 'N' || i as n_name, 0 as n_regionkey from range(3) t(i)",
+        "supplier": "select i::bigint as s_suppkey, (i % 3)::integer as s_nationkey from range(6) t(i)",
+        "part": "select i::bigint as p_partkey, 'TYPE ' || i % 2 as p_type from range(4) t(i)",
+        "lineitem": f"""select (i % 4)::bigint as l_partkey, (i // 4 % 6)::bigint as l_suppkey, (20 + i * 7 % 11 * {spread} / 10)::double as l_quantity,
+            (100 + i % 13)::double as l_extendedprice, 'N' as l_returnflag, timestamp '1996-01-15' + to_days((i * 37 % 1000)::integer) as l_shipdate from range(480) t(i)""",
+    }
+    for name, text in tables.items():
+        con.execute(f"copy ({text}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet')")
+    queries, sqls, *_ = load()
+    out = queries["l17_weighted_fit"](spark, str(tmp_path)).cache()
+    assert compare(out, con, sqls["l17_weighted_fit"]) == ""
+    assert {r["term"]: r["coefficient"] is not None for r in out.collect()} == {"intercept": kept, "area_planted_ha": kept}
